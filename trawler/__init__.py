@@ -1,6 +1 @@
 """Hybrid document retrieval as Spark jobs."""
-
-from trawler.config import Settings
-from trawler.plans.store import CorpusStore
-
-__all__ = ["CorpusStore", "Settings"]

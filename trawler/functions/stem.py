@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The published rules as (suffix, replacement).
 STEP_2 = (
@@ -66,12 +67,12 @@ def porter(word: str) -> str:
     if not MIN_BYTES <= len(word.encode("utf-8")) <= MAX_BYTES:
         return word
 
-    if word.endswith(("sses", "ies")):
+    if len(word) > 3 and word.endswith(("sses", "ies")):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
 
-    if word.endswith("eed"):
+    if len(word) > 3 and word.endswith("eed"):
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     else:
@@ -80,7 +81,7 @@ def porter(word: str) -> str:
             if word.endswith(ending) and "v" in _shape(stem):
                 if stem.endswith(("at", "bl", "iz")):
                     stem += "e"
-                elif len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c" and stem[-1] not in "lsz":
+                elif len(stem) > 1 and stem[-1] == stem[-2] and stem[-1] not in "aeioulsz":
                     stem = stem[:-1]
                 elif _measure(stem) == 1 and _ends_cvc(stem):
                     stem += "e"
@@ -108,7 +109,7 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_arrays(arrays: pd.Series) -> pd.Series:
     # One stemming call per distinct token of the Arrow batch.
     flat = arrays.explode()

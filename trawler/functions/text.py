@@ -15,7 +15,13 @@ CJK_CLASS = r"\p{IsHan}\p{IsHangul}\x{3040}-\x{30FF}"
 # Letters, numbers and private-use characters form tokens.
 TOKEN_CLASS = r"\p{L}\p{N}\p{Co}"
 
-TOKEN_REGEX = f"[{CJK_CLASS}]|[{TOKEN_CLASS}&&[^{CJK_CLASS}]]+"
+# No CJK character lies below U+1100, so common text never reaches the slow
+# script tests of the last alternatives.
+TOKEN_REGEX = (
+    rf"(?:[a-z0-9]++|[\x{{80}}-\x{{10FF}}&&[{TOKEN_CLASS}]]"
+    rf"|[\x{{1100}}-\x{{10FFFF}}&&[{TOKEN_CLASS}]&&[^{CJK_CLASS}]])++"
+    rf"|[\x{{1100}}-\x{{10FFFF}}&&[{CJK_CLASS}]]"
+)
 SPACE_REGEX = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 # The combining marks the tokenizer skips inside a word, given as
@@ -43,14 +49,15 @@ def fold_alphabet() -> tuple[str, str]:
 
 
 def fold(col: Column) -> Column:
-    """Lower-case and remove accents."""
+    """Lower-case and remove accents; pure ASCII text skips the second step."""
     src, dst = fold_alphabet()
-    return F.translate(F.lower(col), src, dst)
+    low = F.lower(col)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, src, dst))
 
 
 def tokens(col: Column) -> Column:
     """Folded tokens in order; every CJK character is a token of its own."""
-    return F.regexp_extract_all(fold(F.coalesce(col, F.lit(""))), F.lit(TOKEN_REGEX), F.lit(0))
+    return F.regexp_extract_all(fold(F.coalesce(col, F.lit(""))), F.lit(TOKEN_REGEX), F.lit(0)).alias("tokens")
 
 
 def trim_space(col: Column) -> Column:
@@ -103,8 +110,7 @@ def stem_of_path(path: Column) -> Column:
 
 def title(text: Column, path: Column) -> Column:
     """First ``# `` heading, else the file name without extension."""
-    # A line that trims to "# " loses the blank, so some text must follow it.
-    heading = F.regexp_extract(text, r"(?m)^[\s&&[^\n]]*#\x{20}+[\s&&[^\n]]*(\S[^\n]*)", 1)
+    heading = F.regexp_extract(text, r"(?md)^[\s&&[^\n]]*#\x20[\s&&[^\n]]*(\S[^\n]*)", 1)
     found = trim_space(heading)
     return F.when(F.char_length(found) > 0, found).otherwise(stem_of_path(path))
 
