@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from trawler.config import (
     BM25_B,
     BM25_K1,
-    BROADCAST_MAX_ROWS,
     COLLECTION_CANDIDATE_FACTOR,
     FIELD_WEIGHTS,
     IDF_FLOOR,
@@ -19,6 +18,7 @@ from trawler.config import (
     SEARCH_LIMIT,
 )
 from trawler.functions.lexquery import LexQuery, parse
+from trawler.operators.lookup import fetch
 
 
 @dataclass(frozen=True)
@@ -146,13 +146,13 @@ def bm25_matches(index: TermIndex, query: LexQuery) -> DataFrame:
     return grouped.filter(keep).select("rowid", (-score).alias("bm25"))
 
 
-def positive_score(bm25: Column) -> Column:
-    return F.abs(bm25) / (F.abs(bm25) + 1)
+def shard_of(rowid: str, docs_per_shard: int) -> Column:
+    """The partition a row lives in; a function of its id, so never stored twice."""
+    return F.floor(F.col(rowid) / docs_per_shard).cast("int")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a frame of at most ``rows`` rows, if that is small."""
-    return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS else df
+def positive_score(bm25: Column) -> Column:
+    return F.abs(bm25) / (F.abs(bm25) + 1)
 
 
 def search(
@@ -162,6 +162,7 @@ def search(
     collection: str = "",
     limit: int = SEARCH_LIMIT,
     min_score: float = 0.0,
+    docs_per_shard: int = 0,
 ) -> DataFrame:
     """Best documents for a search string, with score and ``bm25_rank``.
 
@@ -174,11 +175,10 @@ def search(
     rows = documents.filter(F.col("active"))
     if collection:
         rows = rows.filter(F.col("collection") == collection)
-    keys = ["rowid"]
-    if "shard" in documents.columns and "shard" not in candidates.columns:
-        rows = rows.drop("shard")
+    if docs_per_shard:
+        candidates = candidates.withColumn("shard", shard_of("rowid", docs_per_shard))
     hits = (
-        rows.join(bounded(candidates, cut), keys)
+        fetch(rows, candidates, "rowid", cut)
         .orderBy("bm25", "rowid")
         .limit(limit)
         .withColumn("score", positive_score(F.col("bm25")))
@@ -220,13 +220,14 @@ def search_many(
     collection: str = "",
     limit: int = SEARCH_LIMIT,
     min_score: float = 0.0,
+    docs_per_shard: int = 0,
 ) -> DataFrame | None:
     """Several search strings fused by rank; one string keeps its raw score."""
     queries = [q.strip() for q in queries if q.strip()]
     limit = limit if limit > 0 else SEARCH_LIMIT
     if not queries:
         return None
-    lists = [search(index, documents, q, collection, limit, min_score) for q in queries]
+    lists = [search(index, documents, q, collection, limit, min_score, docs_per_shard) for q in queries]
     return lists[0] if len(lists) == 1 else fuse_equal(lists, limit, min_score)
 
 
