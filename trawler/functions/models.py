@@ -142,8 +142,9 @@ def embed_long(embedder: Embedder, texts: Sequence[str]) -> list[list[float]]:
     if len(set(owner)) != len(texts):
         raise ValueError("cannot embed blank text")
     vectors = np.array(embedder.embed_batch(pieces), dtype=np.float32)
-    owner = np.array(owner)
-    return [vectors[owner == i].mean(axis=0).tolist() for i in range(len(texts))]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    counts = np.diff(first, append=len(owner)).astype(np.float32)
+    return (np.add.reduceat(vectors, first, axis=0) / counts[:, None]).tolist()
 
 
 def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:

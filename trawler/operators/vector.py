@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawler.config import NO_MIN_SCORE, VECTOR_OVERFETCH, VECTOR_SEARCH_MIN_SCORE
+from trawler.config import NO_MIN_SCORE, VECTOR_OVERFETCH
 from trawler.operators.lookup import GROUP_LIMIT_MAX, bounded, fetch, top_per_group
+from trawler.session import settle
 
 Vector = Sequence[float]
 
@@ -170,45 +171,35 @@ def variant_search(
     return rows.withColumn("vector_rank", rank)
 
 
-def vector_results(
-    hits: DataFrame, chunks: DataFrame, min_score: float, limit: int, variants: int = 1
-) -> DataFrame:
-    """Cut by score and limit, renumber, and add the chunk's snippet."""
-    kept = (
-        hits.filter(F.col("score") >= min_score)
-        .orderBy("vector_rank")
-        .limit(limit)
-        .withColumn("vector_rank", F.row_number().over(Window.orderBy("vector_rank")))
-    )
-    columns = ["chunk_id", "snippet"]
-    join_on = ["chunk_id"]
-    if "shard" in chunks.columns and "shard" in kept.columns:
-        columns.append("shard")
-        join_on.append("shard")
-    # The hits are the kept side: a vector whose chunk row is gone still counts.
-    texts = chunks.select(*columns).join(bounded(kept.select(*join_on), limit), join_on, "left_semi")
-    return kept.join(bounded(texts, limit), join_on, "left").withColumn(
-        "snippet", F.coalesce("snippet", F.lit(""))
-    )
+def vector_results(hits: DataFrame, min_score: float, limit: int) -> DataFrame:
+    """Cut by score and limit, and renumber."""
+    kept = hits.filter(F.col("score") >= min_score).orderBy("vector_rank").limit(limit)
+    return kept.withColumn("vector_rank", F.row_number().over(Window.orderBy("vector_rank")))
 
 
-def search_vector(
-    vectors, documents, chunks, query: Vector, collection="", limit=20, min_score=0.0, metric="l2", fingerprint=""
-) -> DataFrame:
-    """Raw vector search with one query vector; no score floor unless given."""
-    limit = limit if limit > 0 else 20
-    hits = variant_search(vectors, documents, [query], collection, limit, metric, fingerprint)
-    return vector_results(hits, chunks, min_score or NO_MIN_SCORE, limit)
+def with_snippets(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """Add the snippet of each hit's chunk, empty if the chunk is gone."""
+    hits = settle(hits)
+    keys = [c for c in ("chunk_id", "shard") if c in hits.columns and c in chunks.columns]
+    texts = chunks.select(*keys, "snippet").join(bounded(hits.select(*keys), limit), keys, "left_semi")
+    return hits.join(bounded(texts, limit), keys, "left").withColumn(
+        "snippet", F.coalesce("snippet", F.lit(""))
+    )
 
 
-def variants_search_results(
-    vectors, documents, chunks, queries: Sequence[Vector], collection="", limit=10, min_score=0.0, metric="l2",
-    fingerprint="",
+def vector_search(
+    vectors: DataFrame,
+    documents: DataFrame,
+    queries: Sequence[Vector],
+    collection: str = "",
+    limit: int = 20,
+    min_score: float = NO_MIN_SCORE,
+    metric: str = "l2",
+    fingerprint: str = "",
 ) -> DataFrame:
-    """Search with several query vectors; a zero floor means 0.3."""
-    limit = limit if limit > 0 else 10
+    """Best documents for one or more query vectors."""
     hits = variant_search(vectors, documents, queries, collection, limit, metric, fingerprint)
-    return vector_results(hits, chunks, min_score or VECTOR_SEARCH_MIN_SCORE, limit, len(queries))
+    return vector_results(hits, min_score, limit)
 
 
 def mean_pool(segments: DataFrame, key: str) -> DataFrame:

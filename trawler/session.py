@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -40,3 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="trawler-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small result to the shared folder and read it back.
+
+    For top-k results used more than once: the scans behind them run a single
+    time, later plans start from a few known rows, and a lost executor costs
+    nothing.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
