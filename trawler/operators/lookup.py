@@ -24,11 +24,8 @@ def fetch(table: DataFrame, picked: DataFrame, key: str, rows: int) -> DataFrame
     uses it too, so only the shards of the picked rows are read.
     """
     keys = [key]
-    if "shard" in table.columns:
-        if "shard" in picked.columns:
-            keys.append("shard")
-        else:
-            table = table.drop("shard")
+    if "shard" in table.columns and "shard" in picked.columns:
+        keys.append("shard")
     return table.join(bounded(picked, rows), keys)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, Settings
 from trawler.functions.text import document_id
-from trawler.operators.lexical import TermIndex
+from trawler.operators.lexical import TermIndex, shard_of
 from trawler.operators.postings import corpus_stats
 from trawler.plans.query import Corpus
 from trawler.session import shared_folder, ship_package
@@ -66,7 +66,8 @@ def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label",
         "embedding",
     )
-    return vectors.join(docs, "doc_rowid")
+    shard = shard_of("doc_rowid", Settings().docs_per_shard)
+    return vectors.join(docs, "doc_rowid").withColumn("shard", shard)
 
 
 @dataclass
