@@ -428,7 +428,7 @@ def rerank_parse(spark, sf_dir):
     """Read every benchmark text and document start as a reranker's answer."""
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     parts = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.concat(F.lit("score: "), (F.col("p_retailprice") / 2000 - 0.4).cast("decimal(9,4)").cast("string")).alias("text")
+        F.col("p_partkey").alias("id"), F.concat(F.lit("score: "), F.when(F.col("p_size") > 40, "-").otherwise(""), F.lit("0."), F.col("p_size").cast("string")).alias("text")
     )
     return texts.unionByName(parts).select("id", "text", rerank_score(F.col("text")).alias("score"))
 
@@ -647,12 +647,16 @@ def _run_messages(spark, sf_dir) -> DataFrame:
 
 def event_text_runs(spark, sf_dir):
     events = sessions.fold_events(_run_messages(spark, sf_dir), "user_id", "day", ["ts", "event_id"])
-    return events.select("user_id", "event_id", "seq", "type", "message_no", "call_id", "body")
+    return events.select(
+        "user_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "seq", "type",
+        F.coalesce("message_no", F.lit(-1)).alias("message_no"),
+        F.coalesce("call_id", F.lit("")).alias("call_id"), F.coalesce("body", F.lit("")).alias("body"),
+    )
 
 
 def event_saved_messages(spark, sf_dir):
     saved = sessions.saved_messages(_run_messages(spark, sf_dir), "user_id", "day", ["ts", "event_id"])
-    return saved.select("user_id", "message_no", "role", "tool_call_id", "content")
+    return saved.withColumn("tool_call_id", F.coalesce("tool_call_id", F.lit("")))
 
 
 def json_props(spark, sf_dir):

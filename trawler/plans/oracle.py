@@ -108,7 +108,7 @@ def fused(queries: list[list[str]], limit: int) -> str:
   sums AS (SELECT rowid, sum(1.0 / (60.0 + bm25_rank)) AS f, min(li * 1000 + bm25_rank) AS seen FROM allq GROUP BY rowid),
   fused AS (SELECT a.rowid, a.collection, a.rel_path, s.f / (SELECT max(f) FROM sums) AS score, a.bm25_rank, s.seen
             FROM sums s JOIN allq a ON a.rowid = s.rowid AND a.li * 1000 + a.bm25_rank = s.seen
-            ORDER BY round(score, 12) DESC, seen LIMIT {limit})"""
+            ORDER BY round(s.f, 14) DESC, s.seen LIMIT {limit})"""
 
 
 # --- chunks: greedy byte windows, cut at the best line end -------------------
@@ -231,7 +231,7 @@ def hybrid(lists: list[tuple], chunks=False, prefix="h", cut=40) -> str:
     """
     union = " UNION ALL ".join(
         f"SELECT id, rowid, {i} AS li, '{src}' AS src, {w} AS w, {'bm25_rank' if src == 'fts' else 'vector_rank'} AS rank,"
-        f" score, {'bm25_rank' if src == 'fts' else 'NULL'} AS bm25_rank, {'vector_rank' if src == 'vec' else 'NULL'} AS vector_rank FROM {n}"
+        f" score, {'bm25_rank' if src == 'fts' else '0'} AS bm25_rank, {'vector_rank' if src == 'vec' else '0'} AS vector_rank FROM {n}"
         for n, src, w, i in lists
     )
     return f"""{prefix}_u AS ({union}),
@@ -285,9 +285,10 @@ SESSIONS = """sess AS (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS updated
   arg_min(event_type, (ts, event_id)) AS agent_id FROM events GROUP BY user_id)"""
 
 _EVENT = "SELECT user_id, event_id, CAST({seq} AS INT) AS seq, '{kind}' AS type, message_no, {call} AS call_id, {body} AS body FROM numbered WHERE {when}"
+_NO = "''"
 
 
-def _event(seq, kind, when, call="NULL", body="NULL") -> str:
+def _event(seq, kind, when, call=_NO, body=_NO) -> str:
     return _EVENT.format(seq=seq, kind=kind, when=when, call=call, body=body)
 
 
@@ -302,7 +303,7 @@ ORACLES = {
     "search_many_rrf": f"WITH {fused([['tion*'], ['of*', 'the*'], ['ndtion*']], 20)} {HIT} fused",
     "search_fanout": f"WITH {DOCS}, {lex_list('a', ['tion*'], limit=50)} {HIT} a WHERE collection IN ('de', 'en') ORDER BY bm25_rank LIMIT 10",
     "page_folder_search": f"WITH {fused([['tion*'], ['src1*']], 50)} SELECT rowid, rel_path, round(score, 9) AS score FROM fused WHERE starts_with(rel_path, 'src1/')",
-    "legacy_or_search": f"""WITH {CORPUS}, {postings('post', 'corpus', {'id': 'id', 'content': 'body', 'tags': 'collection', 'article_path': 'rel_path'}).replace('CASE', 'CASE')},
+    "legacy_or_search": f"""WITH {CORPUS}, {postings('post', 'corpus', {'id': 'id', 'content': 'body', 'tags': 'collection', 'article_path': 'rel_path'})},
       {bm25('m', ['queque*', 'enlich es*'], any_clause=True)},
       tagged AS (SELECT m.rowid, bm25, collection, rel_path FROM m JOIN corpus USING (rowid) WHERE collection LIKE '%e%')
       SELECT rowid, collection, rel_path, round(-bm25, 9) AS bm25_score, CAST(row_number() OVER (ORDER BY bm25, rowid) AS INT) AS rank
@@ -378,7 +379,7 @@ ORACLES = {
     "haystack_search": f"WITH {CORPUS} SELECT rel_path, title AS slug, title FROM corpus WHERE contains(lower(title || chr(10) || title || chr(10) || chr(10) || body), 'queque') OR contains(lower(body), 'enheit')",
     "rerank_parse": r"""SELECT id, text, CAST(CASE WHEN contains(lower(text), 'yes') THEN 1 WHEN contains(lower(text), 'no') THEN 0
       ELSE least(greatest(coalesce(TRY_CAST(regexp_extract(text, '[-+]?(?:\d+(?:\.\d*)?|\.\d+)') AS DOUBLE), 0), 0), 1) END AS DOUBLE) AS score
-      FROM (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT p_partkey, 'score: ' || CAST(CAST(p_retailprice / 2000 - 0.4 AS DECIMAL(9, 4)) AS VARCHAR) FROM part)""",
+      FROM (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT p_partkey, 'score: ' || CASE WHEN p_size > 40 THEN '-' ELSE '' END || '0.' || p_size FROM part)""",
     "collection_stats": """SELECT name, count(d.doc_id) AS doc_count, count(d.doc_id) FILTER (coalesce(l.toxic, 0) = 0) AS active_count,
       CAST(max(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INT)) AS DATE)::VARCHAR AS last_modified
       FROM (SELECT DISTINCT lang AS name FROM documents UNION ALL SELECT r_name FROM region) c
@@ -428,11 +429,11 @@ ORACLES = {
             _event(2, "TOOL_CALL_ARGS", "kind = 'tool_use' AND value > 10", "call_id", "props"),
             _event(1, "TOOL_CALL_END", "kind = 'tool_result'", "call_id"),
             _event(2, "TOOL_CALL_RESULT", "kind = 'tool_result' AND value > 10", "call_id", "props"),
-            "SELECT user_id, event_id, 0, 'RUN_ERROR', NULL, NULL, content FROM msgs WHERE kind = 'error'",
-            "SELECT user_id, NULL, 0, 'TEXT_MESSAGE_END', message_no, NULL, NULL FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE is_text",
+            "SELECT user_id, event_id, 0, 'RUN_ERROR', -1, '', content FROM msgs WHERE kind = 'error'",
+            "SELECT user_id, -1, 0, 'TEXT_MESSAGE_END', message_no, '', '' FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE is_text",
         ]
     ),
-    "event_saved_messages": f"""WITH {RUN_ROWS} SELECT user_id, message_no, 'assistant' AS role, NULL AS tool_call_id, string_agg(content, '' ORDER BY ts, event_id) AS content
+    "event_saved_messages": f"""WITH {RUN_ROWS} SELECT user_id, message_no, 'assistant' AS role, '' AS tool_call_id, string_agg(content, '' ORDER BY ts, event_id) AS content
       FROM numbered WHERE is_text GROUP BY user_id, message_no
       UNION ALL SELECT user_id, message_no, 'tool', call_id, props FROM numbered WHERE kind = 'tool_result' AND value > 10""",
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",

@@ -185,6 +185,9 @@ def hybrid_query(corpus: Corpus, question: str, options: QueryOptions = QueryOpt
     if options.min_score:
         ranked = ranked.filter(F.col("score") >= options.min_score)
     ranked = ranked.orderBy(*order).limit(limit)
+    # Rank 0: the document did not come from that backend first.
+    for name in ("bm25_rank", "vector_rank"):
+        ranked = ranked.withColumn(name, F.coalesce(name, F.lit(0)))
     columns = list(RESULT_COLUMNS)
     if options.explain:
         ranked = ranked.withColumn("explain", explain_column())
