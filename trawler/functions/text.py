@@ -74,9 +74,11 @@ def space_cjk(col: Column) -> Column:
     return F.regexp_replace(col, f"([{CJK_CLASS}])", " $1 ")
 
 
-def unspace_cjk(col: Column) -> Column:
-    """Drop single blanks between two CJK characters."""
-    return F.regexp_replace(col, f"(?<=[{CJK_CLASS}]) (?=[{CJK_CLASS}])", "")
+def split_scripts(col: Column) -> Column:
+    """Put a blank wherever CJK text meets other text."""
+    cjk = rf"[{CJK_CLASS}]"
+    edges = F.regexp_replace(col, rf"(?<={cjk})(?!{cjk})|(?<!{cjk})(?={cjk})", " ")
+    return F.when(has_cjk(col), edges).otherwise(col)
 
 
 def has_cjk(col: Column) -> Column:
@@ -95,8 +97,18 @@ def shorten(col: Column, chars: int, ellipsis: str = "") -> Column:
     return F.when(F.char_length(col) <= chars, col).otherwise(cut)
 
 
+def _head(col: Column) -> Column:
+    """The text up to its 181st visible character: all a snippet can show."""
+    return F.regexp_extract(col, rf"^(?:{SPACE_REGEX}*+[^\s]){{0,{SNIPPET_CHARS + 1}}}", 0)
+
+
 def snippet(col: Column) -> Column:
-    return shorten(collapse_space(col), SNIPPET_CHARS, "...")
+    return shorten(collapse_space(_head(col)), SNIPPET_CHARS, "...")
+
+
+def display_snippet(col: Column) -> Column:
+    """Snippet of a lexical hit, where CJK and other text stand apart."""
+    return shorten(collapse_space(split_scripts(_head(col))), SNIPPET_CHARS, "...")
 
 
 def basename(path: Column) -> Column:
@@ -110,7 +122,7 @@ def stem_of_path(path: Column) -> Column:
 
 def title(text: Column, path: Column) -> Column:
     """First ``# `` heading, else the file name without extension."""
-    heading = F.regexp_extract(text, r"(?md)^[\s&&[^\n]]*#\x20[\s&&[^\n]]*(\S[^\n]*)", 1)
+    heading = F.regexp_extract(text, r"(?md)^[ \t\r\f\x0B]*+#\x20[ \t\r\f\x0B]*+([^\n]+)", 1)
     found = trim_space(heading)
     return F.when(F.char_length(found) > 0, found).otherwise(stem_of_path(path))
 

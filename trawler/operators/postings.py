@@ -54,7 +54,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
     """
     (
         postings.repartitionByRange("term", "rowid")
-        .sortWithinPartitions("term", "rowid", "field", "pos")
+        .sortWithinPartitions("term", "rowid")
         .write.mode("overwrite")
         .parquet(path)
     )

@@ -54,3 +54,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle by ``key`` only when the input has fewer splits than cores.
+
+    A large input comes in many splits and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, FIELD_WEIGHTS, Settings
 from trawler.functions.stem import stem_tokens
-from trawler.functions.text import content_hash, document_id, snippet, title, tokens, unspace_cjk
+from trawler.functions.text import content_hash, display_snippet, document_id, title, tokens
 from trawler.operators.chunking import chunk_documents, indexed_chunks
 from trawler.operators.lexical import shard_of
 from trawler.operators.postings import POSTING_COLUMNS, explode_postings, tokenized, write_postings
+from trawler.session import spread
 
 INPUT_COLUMNS = ["rowid", "collection", "rel_path", "body"]
 # Chunk rows are numbered inside their document; no document has 2^20 chunks.
@@ -34,7 +35,7 @@ def document_rows(files: DataFrame, settings: Settings) -> DataFrame:
         files.withColumn("id", document_id(F.col("collection"), F.col("rel_path")))
         .withColumn("title", title(F.col("body"), F.col("rel_path")))
         .withColumn("hash", content_hash(F.col("body")))
-        .withColumn("snippet", snippet(unspace_cjk(F.col("body"))))
+        .withColumn("snippet", display_snippet(F.col("body")))
         .withColumn("shard", shard_of("rowid", settings.docs_per_shard))
     )
 
@@ -45,7 +46,7 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
     Text is tokenized (and stemmed) once, into a staging table that the
     metadata, both postings tables and their range sampling read.
     """
-    rows = document_rows(files, settings)
+    rows = document_rows(spread(files, "rowid"), settings)
     extra = [c for c in files.columns if c not in INPUT_COLUMNS]
     meta = ["rowid", "id", "collection", "rel_path", "title", "hash", "snippet", "shard", *extra]
     fields = {
@@ -89,7 +90,7 @@ def write_entry_postings(spark, paths: dict[str, str], settings: Settings) -> No
 
 def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
     rows = (
-        files.withColumn("doc_id", document_id(F.col("collection"), F.col("rel_path")))
+        spread(files, "rowid").withColumn("doc_id", document_id(F.col("collection"), F.col("rel_path")))
         .withColumn("shard", shard_of("rowid", settings.docs_per_shard))
     )
     cut = chunk_documents(
