@@ -87,7 +87,8 @@ def has_cjk(col: Column) -> Column:
 
 def estimate_tokens(col: Column) -> Column:
     """1.5 tokens per CJK character, a quarter for any other."""
-    cjk = F.regexp_count(col, F.lit(r"[\p{IsHan}\p{IsHangul}\p{IsKatakana}\p{IsHiragana}]"))
+    scripts = r"[\p{IsHan}\p{IsHangul}\p{IsKatakana}\p{IsHiragana}]"
+    cjk = F.regexp_count(col, F.lit(rf"[\x{{1100}}-\x{{10FFFF}}&&{scripts}]"))
     other = F.char_length(col) - cjk
     return F.floor(cjk * 1.5).cast("int") + F.floor(other / 4).cast("int")
 

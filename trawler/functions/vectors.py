@@ -27,7 +27,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit-length copy; an all-zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(
-        a.cast("array<double>")
-    )
+    # The outer one-element transform binds the length, which is computed once.
+    unit = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
+    return F.when(norm(a) > 0, unit).otherwise(a.cast("array<double>"))

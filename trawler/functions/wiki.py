@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from trawler.functions.text import stem_of_path, trim_space
 
 BLANK = r"[ \t\r\f\x0B]*"
-FRONT_MATTER = r"(?s)^\x{FEFF}?---\n(.*?)\n---\n?(.*)$"
 # The sections a page must have.
 REQUIRED_SECTIONS = ("card", "core", "explain")
 PAGE_KINDS = ("topic", "workflow")
@@ -27,18 +26,6 @@ def _end(namespace: str) -> str:
     return rf"<!-- /(?:{namespace}):section -->"
 
 
-def has_front_matter(text: Column) -> Column:
-    return text.rlike(FRONT_MATTER)
-
-
-def front_matter(text: Column) -> Column:
-    return F.regexp_extract(text, FRONT_MATTER, 1)
-
-
-def page_body(text: Column) -> Column:
-    return F.regexp_extract(text, FRONT_MATTER, 2)
-
-
 def meta_value(meta: Column, key: str) -> Column:
     """A top-level scalar of the front matter, without quotes; nested keys
     are indented and therefore never match."""
@@ -48,75 +35,50 @@ def meta_value(meta: Column, key: str) -> Column:
     return F.when(quoted, F.regexp_replace(raw, r"""^["']|["']$""", "")).otherwise(plain)
 
 
-def section_error(body: Column, namespace: str = ANY_NAMESPACE) -> Column:
-    """Null for well-formed sections, else what is wrong first.
-
-    Markers must alternate start, end, start, end.
-    """
-    marker = rf"(?md)^{BLANK}({_start(namespace)}|{_end(namespace)}){BLANK}$"
-    marks = F.regexp_extract_all(F.replace(body, F.lit("\r\n"), F.lit("\n")), F.lit(marker), F.lit(1))
-    ids = F.transform(marks, lambda m: F.regexp_extract(m, _start(namespace), 1))
-    wrong = F.filter(
-        F.transform(ids, lambda name, i: F.struct(i.alias("i"), name.alias("name"))),
-        lambda m: (m["name"] != "") != (m["i"] % 2 == 0),
+def section_marks(lines: Column, namespace: str = ANY_NAMESPACE) -> Column:
+    """Marker lines in order: line index, and the section id of a start
+    marker (empty for an end marker)."""
+    start, end = f"^{BLANK}{_start(namespace)}{BLANK}$", f"^{BLANK}{_end(namespace)}{BLANK}$"
+    mark = lambda line, i: F.when(
+        F.contains(line, F.lit("<!--")) & (line.rlike(start) | line.rlike(end)),
+        F.struct(i.alias("line"), F.regexp_extract(line, start, 1).alias("id")),
     )
-    first = F.try_element_at(wrong, F.lit(1))
-    last = F.try_element_at(ids, F.lit(-1))
-    return (
-        F.when(first.isNotNull() & (first["name"] != ""), F.concat(F.lit('nested section "'), first["name"], F.lit('"')))
-        .when(first.isNotNull(), F.lit("unexpected section end"))
-        .when(F.size(ids) % 2 == 1, F.concat(F.lit('unclosed section "'), last, F.lit('"')))
-    )
-
-
-def sections(body: Column, namespace: str = ANY_NAMESPACE) -> Column:
-    """``map<string,string>`` of section id to text; a repeated id keeps its
-    last text. Null when the markers are malformed."""
-    pair = rf"(?md)^{BLANK}{_start(namespace)}{BLANK}\n((?s:.*?))^{BLANK}{_end(namespace)}{BLANK}$"
-    text = F.replace(body, F.lit("\r\n"), F.lit("\n"))
-    names = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
-    values = F.transform(
-        F.regexp_extract_all(text, F.lit(pair), F.lit(2)), lambda v: F.regexp_replace(v, r"\n+$", "")
-    )
-    distinct = F.array_distinct(names)
-    n = F.size(names)
-    latest = F.transform(
-        distinct,
-        lambda name: F.element_at(values, (n - F.array_position(F.reverse(names), name) + 1).cast("int")),
-    )
-    return F.when(section_error(body, namespace).isNull(), F.map_from_arrays(distinct, latest))
+    return F.array_compact(F.transform(lines, mark))
 
 
-def page(text: Column, rel_path: Column, namespace: str = ANY_NAMESPACE) -> Column:
-    """A page as a struct; ``error`` tells why it could not be read."""
-    meta, body = front_matter(text), page_body(text)
-    slug = F.coalesce(F.nullif(meta_value(meta, "slug"), F.lit("")), stem_of_path(rel_path))
-    problem = F.when(~has_front_matter(text), F.lit("missing YAML frontmatter")).otherwise(
-        section_error(body, namespace)
+def section_error(marks: Column) -> Column:
+    """Null for well-formed sections, else what is wrong first: markers must
+    alternate start, end, start, end."""
+    indexed = F.transform(marks, lambda m, i: F.struct(i.alias("i"), m["id"].alias("id")))
+    first = F.try_element_at(
+        F.filter(indexed, lambda m: (m["id"] != "") != (m["i"] % 2 == 0)), F.lit(1)
     )
-    return F.struct(
-        F.coalesce(F.nullif(meta_value(meta, "title"), F.lit("")), slug).alias("title"),
-        slug.alias("slug"),
-        meta_value(meta, "kind").alias("kind"),
-        meta_value(meta, "status").alias("status"),
-        meta_value(meta, "summary").alias("summary"),
-        sections(body, namespace).alias("sections"),
-        body.alias("text"),
-        problem.alias("error"),
+    last = F.try_element_at(marks, F.lit(-1))
+    return (
+        F.when(first["id"] != "", F.concat(F.lit('nested section "'), first["id"], F.lit('"')))
+        .when(first.isNotNull(), F.lit("unexpected section end"))
+        .when(F.size(marks) % 2 == 1, F.concat(F.lit('unclosed section "'), last["id"], F.lit('"')))
     )
 
 
-def page_issues(parsed: Column, rel_path: Column) -> Column:
-    """Problems of one page: unreadable, or required sections missing."""
-    missing = F.filter(
-        F.array(*[F.lit(s) for s in REQUIRED_SECTIONS]),
-        lambda s: trim_space(F.coalesce(F.try_element_at(parsed["sections"], s), F.lit(""))) == "",
+def sections(lines: Column, marks: Column) -> Column:
+    """``map<string,string>`` of section id to text, from well-formed marks;
+    a repeated id keeps its last text."""
+    count = F.size(marks) / 2
+    spans = F.transform(
+        F.sequence(F.lit(1), F.greatest(count.cast("int"), F.lit(1))),
+        lambda k: F.struct(
+            F.try_element_at(marks, k * 2 - 1)["id"].alias("id"),
+            F.try_element_at(marks, k * 2 - 1)["line"].alias("a"),
+            F.try_element_at(marks, k * 2)["line"].alias("b"),
+        ),
     )
-    texts = F.transform(
-        missing, lambda s: F.concat(rel_path, F.lit(': missing required section "'), s, F.lit('"'))
+    whole = F.filter(spans, lambda s: s["b"].isNotNull())
+    newest = F.filter(whole, lambda s: ~F.exists(whole, lambda o: (o["id"] == s["id"]) & (o["a"] > s["a"])))
+    text = lambda s: F.array_join(F.slice(lines, s["a"] + 2, s["b"] - s["a"] - 1), "\n")
+    return F.map_from_entries(
+        F.transform(newest, lambda s: F.struct(s["id"], F.regexp_replace(text(s), r"\n+$", "")))
     )
-    broken = F.array(F.concat(rel_path, F.lit(": "), parsed["error"]))
-    return F.when(parsed["error"].isNotNull(), broken).otherwise(texts)
 
 
 def table_rows(text: Column) -> Column:

@@ -155,6 +155,15 @@ def positive_score(bm25: Column) -> Column:
     return F.abs(bm25) / (F.abs(bm25) + 1)
 
 
+def top_candidates(index: TermIndex, query: str, cut: int) -> DataFrame:
+    """The best ``cut`` rows of the whole index, every collection together."""
+    return bm25_matches(index, parse(query)).orderBy("bm25", "rowid").limit(cut)
+
+
+def candidate_cut(collection: str, limit: int) -> int:
+    return limit * COLLECTION_CANDIDATE_FACTOR if collection else limit
+
+
 def search(
     index: TermIndex,
     documents: DataFrame,
@@ -163,15 +172,18 @@ def search(
     limit: int = SEARCH_LIMIT,
     min_score: float = 0.0,
     docs_per_shard: int = 0,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Best documents for a search string, with score and ``bm25_rank``.
 
     The candidate cut is global and comes before the collection filter, so a
     small collection can come back empty; that is the documented behaviour.
+    Candidates already at hand can be passed in.
     """
     limit = limit if limit > 0 else SEARCH_LIMIT
-    cut = limit * COLLECTION_CANDIDATE_FACTOR if collection else limit
-    candidates = bm25_matches(index, parse(query)).orderBy("bm25", "rowid").limit(cut)
+    cut = candidate_cut(collection, limit)
+    if candidates is None:
+        candidates = top_candidates(index, query, cut)
     rows = documents.filter(F.col("active"))
     if collection:
         rows = rows.filter(F.col("collection") == collection)

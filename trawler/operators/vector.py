@@ -130,6 +130,7 @@ def variant_search(
     limit: int = 10,
     metric: str = "l2",
     fingerprint: str = "",
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Documents by their best chunk over all query variants.
 
@@ -140,7 +141,8 @@ def variant_search(
     """
     limit = limit if limit > 0 else 10
     over = limit * VECTOR_OVERFETCH
-    near = nearest_chunks(vectors, queries, over, metric, fingerprint)
+    if near is None:
+        near = nearest_chunks(vectors, queries, over, metric, fingerprint)
     live = documents.filter(F.col("active"))
     if collection:
         live = live.filter(F.col("collection") == collection)
@@ -196,9 +198,10 @@ def vector_search(
     min_score: float = NO_MIN_SCORE,
     metric: str = "l2",
     fingerprint: str = "",
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Best documents for one or more query vectors."""
-    hits = variant_search(vectors, documents, queries, collection, limit, metric, fingerprint)
+    hits = variant_search(vectors, documents, queries, collection, limit, metric, fingerprint, near)
     return vector_results(hits, min_score, limit)
 
 
@@ -221,5 +224,17 @@ def has_vectors(vectors: DataFrame, documents: DataFrame, collection: str = "",
     live = documents.filter(F.col("active"))
     if collection:
         live = live.filter(F.col("collection") == collection)
+    if vectors.isEmpty():
+        return False
     joined = vectors.select(F.col("doc_id").alias("id")).join(live.select("id"), "id", "left_semi")
     return not joined.isEmpty()
+
+
+def vector_counts(vectors: DataFrame, documents: DataFrame, fingerprint: str = "") -> dict[str, int]:
+    """Current vectors of active documents, per collection."""
+    if fingerprint:
+        vectors = vectors.filter(F.col("embed_fingerprint") == fingerprint)
+    per_doc = vectors.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    live = documents.filter(F.col("active")).select("id", "collection")
+    rows = per_doc.join(live, "id").groupBy("collection").agg(F.sum("n").alias("n")).collect()
+    return {r.collection: r.n for r in rows}

@@ -9,10 +9,13 @@ from trawler.functions.text import pipe_cell, stem_of_path
 from trawler.functions.wiki import (
     ANY_NAMESPACE,
     PAGE_KINDS,
+    REQUIRED_SECTIONS,
     in_kind_folder,
     matches_any,
-    page,
-    page_issues,
+    meta_value,
+    section_error,
+    section_marks,
+    sections,
     table_rows,
 )
 
@@ -23,12 +26,41 @@ TABLE_COLUMNS = {
 }
 
 
+def parse_pages(files: DataFrame, namespace: str = ANY_NAMESPACE) -> DataFrame:
+    """Add the page columns to ``rel_path, text`` rows.
+
+    ``error`` tells why a page cannot be read. Steps are separate projections,
+    so the split text and the marker scan are computed once per page.
+    """
+    whole = F.regexp_replace("text", r"^\x{FEFF}", "")
+    end = F.when(F.startswith(whole, F.lit("---\n")), F.locate("\n---", whole, 4)).otherwise(0)
+    cut = files.withColumn("_text", whole).withColumn("_end", end)
+    after = F.expr("substring(_text, _end + 4)")
+    body = F.when(F.col("_end") > 0, F.regexp_replace(after, r"^\n", ""))
+    split = cut.withColumn("_meta", F.expr("substring(_text, 5, _end - 5)")).withColumn("text", body)
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")
+    marked = split.withColumn("_lines", lines).withColumn("_marks", section_marks(F.col("_lines"), namespace))
+    checked = marked.withColumn(
+        "error",
+        F.when(F.col("_end") == 0, "missing YAML frontmatter").otherwise(section_error(F.col("_marks"))),
+    )
+    value = lambda key: meta_value(F.col("_meta"), key)
+    slug = F.coalesce(F.nullif(value("slug"), F.lit("")), stem_of_path(F.col("rel_path")))
+    return (
+        checked.withColumn("slug", slug)
+        .withColumn("title", F.coalesce(F.nullif(value("title"), F.lit("")), "slug"))
+        .withColumn("kind", value("kind"))
+        .withColumn("status", value("status"))
+        .withColumn("summary", value("summary"))
+        .withColumn("sections", F.when(F.col("error").isNull(), sections(F.col("_lines"), F.col("_marks"))))
+        .drop("_text", "_end", "_meta", "_lines", "_marks")
+    )
+
+
 def pages(files: DataFrame, kind: str, namespace: str = ANY_NAMESPACE) -> DataFrame:
     """Parsed pages of ``wiki/<kind>s/**.md``."""
-    mine = files.filter(F.col("rel_path").startswith(f"wiki/{kind}s/") & F.col("rel_path").endswith(".md"))
-    return mine.select("rel_path", page(F.col("text"), F.col("rel_path"), namespace).alias("page")).select(
-        "rel_path", "page.*"
-    )
+    folder = F.col("rel_path").startswith(f"wiki/{kind}s/") & F.col("rel_path").endswith(".md")
+    return parse_pages(files.filter(folder), namespace)
 
 
 def search_table(files: DataFrame, kind: str, queries: list[str]) -> DataFrame:
@@ -68,11 +100,21 @@ def page_hits(results: DataFrame, parsed: DataFrame, kind: str) -> DataFrame:
 
 
 def check_documents(files: DataFrame, namespace: str = ANY_NAMESPACE) -> DataFrame:
-    """One row per problem of the topic and workflow pages."""
+    """One row per problem of the topic and workflow pages: unreadable, or a
+    required section that is missing or blank."""
     folders = "|".join(f"{k}s" for k in PAGE_KINDS)
     mine = files.filter(F.col("rel_path").rlike(rf"^wiki/({folders})/.*\.md$"))
-    parsed = mine.select("rel_path", page(F.col("text"), F.col("rel_path"), namespace).alias("page"))
-    return parsed.select("rel_path", F.explode(page_issues(F.col("page"), F.col("rel_path"))).alias("issue"))
+    parsed = parse_pages(mine.select("rel_path", "text"), namespace)
+    text = lambda s: F.coalesce(F.try_element_at("sections", F.lit(s)), F.lit(""))
+    missing = F.array_compact(
+        F.array(*[
+            F.when(~text(s).rlike(r"\S"), F.lit(f'missing required section "{s}"')) for s in REQUIRED_SECTIONS
+        ])
+    )
+    problems = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(missing)
+    return parsed.select("rel_path", F.explode(problems).alias("problem")).select(
+        "rel_path", F.concat("rel_path", F.lit(": "), "problem").alias("issue")
+    )
 
 
 def read_section(parsed: DataFrame, slug: str, view: str = "card") -> DataFrame:

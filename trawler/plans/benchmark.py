@@ -12,11 +12,11 @@ from trawler.functions.lexquery import parse, parse_any
 from trawler.functions.models import Expansion, TableReranker
 from trawler.functions.terms import rerank_score
 from trawler.functions.vectors import cosine, l2_normalize, norm
-from trawler.functions.wiki import page, table_rows
+from trawler.functions.wiki import table_rows
 from trawler.operators import catalog, fusion, lexical, sessions, vector, wiki
 from trawler.operators.chunking import chunk_documents
-from trawler.plans.query import QueryOptions, hybrid_query, merge_collections
-from trawler.session import settle, ship_package
+from trawler.plans.query import QueryOptions, hybrid_query, query_collections
+from trawler.session import settle, ship_package, spread
 from trawler.sources.tables import corpus_files, corpus_vectors, table, table_index
 
 COLLECTIONS = ["de", "en", "es", "fr"]
@@ -257,14 +257,17 @@ def doc_vector_knn(spark, sf_dir):
 # --- hybrid ----------------------------------------------------------------
 
 
-def _hybrid(spark, sf_dir, question, ids, reranker=None, **options):
-    ix = table_index(spark, sf_dir)
-    corpus = ix.corpus(
+def _corpus(spark, sf_dir, ids, reranker=None):
+    return table_index(spark, sf_dir).corpus(
         embedder=_StoredEmbedder(_query_vectors(spark, sf_dir, *ids)),
         reranker=reranker,
         contexts=settle(_contexts(spark, sf_dir)),
         global_context="all documents",
     )
+
+
+def _hybrid(spark, sf_dir, question, ids, reranker=None, **options):
+    corpus = _corpus(spark, sf_dir, ids, reranker)
     return hybrid_query(corpus, question, QueryOptions(**options))
 
 
@@ -324,10 +327,9 @@ def rerank_blend(spark, sf_dir):
 
 
 def query_merge_collections(spark, sf_dir):
-    answers = [
-        _hybrid(spark, sf_dir, "tion", (10,), collection=c, limit=max(20, 2 * 15)) for c in COLLECTIONS
-    ]
-    return merge_collections(answers, 15).select("collection", "path", _score())
+    corpus = _corpus(spark, sf_dir, (10,))
+    merged = query_collections(corpus, "tion", COLLECTIONS, QueryOptions(limit=15))
+    return merged.select("collection", "path", _score())
 
 
 def rrf_two_lists(spark, sf_dir):
@@ -355,7 +357,7 @@ def best_query_chunk(spark, sf_dir):
 
 
 def doc_title_snippet(spark, sf_dir):
-    files = corpus_files(spark, sf_dir)
+    files = spread(corpus_files(spark, sf_dir), "rowid")
     return files.select(
         "rowid", tx.title(F.col("body"), F.col("rel_path")).alias("title"), tx.snippet(F.col("body")).alias("snippet")
     )
@@ -394,14 +396,15 @@ def context_longest_prefix(spark, sf_dir):
 
 def chunk_markdown(spark, sf_dir):
     ship_package(spark)
-    chunks = chunk_documents(corpus_files(spark, sf_dir), ["rowid"])
+    chunks = chunk_documents(spread(corpus_files(spark, sf_dir), "rowid"), ["rowid"])
     return chunks.select(
         "rowid", "chunk_index", "start_offset", "end_offset", "heading", F.md5(F.col("content").cast("binary")).alias("content_md5")
     )
 
 
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("estimate"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select("doc_id", tx.estimate_tokens(F.col("text")).alias("estimate"))
 
 
 def glob_filter(spark, sf_dir):
@@ -417,7 +420,7 @@ def slugify(spark, sf_dir):
 
 
 def haystack_search(spark, sf_dir):
-    files = corpus_files(spark, sf_dir).withColumn("title", tx.title(F.col("body"), F.col("rel_path")))
+    files = spread(corpus_files(spark, sf_dir), "rowid").withColumn("title", tx.title(F.col("body"), F.col("rel_path")))
     parsed = files.select(
         "rel_path", "title", F.col("title").alias("slug"), F.lit("").alias("summary"), F.col("body").alias("text")
     )
@@ -507,7 +510,7 @@ def _wiki_pages(spark, sf_dir) -> DataFrame:
     """Topic pages from labelled documents: low quality lacks the core
     section, toxic ones lack the explanation, German ones have no title."""
     labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id")
     clean = F.regexp_replace("text", "[<>]", " ")
 
     def section(name, when):
@@ -524,11 +527,11 @@ def _wiki_pages(spark, sf_dir) -> DataFrame:
 
 
 def wiki_page_parse(spark, sf_dir):
-    parsed = _wiki_pages(spark, sf_dir).select("doc_id", page(F.col("text"), F.col("rel_path")).alias("p"))
+    parsed = wiki.parse_pages(_wiki_pages(spark, sf_dir))
     return parsed.select(
-        "doc_id", "p.title", "p.slug", "p.kind", "p.summary",
-        F.array_join(F.array_sort(F.map_keys("p.sections")), ",").alias("section_names"),
-        F.char_length(F.col("p.sections")["card"]).alias("card_chars"),
+        "doc_id", "title", "slug", "kind", "summary",
+        F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("section_names"),
+        F.char_length(F.col("sections")["card"]).alias("card_chars"),
     )
 
 

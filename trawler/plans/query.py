@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from trawler.config import (
     NO_MIN_SCORE,
     ORIGINAL_WEIGHT,
     QUERY_LIMIT,
+    VECTOR_OVERFETCH,
 )
 from trawler.functions.models import (
     Embedder,
@@ -26,8 +28,8 @@ from trawler.functions.models import (
 )
 from trawler.functions.terms import rerank_question
 from trawler.operators.fusion import RankedList, blend_rerank, enrich, fuse_lists, rank_candidates, top_rank_bonus
-from trawler.operators.lexical import TermIndex, search
-from trawler.operators.vector import has_vectors, vector_search
+from trawler.operators.lexical import TermIndex, candidate_cut, search, top_candidates
+from trawler.operators.vector import has_vectors, nearest_chunks, vector_search
 from trawler.session import settle
 
 RESULT_COLUMNS = [
@@ -53,6 +55,10 @@ class Corpus:
     metric: str = "l2"
     uri_scheme: str = "doc"
     docs_per_shard: int = 0
+    # Current vectors per collection, when known from the last commit.
+    vector_counts: dict[str, int] | None = None
+    # Global candidates shared by the collections of one call.
+    shared: dict | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -77,25 +83,49 @@ class QueryOptions:
     search_queries: list[str] = field(default_factory=list)
 
 
+def _once(corpus: Corpus, key: tuple, make) -> DataFrame | None:
+    """A settled global result, made once when several collections share it."""
+    if corpus.shared is None:
+        return None
+    if key not in corpus.shared:
+        corpus.shared[key] = settle(make())
+    return corpus.shared[key]
+
+
 def _lexical(corpus: Corpus, options: QueryOptions, text: str) -> DataFrame:
+    cut = candidate_cut(options.collection, BACKEND_LIMIT)
+    candidates = _once(corpus, ("fts", text, cut), lambda: top_candidates(corpus.terms, text, cut))
     return search(
         corpus.terms, corpus.documents, text, options.collection, BACKEND_LIMIT,
-        docs_per_shard=corpus.docs_per_shard,
+        docs_per_shard=corpus.docs_per_shard, candidates=candidates,
     )
 
 
+def _any_vectors(corpus: Corpus, collection: str) -> bool:
+    if corpus.vector_counts is None:
+        return has_vectors(corpus.vectors, corpus.documents, collection, corpus.fingerprint)
+    counts = corpus.vector_counts
+    return (counts.get(collection, 0) if collection else sum(counts.values())) > 0
+
+
 def _vector_lists(corpus: Corpus, options: QueryOptions, wanted: list[tuple], keep_empty=True) -> list[RankedList]:
     """One list per (type, text, weight); all texts are embedded in one call."""
     if corpus.embedder is None or corpus.vectors is None or not wanted:
         return []
-    if not has_vectors(corpus.vectors, corpus.documents, options.collection, corpus.fingerprint):
+    if not _any_vectors(corpus, options.collection):
         return []
     texts = [query_input(corpus.embedder.name, text) for _, text, _ in wanted]
     lists = []
-    for (kind, text, weight), vector in zip(wanted, corpus.embedder.embed_batch(texts)):
+    for at, ((kind, text, weight), vector) in enumerate(zip(wanted, corpus.embedder.embed_batch(texts))):
+        near = _once(
+            corpus, ("vec", at, text),
+            lambda v=vector: nearest_chunks(
+                corpus.vectors, [v], BACKEND_LIMIT * VECTOR_OVERFETCH, corpus.metric, corpus.fingerprint
+            ),
+        )
         hits = vector_search(
             corpus.vectors, corpus.documents, [vector], options.collection, BACKEND_LIMIT,
-            NO_MIN_SCORE, corpus.metric, corpus.fingerprint,
+            NO_MIN_SCORE, corpus.metric, corpus.fingerprint, near,
         )
         lists.append(RankedList("vec", kind, text, weight, hits, keep_empty))
     return lists
@@ -217,7 +247,25 @@ def explain_column():
 
 def merge_collections(results: list[DataFrame], limit: int) -> DataFrame:
     """Answers of several collections by score, then collection, then path."""
-    merged = results[0]
-    for other in results[1:]:
-        merged = merged.unionByName(other)
+    merged = reduce(DataFrame.unionByName, results)
     return merged.orderBy(F.desc("score"), "collection", "path").limit(limit)
+
+
+def query_collections(
+    corpus: Corpus, question: str, collections: list[str], options: QueryOptions = QueryOptions()
+) -> DataFrame | None:
+    """One hybrid query per collection, merged.
+
+    Candidates are global before the collection filter, so the index and the
+    vectors are searched once for all collections.
+    """
+    collections = list(dict.fromkeys(c for c in collections if c))
+    limit = options.limit if options.limit > 0 else QUERY_LIMIT
+    per_collection = max(20, limit * 2) if len(collections) > 1 else limit
+    corpus = replace(corpus, shared={} if len(collections) > 1 else None)
+    answers = [
+        hybrid_query(corpus, question, replace(options, collection=c, limit=per_collection))
+        for c in collections
+    ]
+    answers = [a for a in answers if a is not None]
+    return merge_collections(answers, limit) if answers else None

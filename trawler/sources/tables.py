@@ -17,6 +17,7 @@ from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, Settings
 from trawler.functions.text import document_id
 from trawler.operators.lexical import TermIndex, shard_of
 from trawler.operators.postings import corpus_stats
+from trawler.operators.vector import vector_counts
 from trawler.plans.query import Corpus
 from trawler.session import shared_folder, ship_package
 from trawler.sources.index import (
@@ -149,11 +150,14 @@ class TableIndex:
         )
 
     def corpus(self, **models) -> Corpus:
+        vectors = corpus_vectors(self.spark, self.sf_dir)
+        counts = self._once("vector_counts", lambda: vector_counts(vectors, self.documents))
         return Corpus(
             documents=self.documents,
             chunks=self.chunks,
             terms=self.terms,
-            vectors=corpus_vectors(self.spark, self.sf_dir),
+            vectors=vectors,
+            vector_counts=counts,
             docs_per_shard=self.settings.docs_per_shard,
             **models,
         )
