@@ -29,7 +29,7 @@ def scan_files(spark: SparkSession, path: str, include: list[str], ignore: list[
         .select(
             "rel_path",
             "abs_path",
-            F.decode("content", F.lit("UTF-8")).alias("body"),
+            F.col("content").cast("string").alias("body"),
             F.col("modificationTime").alias("mtime"),
             F.col("length").alias("size_bytes"),
         )
