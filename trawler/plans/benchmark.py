@@ -17,7 +17,7 @@ from trawler.operators import catalog, fusion, lexical, sessions, vector, wiki
 from trawler.operators.chunking import chunk_documents
 from trawler.plans.query import QueryOptions, hybrid_query, query_collections
 from trawler.session import settle, ship_package, spread
-from trawler.sources.tables import corpus_files, corpus_vectors, table, table_index
+from trawler.sources.tables import corpus_files, table, table_index
 
 COLLECTIONS = ["de", "en", "es", "fr"]
 HIT = ["rowid", "collection", "rel_path"]
@@ -199,20 +199,20 @@ def knn_filtered_docs(spark, sf_dir):
     hits = lexical.search(ix.terms, ix.documents, "the", "", 100, 0.0, ix.settings.docs_per_shard)
     ids = hits.orderBy("bm25_rank").select(F.col("id").alias("doc_id"))
     return _near(
-        vector.nearest_in_documents(corpus_vectors(spark, sf_dir), q, ids, 20, FILTERED_DOCS_MAX)
+        vector.nearest_in_documents(table_index(spark, sf_dir).vectors, q, ids, 20, FILTERED_DOCS_MAX)
     )
 
 
 def knn_best_per_doc(spark, sf_dir):
     (q,) = _query_vectors(spark, sf_dir, 3)
-    near = vector.nearest_chunks(corpus_vectors(spark, sf_dir), [q], 60, "cosine")
+    near = vector.nearest_chunks(table_index(spark, sf_dir).vectors, [q], 60, "cosine")
     return vector.best_chunk_per_document(near, ["doc_id"]).select("doc_id", "chunk_id", _score())
 
 
 def _vector_hits(spark, sf_dir, ids, collection, limit, min_score):
     ix = table_index(spark, sf_dir)
     hits = vector.vector_search(
-        corpus_vectors(spark, sf_dir), ix.documents, _query_vectors(spark, sf_dir, *ids), collection,
+        table_index(spark, sf_dir).vectors, ix.documents, _query_vectors(spark, sf_dir, *ids), collection,
         limit, min_score,
     )
     return hits.select("rowid", "collection", "chunk_id", _score(), "vector_rank")
@@ -248,7 +248,7 @@ def vector_l2_normalize(spark, sf_dir):
 def doc_vector_knn(spark, sf_dir):
     """One vector per document (the mean of its chunks), nearest to a query."""
     (q,) = _query_vectors(spark, sf_dir, 7)
-    pooled = vector.mean_pool(corpus_vectors(spark, sf_dir), "doc_id")
+    pooled = vector.mean_pool(table_index(spark, sf_dir).vectors, "doc_id")
     like = F.array(*[F.lit(float(x)) for x in q])
     scored = pooled.select("doc_id", cosine(F.col("embedding"), like).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", _score())
@@ -337,7 +337,7 @@ def rrf_two_lists(spark, sf_dir):
     ix = table_index(spark, sf_dir)
     lex = lexical.search(ix.terms, ix.documents, "ndtion", "", 20, 0.0, ix.settings.docs_per_shard)
     vec = vector.vector_search(
-        corpus_vectors(spark, sf_dir), ix.documents, _query_vectors(spark, sf_dir, 11), "", 20
+        table_index(spark, sf_dir).vectors, ix.documents, _query_vectors(spark, sf_dir, 11), "", 20
     )
     part = lambda df, rank: df.select("id", F.col(rank).alias("rank"))
     both = part(lex, "bm25_rank").unionByName(part(vec, "vector_rank"))
@@ -465,13 +465,13 @@ def collection_stats(spark, sf_dir):
 def index_status(spark, sf_dir):
     ix = table_index(spark, sf_dir)
     docs = _stored(spark, sf_dir).select("id", "active")
-    return catalog.index_status(docs, ix.chunks.select("doc_id"), corpus_vectors(spark, sf_dir).select("doc_id"))
+    return catalog.index_status(docs, ix.chunks.select("doc_id"), table_index(spark, sf_dir).vectors.select("doc_id"))
 
 
 def embed_pending(spark, sf_dir):
     ix = table_index(spark, sf_dir)
     docs = _stored(spark, sf_dir).select("id", "collection", "rel_path", "active")
-    state = catalog.embedding_state(docs, ix.chunks.select("doc_id"), corpus_vectors(spark, sf_dir).select("doc_id"))
+    state = catalog.embedding_state(docs, ix.chunks.select("doc_id"), table_index(spark, sf_dir).vectors.select("doc_id"))
     return state.filter(catalog.needs_embedding()).select("collection", "rel_path", "chunks", "vectors")
 
 

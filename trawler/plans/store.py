@@ -46,6 +46,7 @@ from trawler.sources.index import (
     write_chunks,
     write_entry_postings,
     write_search_tables,
+    write_texts,
 )
 
 MANIFEST_SCHEMA = "rev long, state string"
@@ -71,6 +72,8 @@ SCHEMAS = {
     ),
     "retired": "kind string, rowid long, old_rev int",
 }
+# Tables looked up by row, partitioned so that a lookup reads few shards.
+SHARDED = ("texts", "documents", "chunks")
 INDEX_TABLES = ("texts", "documents", "postings", "entries", "chunks", "chunk_postings")
 
 
@@ -356,12 +359,17 @@ class CorpusStore:
 
     def _append(self, name: str, rows: DataFrame, rev: int) -> None:
         columns = T._parse_datatype_string(SCHEMAS[name]).names
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/rev={rev}")
+        writer = rows.select(*columns).write.mode("overwrite")
+        if name in SHARDED:
+            writer = writer.partitionBy("shard")
+        writer.parquet(f"{self.root}/{name}/rev={rev}")
 
     def _write_revision(self, files: DataFrame, rev: int, inactive: DataFrame) -> None:
         """Index ``files`` as a revision; ``inactive`` document rows join it."""
         path = lambda t: f"{self.root}/{t}/rev={rev}"
         paths = {t: path(t) for t in (*INDEX_TABLES, "tokens")}
+        write_texts(files, paths["texts"], self.settings)
+        files = self.spark.read.schema(files.schema).parquet(paths["texts"]).drop("shard")
         if files.isEmpty():
             self._append("documents", inactive, rev)
             return

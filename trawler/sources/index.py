@@ -40,8 +40,14 @@ def document_rows(files: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def write_texts(files: DataFrame, path: str, settings: Settings) -> None:
+    """Keep the input rows; what follows reads them instead of the source."""
+    rows = files.withColumn("shard", shard_of("rowid", settings.docs_per_shard))
+    rows.write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
 def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Settings) -> None:
-    """Write ``texts``, ``tokens``, ``documents`` and ``postings``.
+    """Write ``tokens``, ``documents`` and ``postings``.
 
     Text is tokenized (and stemmed) once, into a staging table that the
     metadata, both postings tables and their range sampling read.
@@ -58,8 +64,6 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
         stem_tokens(tokens(col), settings.stemmer).alias(f"{name}_tokens") for name, col in fields.items()
     ]
     rows.select(*meta, *arrays).write.mode("overwrite").parquet(paths["tokens"])
-    if "texts" in paths:
-        rows.select("rowid", "body", "shard").write.partitionBy("shard").mode("overwrite").parquet(paths["texts"])
 
     spark = files.sparkSession
     staged = spark.read.parquet(paths["tokens"])

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, Settings
 from trawler.functions.text import document_id
@@ -33,8 +34,18 @@ TABLES = (
 ).split()
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Read Parquet; the schema of a path is taken from its files only once."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,19 +104,19 @@ class TableIndex:
         def build():
             paths = {p: self._path(p) for p in ("tokens", "documents", "postings")}
             write_search_tables(corpus_files(self.spark, self.sf_dir), paths, self.settings)
-            return corpus_stats(self.spark.read.parquet(paths["documents"]))
+            return corpus_stats(read(self.spark, paths["documents"]))
 
         return self._once("documents", build)
 
     @property
     def documents(self) -> DataFrame:
         self._search_tables()
-        return self.spark.read.parquet(self._path("documents"))
+        return read(self.spark, self._path("documents"))
 
     @property
     def terms(self) -> TermIndex:
         rows, total = self._search_tables()
-        return TermIndex(self.spark.read.parquet(self._path("postings")), rows, total, self.settings.stemmer)
+        return TermIndex(read(self.spark, self._path("postings")), rows, total, self.settings.stemmer)
 
     @property
     def entries(self) -> TermIndex:
@@ -119,11 +130,11 @@ class TableIndex:
 
         rows, total = self._once("entries", build)
         return TermIndex(
-            self.spark.read.parquet(self._path("entries")), rows, total, self.settings.stemmer, ENTRY_WEIGHTS
+            read(self.spark, self._path("entries")), rows, total, self.settings.stemmer, ENTRY_WEIGHTS
         )
 
     def _count(self, part: str) -> int:
-        return self.spark.read.parquet(self._path(part)).count()
+        return read(self.spark, self._path(part)).count()
 
     @property
     def chunks(self) -> DataFrame:
@@ -132,7 +143,7 @@ class TableIndex:
             return True
 
         self._once("chunks", build)
-        return self.spark.read.parquet(self._path("chunks"))
+        return read(self.spark, self._path("chunks"))
 
     @property
     def chunk_terms(self) -> TermIndex:
@@ -142,15 +153,27 @@ class TableIndex:
 
         rows, total = self._once("chunk_postings", build)
         return TermIndex(
-            self.spark.read.parquet(self._path("chunk_postings")),
+            read(self.spark, self._path("chunk_postings")),
             rows,
             total,
             self.settings.stemmer,
             CHUNK_WEIGHTS,
         )
 
+    @property
+    def vectors(self) -> DataFrame:
+        """Chunk vectors with their document ids, so that a search scans one
+        table and joins only its top rows."""
+
+        def build():
+            corpus_vectors(self.spark, self.sf_dir).write.mode("overwrite").parquet(self._path("vectors"))
+            return True
+
+        self._once("vectors", build)
+        return read(self.spark, self._path("vectors"))
+
     def corpus(self, **models) -> Corpus:
-        vectors = corpus_vectors(self.spark, self.sf_dir)
+        vectors = self.vectors
         counts = self._once("vector_counts", lambda: vector_counts(vectors, self.documents))
         return Corpus(
             documents=self.documents,
