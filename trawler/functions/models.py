@@ -6,6 +6,8 @@ The defaults need no network and always give the same answer.
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -47,6 +49,14 @@ class Reranker(Protocol):
         """``id, file, text`` rows in; ``id, file, score`` rows out."""
 
 
+class TransientError(Exception):
+    """A call that may succeed later: rate limited or unavailable."""
+
+    def __init__(self, message: str = "", retry_after: float = 0.0):
+        super().__init__(message)
+        self.retry_after = retry_after
+
+
 class HashingEmbedder:
     """Signed feature hashing of words into a unit vector."""
 
@@ -64,6 +74,26 @@ class HashingEmbedder:
         return np.divide(out, lengths, out=out, where=lengths > 0).astype(np.float32).tolist()
 
 
+class RetryingEmbedder:
+    """Repeat a remote embedder's call on ``TransientError``, with growing,
+    jittered waits; each executor task holds its own copy."""
+
+    def __init__(self, inner: Embedder, retries: int = 3, first_wait: float = 1.0, sleep=time.sleep):
+        self.inner, self.retries, self.first_wait, self.sleep = inner, retries, first_wait, sleep
+        self.name = inner.name
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        for attempt in range(self.retries + 1):
+            try:
+                return self.inner.embed_batch(texts)
+            except TransientError as problem:
+                if attempt == self.retries:
+                    raise
+                wait = self.first_wait * 2**attempt * random.uniform(0.75, 1.25)
+                self.sleep(problem.retry_after or wait)
+        raise AssertionError("unreachable")
+
+
 class OverlapReranker:
     """Share of the question's terms a text contains."""
 

@@ -80,6 +80,33 @@ def list_sessions(sessions: DataFrame, agent: str = "", limit: int = SESSION_LIM
     return sessions.orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
+def start_runs(runs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Add requested runs (``id, session_id, agent_id, started_at``), except
+    for sessions that are busy with a running one."""
+    busy = runs.filter(F.col("status") == "running").select("session_id")
+    started = (
+        requests.join(busy, "session_id", "left_anti")
+        .withColumn("agent_id", F.coalesce(F.nullif("agent_id", F.lit("")), F.lit(DEFAULT_AGENT)))
+        .withColumn("status", F.lit("running"))
+        .withColumn("created_at", F.col("started_at"))
+        .withColumn("updated_at", F.col("started_at"))
+    )
+    return runs.unionByName(started, allowMissingColumns=True)
+
+
+def finish_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Apply ``id, status, error_code, error_message, finished_at`` rows, at
+    most one per run; other runs stay as they are."""
+    names = ["status", "error_code", "error_message", "finished_at"]
+    done = results.select("id", *[F.col(n).alias(f"_{n}") for n in names])
+    joined = runs.join(done, "id", "left")
+    hit = F.col("_finished_at").isNotNull()
+    for n in names:
+        joined = joined.withColumn(n, F.when(hit, F.col(f"_{n}")).otherwise(F.col(n)))
+    joined = joined.withColumn("updated_at", F.coalesce("_finished_at", "updated_at"))
+    return joined.select(*runs.columns)
+
+
 def running_run(runs: DataFrame, session: str) -> DataFrame:
     mine = runs.filter((F.col("session_id") == session) & (F.col("status") == "running"))
     return mine.orderBy(F.desc("updated_at"), "id").limit(1)
