@@ -79,3 +79,24 @@ def test_runs(spark):
     log = spark.createDataFrame([("r", 1, "RUN_STARTED"), ("r", 3, "RUN_ERROR"), ("q", 2, "RUN_STARTED"), ("q", 4, "TEXT")], "run string, at int, type string")
     status = {r.run: r.status for r in sessions.run_status(log, "run", F.col("at")).collect()}
     assert status == {"r": "failed", "q": "running"}
+
+
+def test_projects(tmp_path):
+    from trawler.sources.projects import Project, list_projects, load_project, resolve_root, save_project
+
+    root = str(tmp_path / "projects")
+    assert list_projects(root) == [] and resolve_root(root) == "." and resolve_root(root, "/x") == "/x"
+    good = Project("My Docs", "my-docs", "en", " local ", {"local": {"type": "local", "path": "/w"}})
+    save_project(root, good)
+    assert list_projects(root) == ["my-docs"] and load_project(root, "my-docs").project_name == "My Docs"
+    assert resolve_root(root, "", "My Docs") == "/w"
+    for change in (
+        {"language": " "}, {"active_source": "other"}, {"active_source": "remote"}, {"code_repos": [{"slug": "a"}]},
+        {"sources": {"local": {"type": "local", "path": "/w", "url": "u"}}}, {"sources": {"local": {"type": "remote", "path": "/w"}}},
+    ):
+        with pytest.raises(ValueError):
+            Project(**{**good.__dict__, **change}).check()
+    remote = Project("R", "r", "en", "remote", {"remote": {"type": "remote", "url": "http://x"}})
+    save_project(root, remote)
+    with pytest.raises(ValueError):
+        resolve_root(root, "", "r")
