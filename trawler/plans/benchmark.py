@@ -151,10 +151,11 @@ def porter_search(spark, sf_dir):
 
 
 def _query_vectors(spark, sf_dir, *ids) -> list[list[float]]:
-    """Query vectors: the stored vectors of a few given ids."""
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(*ids)).collect()
-    by_id = {r.vec_id: list(r.embedding) for r in rows}
-    return [by_id[i] for i in ids]
+    """Query vectors: one stored vector plus half of the next one, each."""
+    wanted = sorted({i for at in ids for i in (at, at + 1)})
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(*wanted)).collect()
+    by_id = {r.vec_id: r.embedding for r in rows}
+    return [[x + 0.5 * y for x, y in zip(by_id[i], by_id[i + 1])] for i in ids]
 
 
 class _StoredEmbedder:

@@ -193,7 +193,11 @@ WITH_VECTORS = f"WITH {CORPUS}, {VECTORS}"
 
 
 def target(vec_id: int) -> str:
-    return f"(SELECT e FROM vecs WHERE vec_id = {vec_id})"
+    """A query vector: one stored vector plus half of the next one."""
+    return (
+        "(SELECT list_transform(list_zip(a.e, b.e), lambda p: p[1] + 0.5 * p[2]) FROM vecs a, vecs b"
+        f" WHERE a.vec_id = {vec_id} AND b.vec_id = {vec_id + 1})"
+    )
 
 
 def vec_list(name: str, ids: list[int], collection="", limit=20, floor=-2.0) -> str:
