@@ -53,7 +53,7 @@ MANIFEST_SCHEMA = "rev long, state string"
 DOCUMENT_SCHEMA = (
     "rowid long, id string, collection string, rel_path string, title string, hash string, snippet string, "
     "abs_path string, mtime timestamp, size_bytes long, embedding_model string, active boolean, "
-    "created_at timestamp, updated_at timestamp, doc_len int, shard int"
+    "created_at timestamp, updated_at timestamp, doc_len int, entry_len int, shard int"
 )
 POSTING_SCHEMA = "term string, rowid long, field string, pos int, doc_len int"
 SCHEMAS = {
@@ -64,7 +64,7 @@ SCHEMAS = {
     "chunk_postings": POSTING_SCHEMA,
     "chunks": (
         "rowid long, doc_id string, chunk_index int, heading string, content string, start_offset long, "
-        "end_offset long, chunk_id string, snippet string, chunk_rowid long, shard int"
+        "end_offset long, chunk_id string, snippet string, chunk_rowid long, chunk_len int, shard int"
     ),
     "vectors": (
         "chunk_id string, doc_id string, rowid long, embedding array<float>, dimensions int, model string, "
@@ -399,10 +399,13 @@ class CorpusStore:
         """Refresh the corpus numbers from narrow columns, then commit."""
         before, self.state = self.state, state
         try:
-            live = self.documents.filter("active").agg(F.count("*").alias("n"), F.sum("doc_len").alias("t")).first()
+            live = self.documents.filter("active").agg(
+                F.count("*").alias("n"), F.sum("doc_len").alias("t"), F.sum("entry_len").alias("e")
+            ).first()
+            parts = self.chunks.agg(F.count("*").alias("n"), F.sum("chunk_len").alias("t")).first()
             state.stats["postings"] = [live.n, live.t or 0]
-            state.stats["entries"] = [live.n, self._live("entries").count()]
-            state.stats["chunk_postings"] = [self.chunks.count(), self._live("chunk_postings").count()]
+            state.stats["entries"] = [live.n, live.e or 0]
+            state.stats["chunk_postings"] = [parts.n, parts.t or 0]
             state.vectors = vector_counts(self.vectors, self.documents, self.fingerprint)
             state.vector_fingerprint = self.fingerprint
         except Exception:

@@ -69,7 +69,11 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
     staged = spark.read.parquet(paths["tokens"])
     length = sum((F.size(f"{name}_tokens") for name in fields), F.lit(0))
     staged = staged.withColumn("doc_len", length)
-    narrow = staged.select(*meta, "doc_len")
+    # Lengths live in narrow tables, so corpus numbers never need a posting scan.
+    entry_len = F.size("body_tokens") + sum(
+        (F.size(tokens(F.col(c))) for c in ("id", "collection", "rel_path")), F.lit(0)
+    )
+    narrow = staged.select(*meta, "doc_len", entry_len.alias("entry_len"))
     narrow.repartitionByRange("rowid").write.partitionBy("shard").mode("overwrite").parquet(paths["documents"])
     token_rows = staged.select("rowid", "doc_len", *[F.col(f"{n}_tokens").alias(n) for n in fields])
     postings = explode_postings(token_rows, list(FIELD_WEIGHTS), ["rowid"])
@@ -100,8 +104,11 @@ def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
     cut = chunk_documents(
         rows, ["rowid", "doc_id", "shard"], "body", settings.chunk_tokens, settings.chunk_overlap
     )
-    stored = indexed_chunks(cut, "doc_id").withColumn(
-        "chunk_rowid", F.col("rowid") * CHUNKS_PER_ROWID + F.col("chunk_index")
+    length = F.size(tokens(F.col("heading"))) + F.size(tokens(F.col("content")))
+    stored = (
+        indexed_chunks(cut, "doc_id")
+        .withColumn("chunk_rowid", F.col("rowid") * CHUNKS_PER_ROWID + F.col("chunk_index"))
+        .withColumn("chunk_len", length)
     )
     stored.write.partitionBy("shard").mode("overwrite").parquet(path)
 
