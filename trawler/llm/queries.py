@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
+from trawler.llm.simhash import simhash_near_dedup
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
