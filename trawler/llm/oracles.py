@@ -54,7 +54,67 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def _weight(children: str) -> str:
+    """Prior weight by moments of a table n, k, mean, as in ``url_filter``."""
+    return f"""(
+  SELECT CASE WHEN spread IS NULL OR spread <= chance OR room = 0 OR room IS NULL THEN 1000.0
+    ELSE least(greatest(room / (spread - chance) - 1, 1.0), 1000.0) END AS weight
+  FROM (SELECT sum((k - n * mean) * (k - n * mean) / n) AS spread, sum(mean * (1 - mean)) AS chance,
+      sum(mean * (1 - mean) * (n - 1)) AS room FROM {children} WHERE n > 0))"""
+
+
+_TWO = (
+    "('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'co.jp', 'or.jp', 'co.nz', 'com.br', 'co.in', 'co.za')"
+)
+
+URL_FILTER = rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+), p AS (
+  SELECT page_id, lower(raw) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts
+), outcomes AS (
+  SELECT host, (coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT AS bad
+  FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '([0-9]+)(?:\.html|/)?$', 1) AS BIGINT)
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL
+), hosts AS (
+  SELECT h.host, coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k,
+    array_to_string((string_split(h.host, '.'))[-2:], '.') AS two,
+    array_to_string((string_split(h.host, '.'))[-3:], '.') AS three,
+    array_to_string((string_split(h.host, '.'))[-1:], '.') AS one
+  FROM (SELECT DISTINCT host FROM p) h
+  LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS k FROM outcomes GROUP BY host) USING (host)
+), named AS (
+  SELECT host, n, k, CASE WHEN two IN {_TWO} THEN three ELSE two END AS domain,
+    CASE WHEN two IN {_TWO} THEN two ELSE one END AS suffix FROM hosts
+), domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
+), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
+), total AS (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) AS mean FROM suffixes
+), level1 AS (SELECT suffix, n, k, mean FROM suffixes, total
+), m1 AS (SELECT suffix, (k + weight * mean) / (n + weight) AS mean FROM level1, {_weight("level1")}
+), level2 AS (SELECT suffix, domain, n, k, mean FROM domains JOIN m1 USING (suffix)
+), m2 AS (SELECT suffix, domain, (k + weight * mean) / (n + weight) AS mean FROM level2, {_weight("level2")}
+), level3 AS (SELECT host, n, k, mean FROM named JOIN m2 USING (suffix, domain)
+), rated AS (
+  SELECT host, (k + weight * mean) / (n + weight) AS r, n + weight + 1 AS ab FROM level3, {_weight("level3")}
+), bounds AS (SELECT host, r, greatest(0, r - 1.96 * sqrt(r * (1 - r) / ab)) AS low FROM rated
+), rules(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+  SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+    arg_max(rverdict, length(rhost || rpath)) AS rverdict
+  FROM (SELECT DISTINCT host, path FROM p)
+  JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule,
+  coalesce(rverdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(r, 9) AS bad_rate, round(low, 9) AS bad_bound
+FROM p JOIN bounds ON bounds.host = p.host LEFT JOIN fitting ON fitting.host = p.host AND fitting.path = p.path
+"""
+
 ORACLES = {
     "op3_quality_rules": QUALITY_RULES,
     "op7_exact_dedup": EXACT_DEDUP,
+    "op8_url_filter": URL_FILTER,
 }

@@ -8,6 +8,7 @@ from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
 from trawler.llm.simhash import simhash_near_dedup
+from trawler.llm.url_filter import url_filter
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_url_filter": op8_url_filter,
 }
