@@ -8,6 +8,8 @@ from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
 from trawler.llm.simhash import simhash_near_dedup
+from trawler.llm.token_counts import token_counts
+from trawler.llm.toxicity import toxicity
 from trawler.llm.url_filter import url_filter
 
 
@@ -27,9 +29,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
