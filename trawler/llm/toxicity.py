@@ -5,11 +5,11 @@ not. With the class prior pi, the risk of a classifier g is estimated as
 ``pi R+(g) + max(0, R-_u(g) - pi R-_p(g))``: the positives' share in the unlabelled
 risk is taken off, and where that turns negative the step goes the other way, so
 that the model cannot fit by driving it below zero. The classifier is linear over
-the presence of words and is trained in numpy on a bounded sample
+the densities of words and word beginnings and is trained in numpy on a bounded sample
 (``SAMPLE_POSITIVE``, ``SAMPLE_UNLABELLED`` documents, the smallest by a hash of
-id and text). Its words are those whose share among the positives lies
-significantly above or below their share in the unlabelled sample. Everything
-else reads all rows: the class prior, and the scores.
+id and text). Its features are those whose mean density differs significantly
+between the two samples. Everything else reads all rows: the class prior, and
+the scores.
 
 Labels come only from rows whose crc32(doc_id) mod ``FOLDS`` is not 0; label, lang,
 source and id are no inputs of a score. Null text is empty and has the score of
@@ -31,7 +31,10 @@ FOLDS = 5
 SAMPLE_POSITIVE = 20_000
 SAMPLE_UNLABELLED = 40_000
 MAX_FEATURES = 4096
-MIN_Z = 4.5
+PREFIXES = (4, 6, 8)
+SCALE = 50
+MOST = 2.0
+MIN_Z = 5.0
 STEPS = 600
 RATE = 0.05
 DECAY = 1e-4
@@ -44,67 +47,93 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def row_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word hashes of all rows one after the other, and each row's first.
+def row_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes of all rows with repeats, the row of each, and the words per row.
 
-    Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+    Features are the words, runs of letters, digits and non-ASCII bytes with A-Z
+    lower-cased, and the first bytes of longer words (``PREFIXES``).
     """
-    starts, ends, _ = tb.words(*_letters(data, offsets))
-    hashes = tb.SpanHash(tb.lower_ascii(data)).of(starts, ends)
+    starts, ends, first = tb.words(np.where(_KEEP[data], data, np.uint8(0x20)), offsets)
+    spans = tb.SpanHash(tb.lower_ascii(data))
     row = np.searchsorted(offsets, starts, "right") - 1
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
+    hashes, rows = [spans.of(starts, ends)], [row]
+    for k in PREFIXES:
+        longer = ends - starts > k
+        begin = starts[longer]
+        hashes.append(spans.of(begin, begin + k) ^ np.uint64(k))
+        rows.append(row[longer])
+    return np.concatenate(hashes), np.concatenate(rows), np.diff(first)
+
+
+def densities(keys: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every key once per row, ordered by row, with its share of the row's words
+    in units of 1 / ``SCALE``, at most ``MOST``."""
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
     new = np.ones(len(row), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return hashes[new], np.searchsorted(row[new], np.arange(len(offsets)))
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(row)))
+    return keys[at], row[at], np.minimum(SCALE * times / np.maximum(words[row[at]], 1), MOST)
 
 
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def _letters(data, offsets):
-    return np.where(_KEEP[data], data, np.uint8(0x20)), offsets
-
-
 def _hashed(batches):
     for batch in batches:
         for lo, hi, data, offsets in tb.texts(batch.column("text")):
-            hashes, first = row_words(data, offsets)
-            words = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), words], names=["toxic", "words"])
-
-
-def choose_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the words whose document shares differ significantly."""
-    words_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
-    words_u, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-    words = np.union1d(words_p, words_u)
-    in_p, in_u = np.zeros(len(words)), np.zeros(len(words))
-    in_p[np.searchsorted(words, words_p)] = n_p
-    in_u[np.searchsorted(words, words_u)] = n_u
-    share = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
-    gap = in_p / len(positive) - in_u / len(unlabelled)
-    z = np.abs(gap) / np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
-    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return np.sort(words[best[z[best] >= MIN_Z]])
+            hashes, row, words = row_features(data, offsets)
+            hashes, row, values = densities(hashes, row, words)
+            first = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(first, pa.array(hashes.view(np.int64))),
+                    pa.ListArray.from_arrays(first, pa.array(values.astype(np.float32))),
+                ],
+                names=["features", "values"],
+            )
 
 
 class Sparse:
-    """Rows of present features, and the two products that training needs."""
-
-    def __init__(self, rows: list[np.ndarray], words: np.ndarray):
-        at = [np.searchsorted(words, r) for r in rows]
-        hit = [a[(a < len(words)) & (words[np.minimum(a, len(words) - 1)] == r)] if len(words) else a[:0] for a, r in zip(at, rows, strict=True)]
-        self.columns = np.concatenate(hit) if hit else np.zeros(0, np.int64)
-        self.rows = np.repeat(np.arange(len(rows)), [len(h) for h in hit])
-        self.shape = (len(rows), len(words))
+    """Feature values of sampled rows, and the two products that training needs."""
+
+    def __init__(self, rows: pd.DataFrame):
+        sizes = [len(x) for x in rows["features"]]
+        self.hashes = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]]).view(np.uint64)
+        self.values = np.concatenate([np.asarray(x, np.float64) for x in rows["values"]])
+        self.rows = np.repeat(np.arange(len(sizes)), sizes)
+        self.height, self.width = len(sizes), 0
+
+    def moments(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and variance of each of the sorted ``features``, all of which are told."""
+        at = np.searchsorted(features, self.hashes)
+        mean = np.bincount(at, self.values, len(features)) / self.height
+        return mean, np.bincount(at, self.values**2, len(features)) / self.height - mean**2
+
+    def keep(self, features: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(features, self.hashes), max(len(features) - 1, 0))
+        hit = features[at] == self.hashes if len(features) else np.zeros(len(at), bool)
+        self.columns, self.rows, self.values = at[hit], self.rows[hit], self.values[hit]
+        self.width = len(features)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[self.columns], self.shape[0])
+        return np.bincount(self.rows, self.values * weights[self.columns], self.height)
 
     def back(self, gradient: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, gradient[self.rows], self.shape[1])
+        return np.bincount(self.columns, self.values * gradient[self.rows], self.width)
+
+
+def choose_features(positive: Sparse, unlabelled: Sparse) -> np.ndarray:
+    """Sorted hashes of the features whose means differ significantly."""
+    features = np.union1d(positive.hashes, unlabelled.hashes)
+    (mean_p, var_p), (mean_u, var_u) = positive.moments(features), unlabelled.moments(features)
+    # One more row with the feature at its most, on either side, tames rare ones.
+    spread = (var_p + MOST / positive.height) / positive.height + (var_u + MOST / unlabelled.height) / unlabelled.height
+    z = np.abs(mean_p - mean_u) / np.sqrt(spread)
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    return np.sort(features[best[z[best] >= MIN_Z]])
 
 
 def _sigmoid(x):
@@ -113,10 +142,10 @@ def _sigmoid(x):
 
 def train(positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk of the logistic loss (Adam)."""
-    n = positive.shape[1]
+    n = positive.width
     theta, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     theta[n] = np.log(prior / (1 - prior))
-    n_p, n_u = positive.shape[0], unlabelled.shape[0]
+    n_p, n_u = positive.height, unlabelled.height
     for step in range(1, STEPS + 1):
         g_p, g_u = positive.dot(theta[:n]) + theta[n], unlabelled.dot(theta[:n]) + theta[n]
         # Logistic loss: as positive log(1 + e^-g), as negative log(1 + e^g).
@@ -135,7 +164,7 @@ def train(positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Words (sorted hashes), their weights and the bias."""
+    """Features (sorted hashes), their weights and the bias."""
     told = (
         labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
@@ -148,22 +177,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     learnt = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out())
     positive = told.filter("toxic = 1").select("doc_id")
 
-    def sample(rows: DataFrame, toxic: int, most: int) -> list[np.ndarray]:
+    def sample(rows: DataFrame, most: int) -> pd.DataFrame:
         # Only ids and hashes are sorted; texts are then fetched for the chosen ones.
         order = F.xxhash64("doc_id", "text")
         chosen = rows.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(most)
         taken = rows.withColumn("order", order).join(F.broadcast(chosen.distinct()), ["doc_id", "order"], "left_semi")
-        hashed = taken.select(F.lit(toxic).alias("toxic"), "text").mapInArrow(_hashed, "toxic int, words array<long>")
-        found: pd.DataFrame = hashed.toPandas()
-        return [np.asarray(w, dtype=np.int64).view(np.uint64) for w in found["words"]]
+        return taken.select("text").mapInArrow(_hashed, "features array<long>, values array<float>").toPandas()
 
-    rows_p = sample(learnt.join(positive, "doc_id", "left_semi"), 1, SAMPLE_POSITIVE)
-    rows_u = sample(learnt.join(positive, "doc_id", "left_anti"), 0, SAMPLE_UNLABELLED)
-    if not rows_p or not rows_u:
+    rows_p = sample(learnt.join(positive, "doc_id", "left_semi"), SAMPLE_POSITIVE)
+    rows_u = sample(learnt.join(positive, "doc_id", "left_anti"), SAMPLE_UNLABELLED)
+    if rows_p.empty or rows_u.empty:
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
-    words = choose_words(rows_p, rows_u)
-    weights, bias = train(Sparse(rows_p, words), Sparse(rows_u, words), prior)
-    return words, weights, bias
+    at_p, at_u = Sparse(rows_p), Sparse(rows_u)
+    features = choose_features(at_p, at_u)
+    at_p.keep(features)
+    at_u.keep(features)
+    return features, *train(at_p, at_u, prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,15 +200,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
-        words, weights, bias = model.value
+        features, weights, bias = model.value
         for batch in batches:
             for lo, hi, data, offsets in tb.texts(batch.column("text")):
-                hashes, first = row_words(data, offsets)
-                value = np.zeros(len(hashes))
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    value = np.where(words[at] == hashes, weights[at], 0.0)
-                score = _sigmoid(tb.sum_rows(value, first) + bias)
+                value = np.zeros(hi - lo)
+                if len(features):
+                    hashes, row, words = row_features(data, offsets)
+                    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+                    hit = features[at] == hashes
+                    found, row, density = densities(at[hit], row[hit], words)
+                    value = np.bincount(row, weights[found] * density, hi - lo)
+                score = _sigmoid(value + bias)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(score)], names=["doc_id", "score"]
                 )
