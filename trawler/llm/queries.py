@@ -9,11 +9,16 @@ from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
 from trawler.llm.sentencepiece import encode
 from trawler.llm.simhash import simhash_near_dedup
+from trawler.llm.suffix_tree import score
 from trawler.llm.token_counts import token_counts
 from trawler.llm.toxicity import toxicity
 from trawler.llm.url_filter import url_filter
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
