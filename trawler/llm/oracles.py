@@ -113,7 +113,63 @@ SELECT page_id, p.host, p.path, rule,
 FROM p JOIN bounds ON bounds.host = p.host LEFT JOIN fitting ON fitting.host = p.host AND fitting.path = p.path
 """
 
+
+def _mix_sources(sweeps: int = 12, steps: int = 8) -> str:
+    """Raking as one table per factor and sweep."""
+    power = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+    parts = [
+        r"""d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN regexp_matches(text, '(?i)licensed under|all rights reserved|copyright') THEN 'licensing'
+      WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}|(?i:password=|token = )') THEN 'credentials'
+      WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2}') THEN 'contacts'
+      WHEN regexp_matches(text, '\|[^|\n]*\|') THEN 'tables' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0 AS draw
+  FROM documents)""",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL)",
+    ]
+    for margin, p in power.items():
+        parts.append(
+            f"t_{margin} AS MATERIALIZED (SELECT {margin} AS value, pow(n / sum(n) OVER (), {p}) / sum(pow(n / total, {p})) OVER () "
+            f"* total AS target FROM (SELECT {margin}, sum(n) AS n, sum(sum(n)) OVER () AS total FROM cells "
+            f"GROUP BY {margin} HAVING sum(n) > 0))"
+        )
+    current = {m: f"(SELECT DISTINCT {m} AS value, 1.0 AS factor FROM cells)" for m in power}
+    for k in range(sweeps):
+        for margin in power:
+            others = [m for m in power if m != margin]
+            joins = " ".join(
+                f"LEFT JOIN {current[m]} f_{m} ON f_{m}.value = cells.{m}" for m in others
+            )
+            product = " * ".join(f"coalesce(f_{m}.factor, 1)" for m in others)
+            parts.append(
+                f"f{k}_{margin} AS MATERIALIZED (SELECT value, CASE WHEN there > 0 THEN target / there ELSE 1 END AS factor "
+                f"FROM (SELECT cells.{margin} AS value, sum(n * {product}) AS there FROM cells {joins} "
+                f"GROUP BY cells.{margin}) JOIN t_{margin} USING (value))"
+            )
+            current[margin] = f"f{k}_{margin}"
+    joins = " ".join(f"LEFT JOIN {t} f_{m} ON f_{m}.value = cells.{m}" for m, t in current.items())
+    product = " * ".join(f"coalesce(f_{m}.factor, 1)" for m in power)
+    parts.append(f"w AS MATERIALIZED (SELECT source, lang, topic, n, {product} AS weight FROM cells {joins})")
+    parts.append("s0 AS MATERIALIZED (SELECT 0.5 * sum(n) / sum(n * weight) AS scale FROM w)")
+    for k in range(1, steps + 1):
+        parts.append(
+            f"s{k} AS MATERIALIZED (SELECT greatest(any_value(scale), coalesce((0.5 * sum(n) - "
+            f"coalesce(sum(n) FILTER (weight * scale >= 1), 0)) / nullif(sum(n * weight) FILTER (weight * scale < 1), 0), 0)) "
+            f"AS scale FROM w, s{k - 1})"
+        )
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight,
+  round(least(1, weight * scale), 6) AS probability, draw < least(1, weight * scale) AS sampled
+FROM d JOIN w USING (source, lang, topic), s{steps}
+"""
+    )
+
+
 ORACLES = {
+    "op1_mix_sources": _mix_sources(),
     "op3_quality_rules": QUALITY_RULES,
     "op7_exact_dedup": EXACT_DEDUP,
     "op8_url_filter": URL_FILTER,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
+from trawler.llm.raking import mix_sources
 from trawler.llm.sentencepiece import encode
 from trawler.llm.simhash import simhash_near_dedup
 from trawler.llm.suffix_tree import score
@@ -15,6 +16,10 @@ from trawler.llm.toxicity import toxicity
 from trawler.llm.url_filter import url_filter
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
