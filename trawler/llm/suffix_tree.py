@@ -37,7 +37,7 @@ from trawler.llm import textbytes as tb
 from trawler.llm.frames import settled
 
 DEPTH = 6
-MIN_SHARE = 1e-6
+MIN_SHARE = 2e-6
 MIN_DIVERGENCE = 0.02
 PSEUDO = 5.0
 FREQUENT = 2.0**-22
@@ -49,6 +49,7 @@ SLICE = 4 << 20
 HELD = 3_000_000
 
 _GRAM, _WORD, _TEXT = 0, 1, 2
+_BYTE, _LAST = np.uint64(8), np.uint64(0xFF)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -153,48 +154,45 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Tree:
-    """States and smoothed distributions; ``levels[k]`` holds contexts of k symbols.
+    """States and smoothed distributions.
 
-    ``levels``: per k arrays (context, symbol, n) ordered by context and symbol,
-    of the contexts frequent enough.
+    ``levels[k]`` has sorted keys (context of k symbols, then the next one) and
+    their counts, of the contexts frequent enough.
     """
 
     def __init__(self, levels, pseudo: float = PSEUDO, min_divergence: float = MIN_DIVERGENCE):
         kept = self._retained(levels, min_divergence)
         self.states, self.entries, self.values, self.backoff = [], [], [], []
-        for k, (context, symbol, n) in enumerate(levels):
-            keep = np.isin(context, kept[k])
-            context, symbol, n = context[keep], symbol[keep], n[keep]
-            states, state = np.unique(context, return_inverse=True)
+        for k, (keys, n) in enumerate(levels):
+            keep = _find(kept[k], keys >> _BYTE) >= 0
+            keys, n = keys[keep], n[keep]
+            states, state = _groups(keys >> _BYTE)
             total = np.bincount(state, n, len(states))
             weight = pseudo * np.bincount(state, minlength=len(states)) + 1
-            keys = context << np.uint64(8) | symbol.astype(np.uint64)
-            below = 10 ** self._log10(_suffix(context, k - 1), symbol, k - 1) if k else np.full(len(keys), 1 / 256)
+            if k:
+                below = 10 ** self._log10(_suffix(keys >> _BYTE, k - 1), keys & _LAST, k - 1)
+            else:
+                below = np.full(len(keys), 1 / 256)
             value = (n + weight[state] * below) / (total + weight)[state]
             self.states.append(states)
             self.entries.append(keys)
-            self.values.append(np.log10(value))
+            self.values.append(np.log10(value).astype(np.float32))
             self.backoff.append(np.log10(weight / (total + weight)))
 
     @staticmethod
     def _retained(levels, min_divergence: float) -> list[np.ndarray]:
         kept = []
-        for k, (context, symbol, n) in enumerate(levels):
-            states, state = np.unique(context, return_inverse=True)
-            if k == 0:
+        for k, (keys, n) in enumerate(levels):
+            states, state = _groups(keys >> _BYTE)
+            share = n / np.bincount(state, n, len(states))[state]
+            if k:
+                # What follows a context follows its suffix at least as often, so it is told there.
+                at = np.searchsorted(above_keys, _suffix(keys >> _BYTE, k - 1) << _BYTE | (keys & _LAST))
+                divergence = np.bincount(state, share * np.log(share / above_share[at]), len(states))
+                kept.append(states[divergence >= min_divergence])
+            else:
                 kept.append(states)
-                continue
-            above, above_symbol, above_n = levels[k - 1]
-            above_total = np.bincount(np.unique(above, return_inverse=True)[1], above_n) if len(above) else np.zeros(0)
-            above_state = np.unique(above, return_inverse=True)[1]
-            above_share = above_n / above_total[above_state]
-            keys = above << np.uint64(8) | above_symbol.astype(np.uint64)
-            # What follows a context follows its suffix at least as often, so it is told there.
-            at = np.searchsorted(keys, _suffix(context, k - 1) << np.uint64(8) | symbol.astype(np.uint64))
-            total = np.bincount(state, n, len(states))
-            share = n / total[state]
-            divergence = np.bincount(state, share * np.log(share / above_share[at]), len(states))
-            kept.append(states[divergence >= min_divergence])
+            above_keys, above_share = keys, share
         for k in range(len(levels) - 1, 0, -1):
             kept[k - 1] = np.union1d(kept[k - 1], _suffix(kept[k], k - 1))
         return kept
@@ -211,7 +209,7 @@ class Tree:
             state = _find(self.states[k], code)
             is_state = state >= 0
             entry = np.full(len(open_), -1)
-            entry[is_state] = _find(self.entries[k], code[is_state] << np.uint64(8) | symbol[open_[is_state]].astype(np.uint64))
+            entry[is_state] = _find(self.entries[k], code[is_state] << _BYTE | symbol[open_[is_state]])
             told = entry >= 0
             value[open_[told]] += self.values[k][entry[told]]
             further = is_state & ~told
@@ -223,7 +221,7 @@ class Tree:
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last symbol after the others."""
         deepest = len(self.states) - 1
-        return self._log10(keys >> np.uint64(8), (keys & np.uint64(0xFF)), deepest)
+        return self._log10(keys >> _BYTE, keys & _LAST, deepest)
 
 
 def _suffix(context: np.ndarray, k: int) -> np.ndarray:
@@ -231,6 +229,13 @@ def _suffix(context: np.ndarray, k: int) -> np.ndarray:
     return context & np.uint64((1 << (8 * k)) - 1)
 
 
+def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and which of them each element is."""
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new], np.cumsum(new) - 1
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of ``keys`` in a sorted table, -1 where absent."""
     if not len(table):
@@ -239,6 +244,14 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _collected(df: DataFrame, key: str, count: str) -> tuple[np.ndarray, np.ndarray]:
+    """A small table as arrays, ordered by its key as an unsigned number."""
+    told = df.select(key, count).toArrow()
+    keys = told.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], told.column(1).to_numpy()[order]
+
+
 def train(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
     """The tree of gram counts (kind, key, n)."""
     level = settled(counted.filter(F.col("kind") == _GRAM).select("key", "n"))
@@ -250,11 +263,8 @@ def train(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE)
         frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= least).select("context")
         # At most 1 / min_share contexts, and 64 / min_share entries, whatever the corpus.
         told = level.filter(F.col("n") >= least_entry).withColumn("context", context)
-        told = told.join(F.broadcast(frequent), "context", "left_semi").select("key", "n").toPandas()
-        key = told["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        key, n = key[order], told["n"].to_numpy(np.int64)[order]
-        levels.append((key >> np.uint64(8), key & np.uint64(0xFF), n))
+        told = told.join(F.broadcast(frequent), "context", "left_semi").select("key", "n")
+        levels.append(_collected(told, "key", "n"))
         if k:
             mask = (1 << (8 * k)) - 1
             level = level.groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("key")).agg(F.sum("n").alias("n"))
@@ -274,12 +284,9 @@ def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) ->
     train_tokens, distinct = (totals["n"] or 0) + texts, totals["v"] + (texts > 0)
     whole = math.log10(train_tokens + distinct + 1)
 
-    frequent = vocabulary.filter(F.col("c") >= max(train_tokens * FREQUENT, 1)).toPandas()
-    frequent_words = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent_words)
-    shared = spark.sparkContext.broadcast(
-        (train(counted, depth, min_share), frequent_words[order], np.log10(frequent["c"].to_numpy(np.float64)[order] + 1))
-    )
+    frequent = vocabulary.filter(F.col("c") >= max(train_tokens * FREQUENT, 1))
+    words, c = _collected(frequent, "word", "c")
+    shared = spark.sparkContext.broadcast((train(counted, depth, min_share), words, np.log10(c + 1.0)))
     end_score, end_known = math.log10(texts + 1) - whole, int(texts > 0)
 
     def run(batches):
