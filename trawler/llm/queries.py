@@ -8,6 +8,7 @@ from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
 from trawler.llm.quality_rules import quality_rules
 from trawler.llm.raking import mix_sources
+from trawler.llm.secret_scan import secret_scan
 from trawler.llm.sentencepiece import encode
 from trawler.llm.simhash import simhash_near_dedup
 from trawler.llm.suffix_tree import score
@@ -28,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
