@@ -27,8 +27,9 @@ were seen before come from a table of bounded size.
 from __future__ import annotations
 
 import math
+import re
 import struct
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +107,13 @@ class Model:
         self.unknown_id = next((i for i, (_, _, t) in enumerate(entries) if t == 2), 0)
         self.longest = max(map(len, self.score), default=1)
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        # Scores of pieces, None for what only begins one; a start stops at the first miss.
-        self.lattice: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)}
-        self.lattice |= self.score
-        self.miss = math.nan
+        # A trie over characters: each leads to the score of the piece so far, if it is one, and on.
+        self.trie: dict = {}
+        for piece, score in self.score.items():
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(piece[-1], [None, {}])[0] = score
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -163,26 +167,25 @@ class StreamingViterbi:
 
     def _advance(self, stop: int) -> None:
         """Let the pieces from every start before ``stop`` reach their ends."""
-        model, text, best, back = self.model, self.text, self.best, self.back
-        lattice, miss, unknown, longest = model.lattice.get, model.miss, model.unknown_score, model.longest
+        text, best, back = self.text, self.best, self.back
+        trie, unknown, longest = self.model.trie, self.model.unknown_score, self.model.longest
         room = min(stop + longest, len(text)) + 1 - len(best)
         best += [_NEVER] * room
         back += [-1] * room
         for start in range(self.start, stop):
             here = best[start]
-            alone = False
-            for end in range(start + 1, min(start + longest, len(text)) + 1):
-                gain = lattice(text[start:end], miss)
-                if gain is miss:
+            node, end = trie, start
+            for c in text[start : start + longest]:
+                hit = node.get(c)
+                if hit is None:
                     break
-                if gain is None:
-                    continue
-                if end == start + 1:
-                    alone = True
+                end += 1
+                gain, node = hit
                 # Starts come in order, so a tie keeps the longer last piece.
-                if here + gain > best[end]:
+                if gain is not None and here + gain > best[end]:
                     best[end], back[end] = here + gain, start
-            if not alone and here + unknown > best[start + 1]:
+            first = trie.get(text[start])
+            if (first is None or first[0] is None) and here + unknown > best[start + 1]:
                 best[start + 1], back[start + 1] = here + unknown, start
         self.start = stop
 
@@ -207,59 +210,60 @@ class StreamingViterbi:
         return out
 
     def _path(self, end: int) -> list[int]:
-        pieces = []
+        text, back, known, ids = self.text, self.back, self.model.id.get, []
         while end > 0:
-            pieces.append(self.text[self.back[end] : end])
-            end = self.back[end]
-        return [i for p in reversed(pieces) for i in self.model.ids(p)]
-
-
-def parts(marked: str) -> list[str]:
-    """Cut before each mark that follows another character: no piece spans such a place."""
-    cut = marked.split(MARK)
-    out, held = [], ""
-    for k, word in enumerate(cut):
-        held += MARK if k else ""
-        if word:
-            out.append(held + word)
-            held = ""
-    return [*out, held] if held else out
+            start = back[end]
+            piece = text[start:end]
+            found = known(piece)
+            if found is None:
+                ids += reversed(self.model.ids(piece))
+            else:
+                ids.append(found)
+            end = start
+        ids.reverse()
+        return ids
 
 
 class Encoder:
-    """Encodes texts with one model; remembers short parts."""
+    """Encodes texts with one model; remembers short parts.
+
+    A part is a word with the marks before it, or a line break: no piece spans the
+    place before a mark that follows another character, nor a break, so all paths
+    converge there. A model with such pieces is searched whole.
+    """
 
     def __init__(self, model: Model):
-        self.model = model
         self.search = StreamingViterbi(model)
-        self.known: dict[str, list[int]] = {}
-        # Only where no piece holds a mark after another character may texts be cut.
-        self.separable = not any(MARK in p.lstrip(MARK) for p in model.score)
+        self.known: dict[str, bytes] = {}
+        longer = [p for p in model.score if len(p) > 1]
+        self.separable = not any(MARK in p.lstrip(MARK) for p in longer)
+        breaks = "" if any("\n" in p for p in longer) else "\n"
+        self.parts = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else "")).findall
 
-    def _segment(self, part: str) -> list[int]:
+    def _segment(self, part: str) -> bytes:
         # Characters arrive in blocks, as from a reader: the window stays short.
         out = []
         for k in range(0, len(part), 4096):
             out += self.search.feed(part[k : k + 4096])
-        return out + self.search.finish()
-
-    def encode(self, text: str) -> list[int]:
+        return array("i", out + self.search.finish()).tobytes()
+
+    def _new(self, part: str) -> bytes:
+        ids = self._segment(part)
+        if len(part) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         if not self.separable:
-            return self._segment(marked)
-        known, out = self.known, []
-        for part in parts(marked):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._segment(part)
-                if len(part) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return out
+            return np.frombuffer(self._segment(marked), np.int32)
+        known, new = self.known.get, self._new
+        return np.frombuffer(b"".join([known(p) or new(p) for p in self.parts(marked)]), np.int32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -278,10 +282,11 @@ def _shared(df: DataFrame, model: str):
     return df.sparkSession.sparkContext.broadcast(Model.read(model))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, carry=()) -> DataFrame:
     """doc_id, ids, n_pieces, n_chars (code points) and round_trip of every row.
 
-    ``round_trip`` says whether the ids decode to the text again.
+    ``round_trip`` says whether the ids decode to the text again. ``carry`` names
+    further text columns to keep.
     """
     shared = _shared(docs, model)
 
@@ -293,20 +298,26 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 ids = [encoder.encode(t) for t in texts]
                 first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, first[-1]))
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         pa.ListArray.from_arrays(pa.array(first, pa.int32()), flat),
                         pa.array(np.diff(first)),
                         pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([shared.value.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                        pa.array([shared.value.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                        *[batch.column(c).slice(lo, hi - lo) for c in carry],
                     ],
-                    names=["doc_id", "ids", "n_pieces", "n_chars", "round_trip"],
+                    names=["doc_id", "ids", "n_pieces", "n_chars", "round_trip", *carry],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_chars long, round_trip boolean")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *[F.col(c).cast("string").alias(c) for c in carry],
+    )
+    kept = "".join(f", {c} string" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, ids array<int>, n_pieces long, n_chars long, round_trip boolean{kept}")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
