@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawler.llm import textbytes as tb
+from trawler.llm.frames import settled
 
 FOLDS = 5
 SAMPLE_POSITIVE = 20_000
@@ -81,42 +82,53 @@ _KEEP = np.zeros(256, dtype=bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def _hashed(batches):
+def _moments(batches):
+    """Sums of the values and of their squares, by class and feature."""
     for batch in batches:
+        classes = batch.column("toxic").to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in tb.texts(batch.column("text")):
-            hashes, row, words = row_features(data, offsets)
-            hashes, row, values = densities(hashes, row, words)
-            first = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(first, pa.array(hashes.view(np.int64))),
-                    pa.ListArray.from_arrays(first, pa.array(values.astype(np.float32))),
-                ],
-                names=["features", "values"],
-            )
+            hashes, row, values = densities(*row_features(data, offsets))
+            for toxic in (0, 1):
+                mine = classes[lo:hi][row] == toxic
+                found, at = np.unique(hashes[mine], return_inverse=True)
+                sums = [np.bincount(at, values[mine] ** k, len(found)).astype(np.float64) for k in (1, 2)]
+                columns = [found.view(np.int64), np.full(len(found), toxic, np.int32), *sums]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["feature", "toxic", "s", "q"])
+
+
+def choose_features(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """Sorted hashes of the features whose means differ significantly, the first ``MAX_FEATURES``."""
+    told = sample.mapInArrow(_moments, "feature long, toxic int, s double, q double")
+    parts = {"p": (F.col("toxic") == 1, n_p), "u": (F.col("toxic") == 0, n_u)}
+    sums = [F.sum(F.when(mine, F.col(c))).alias(f"{c}_{k}") for k, (mine, _) in parts.items() for c in ("s", "q")]
+    summed = told.groupBy("feature").agg(*sums).na.fill(0.0)
+    spread = F.lit(0.0)
+    for k, (_, n) in parts.items():
+        mean = F.col(f"s_{k}") / n
+        # One more row with the feature at its most, on either side, tames rare ones.
+        spread = spread + (F.greatest(F.col(f"q_{k}") / n - mean * mean, F.lit(0.0)) + MOST / n) / n
+    z = F.abs(F.col("s_p") / n_p - F.col("s_u") / n_u) / F.sqrt(spread)
+    best = summed.select("feature", z.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature")
+    return np.sort(np.array([r["feature"] for r in best.limit(MAX_FEATURES).collect()], dtype=np.int64).view(np.uint64))
+
+
+def slice_values(data, offsets, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chosen features: which, in which row, and the value there."""
+    hashes, row, words = row_features(data, offsets)
+    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+    hit = features[at] == hashes
+    return densities(at[hit], row[hit], words)
 
 
 class Sparse:
-    """Feature values of sampled rows, and the two products that training needs."""
+    """Values of the chosen features in sampled rows, and the products that training needs."""
 
-    def __init__(self, rows: pd.DataFrame):
-        sizes = [len(x) for x in rows["features"]]
-        self.hashes = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]]).view(np.uint64)
+    def __init__(self, rows: pd.DataFrame, width: int):
+        sizes = [len(x) for x in rows["columns"]]
+        self.columns = np.concatenate([np.asarray(x, np.int64) for x in rows["columns"]])
         self.values = np.concatenate([np.asarray(x, np.float64) for x in rows["values"]])
         self.rows = np.repeat(np.arange(len(sizes)), sizes)
-        self.height, self.width = len(sizes), 0
-
-    def moments(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and variance of each of the sorted ``features``, all of which are told."""
-        at = np.searchsorted(features, self.hashes)
-        mean = np.bincount(at, self.values, len(features)) / self.height
-        return mean, np.bincount(at, self.values**2, len(features)) / self.height - mean**2
-
-    def keep(self, features: np.ndarray) -> None:
-        at = np.minimum(np.searchsorted(features, self.hashes), max(len(features) - 1, 0))
-        hit = features[at] == self.hashes if len(features) else np.zeros(len(at), bool)
-        self.columns, self.rows, self.values = at[hit], self.rows[hit], self.values[hit]
-        self.width = len(features)
+        self.height, self.width = len(sizes), width
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * weights[self.columns], self.height)
@@ -125,15 +137,19 @@ class Sparse:
         return np.bincount(self.columns, self.values * gradient[self.rows], self.width)
 
 
-def choose_features(positive: Sparse, unlabelled: Sparse) -> np.ndarray:
-    """Sorted hashes of the features whose means differ significantly."""
-    features = np.union1d(positive.hashes, unlabelled.hashes)
-    (mean_p, var_p), (mean_u, var_u) = positive.moments(features), unlabelled.moments(features)
-    # One more row with the feature at its most, on either side, tames rare ones.
-    spread = (var_p + MOST / positive.height) / positive.height + (var_u + MOST / unlabelled.height) / unlabelled.height
-    z = np.abs(mean_p - mean_u) / np.sqrt(spread)
-    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return np.sort(features[best[z[best] >= MIN_Z]])
+def chosen_values(sample: DataFrame, features: np.ndarray) -> pd.DataFrame:
+    """toxic, columns and values of every row of the sample: a few numbers a row."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in tb.texts(batch.column("text")):
+                columns, row, values = slice_values(data, offsets, features)
+                first = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (columns.astype(np.int32), values)]
+                toxic = batch.column("toxic").slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([toxic, *lists], names=["toxic", "columns", "values"])
+
+    return sample.mapInArrow(run, "toxic int, columns array<int>, values array<double>").toPandas()
 
 
 def _sigmoid(x):
@@ -177,21 +193,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     learnt = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out())
     positive = told.filter("toxic = 1").select("doc_id")
 
-    def sample(rows: DataFrame, most: int) -> pd.DataFrame:
+    def drawn(rows: DataFrame, toxic: int, most: int) -> DataFrame:
         # Only ids and hashes are sorted; texts are then fetched for the chosen ones.
         order = F.xxhash64("doc_id", "text")
-        chosen = rows.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(most)
-        taken = rows.withColumn("order", order).join(F.broadcast(chosen.distinct()), ["doc_id", "order"], "left_semi")
-        return taken.select("text").mapInArrow(_hashed, "features array<long>, values array<float>").toPandas()
-
-    rows_p = sample(learnt.join(positive, "doc_id", "left_semi"), SAMPLE_POSITIVE)
-    rows_u = sample(learnt.join(positive, "doc_id", "left_anti"), SAMPLE_UNLABELLED)
-    if rows_p.empty or rows_u.empty:
-        return np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
-    at_p, at_u = Sparse(rows_p), Sparse(rows_u)
-    features = choose_features(at_p, at_u)
-    at_p.keep(features)
-    at_u.keep(features)
+        chosen = rows.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(most).distinct()
+        taken = rows.withColumn("order", order).join(F.broadcast(chosen), ["doc_id", "order"], "left_semi")
+        return taken.select(F.lit(toxic).alias("toxic"), "text")
+
+    confirmed = drawn(learnt.join(positive, "doc_id", "left_semi"), 1, SAMPLE_POSITIVE)
+    others = drawn(learnt.join(positive, "doc_id", "left_anti"), 0, SAMPLE_UNLABELLED)
+    sample = settled(confirmed.unionByName(others))
+    heights = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    none = np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
+    if len(heights) < 2:
+        return none
+    features = choose_features(sample, heights[1], heights[0])
+    if not len(features):
+        return none
+    rows = chosen_values(sample, features)
+    at_p, at_u = (Sparse(rows[rows["toxic"] == k], len(features)) for k in (1, 0))
     return features, *train(at_p, at_u, prior)
 
 
@@ -205,10 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in tb.texts(batch.column("text")):
                 value = np.zeros(hi - lo)
                 if len(features):
-                    hashes, row, words = row_features(data, offsets)
-                    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
-                    hit = features[at] == hashes
-                    found, row, density = densities(at[hit], row[hit], words)
+                    found, row, density = slice_values(data, offsets, features)
                     value = np.bincount(row, weights[found] * density, hi - lo)
                 score = _sigmoid(value + bias)
                 yield pa.RecordBatch.from_arrays(
