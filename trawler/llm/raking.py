@@ -56,8 +56,8 @@ def topic(text: Column, topics=TOPICS) -> Column:
     return F.coalesce(found, F.lit("prose")) if found is not None else F.lit("prose")
 
 
-def with_cells(docs: DataFrame, topics=TOPICS) -> DataFrame:
-    """doc_id, the margins, n_tokens (words) and the draw of every row."""
+def with_cells(docs: DataFrame, topics=TOPICS, carry=()) -> DataFrame:
+    """doc_id, the margins, n_tokens (words) and the draw of every row, and ``carry``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.md5(F.concat(fold("doc_id"), F.lit("|"), text).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
@@ -68,6 +68,7 @@ def with_cells(docs: DataFrame, topics=TOPICS) -> DataFrame:
         topic(text, topics).alias("topic"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
         draw.alias("draw"),
+        *carry,
     )
 
 
@@ -131,15 +132,18 @@ def sampling_scale(cells: DataFrame, budget: float, steps: int = SCALE_STEPS) ->
     return scale
 
 
+def calibrated(rows: DataFrame, targets=None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+    """Weight and probability of every cell of ``rows`` (the margins, n_tokens)."""
+    cells = settled(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), 1)
+    weighted = settled(_weighted(cells, rake(cells, targets, sweeps)), 1)
+    probability = F.least(F.lit(1.0), F.col("weight") * F.lit(sampling_scale(weighted, budget)))
+    return small(weighted.select(*MARGINS, "weight", probability.alias("probability")))
+
+
 def mix_sources(docs: DataFrame, targets=None, budget: float = BUDGET, topics=TOPICS, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, the margins, n_tokens, weight, probability and sampled of every row."""
     rows = settled(with_cells(docs, topics))
-    cells = settled(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), 1)
-    weighted = settled(_weighted(cells, rake(cells, targets, sweeps)), 1)
-    scale = sampling_scale(weighted, budget)
-    probability = F.least(F.lit(1.0), F.col("weight") * F.lit(scale))
-    dealt = weighted.select(*MARGINS, F.col("weight"), probability.alias("probability"))
-    drawn = rows.join(small(dealt), list(MARGINS))
+    drawn = rows.join(calibrated(rows, targets, budget, sweeps), list(MARGINS))
     return drawn.select(
         "doc_id",
         *MARGINS,
