@@ -44,9 +44,9 @@ FREQUENT = 2.0**-22
 FOLDS, FOLD = 7, 2
 
 END = 0xFF
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Distinct counts a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 _GRAM, _WORD, _TEXT = 0, 1, 2
 _BYTE, _LAST = np.uint64(8), np.uint64(0xFF)
