@@ -108,7 +108,7 @@ class _Counter:
         counts = np.concatenate([n for _, n in self.parts])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
         self.parts = [(keys[at], np.add.reduceat(counts, at))]
         self.size = len(at)
 
