@@ -90,16 +90,19 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 def _coverage(run: Column, dictionary: list[int]) -> Column:
     """Share of the letter triples of a run that are in the dictionary, of all its triples."""
-    bits, low, places = F.lit(dictionary), F.lower(run), F.length(run) - 2
-
-    def told(count, i):
-        a, b, c = (F.ascii(F.substring(low, i + k, F.lit(1))) - 97 for k in range(3))
-        at = a * 676 + b * 26 + c
-        letters = a.between(0, 25) & b.between(0, 25) & c.between(0, 25)
+    bits = F.lit(dictionary)
+    codes = F.transform(F.split(F.lower(run), ""), lambda c: F.ascii(c) - 97)
+    after = [F.slice(codes, k, F.greatest(F.size(codes) - k + 1, F.lit(0))) for k in (2, 3)]
+    triples = F.arrays_zip(codes.alias("a"), after[0].alias("b"), after[1].alias("c"))
+
+    def told(count, t):
+        # The last two triples are short: their missing letters make this null.
+        letters = t["a"].between(0, 25) & t["b"].between(0, 25) & t["c"].between(0, 25)
+        at = t["a"] * 676 + t["b"] * 26 + t["c"]
         bit = F.getbit(F.element_at(bits, F.floor(at / 64).cast("int") + 1), at % 64)
         return count + F.when(letters, bit.cast("int")).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(1), places), F.lit(0), told) / places
+    return F.aggregate(triples, F.lit(0), told) / (F.length(run) - 2)
 
 
 def features(found: DataFrame, dictionary: list[int]) -> DataFrame:
