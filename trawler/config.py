@@ -18,7 +18,6 @@ BACKEND_LIMIT = 20
 RRF_K = 60.0
 COLLECTION_CANDIDATE_FACTOR = 10
 VECTOR_OVERFETCH = 3
-FILTERED_DOCS_MAX = 100
 FIELD_WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
 ENTRY_WEIGHTS = {"id": 1.0, "content": 1.0, "tags": 1.0, "article_path": 1.0}
 CHUNK_WEIGHTS = {"heading": 1.0, "content": 1.0}

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from trawler.config import BROADCAST_MAX_ROWS
 
-# Spark prunes rows before the shuffle only for row_number limits below its
-# group-limit threshold (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT_MAX = 1000
-
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a frame of at most ``rows`` rows, if that is small."""
@@ -30,8 +26,11 @@ def fetch(table: DataFrame, picked: DataFrame, key: str, rows: int) -> DataFrame
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """The ``k`` first rows of each group; every task sends on at most k."""
-    if k > GROUP_LIMIT_MAX:
-        raise ValueError(f"top_per_group serves k up to {GROUP_LIMIT_MAX}")
+    """The ``k`` first rows of each group.
+
+    Up to Spark's ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000) every
+    task sends on at most k rows of a group; beyond it the rows are cut after the
+    shuffle. The plan is the same for every k.
+    """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")

@@ -16,7 +16,7 @@ from trawler.functions.text import shorten, trim_space
 # Fixed values.
 DEFAULT_AGENT = "codex"
 DEFAULT_TITLE = "新对话"
-SESSION_LIMIT, SESSION_LIMIT_MAX = 50, 200
+SESSION_LIMIT = 50
 TITLE_CHARS, AUTO_TITLE_CHARS = 80, 30
 
 EVENT_FIELDS = "struct<seq:int,type:string,message_no:bigint,call_id:string,body:string>"
@@ -73,8 +73,8 @@ def update_sessions(sessions: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def list_sessions(sessions: DataFrame, agent: str = "", limit: int = SESSION_LIMIT) -> DataFrame:
-    if limit <= 0 or limit > SESSION_LIMIT_MAX:
-        limit = SESSION_LIMIT
+    """The ``limit`` sessions updated last; the default number if it is not positive."""
+    limit = limit if limit > 0 else SESSION_LIMIT
     if agent.strip():
         sessions = sessions.filter(F.col("agent_id") == agent)
     return sessions.orderBy(F.desc("updated_at"), "id").limit(limit)

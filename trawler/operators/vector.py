@@ -7,7 +7,6 @@ Vector tables have ``chunk_id, doc_id, embedding`` and may have
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawler.config import NO_MIN_SCORE, VECTOR_OVERFETCH
-from trawler.operators.lookup import GROUP_LIMIT_MAX, bounded, fetch, top_per_group
+from trawler.operators.lookup import fetch, top_per_group
 from trawler.session import settle
 
 Vector = Sequence[float]
@@ -96,21 +95,14 @@ def nearest_chunks(
 
     if len(queries) == 1:
         return scored(queries).orderBy(*order).limit(limit)
-    if limit <= GROUP_LIMIT_MAX:
-        return top_per_group(scored(queries), "variant", order, limit)
-    parts = [
-        scored([q]).orderBy(*order).limit(limit).withColumn("variant", F.lit(i))
-        for i, q in enumerate(queries)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return top_per_group(scored(queries), "variant", order, limit)
 
 
 def nearest_in_documents(
-    vectors: DataFrame, query: Vector, doc_ids: DataFrame, limit: int, max_docs: int, metric: str = "cosine"
+    vectors: DataFrame, query: Vector, doc_ids: DataFrame, limit: int, metric: str = "cosine"
 ) -> DataFrame:
-    """Nearest chunks among the first ``max_docs`` rows of ``doc_ids``."""
-    wanted = doc_ids.limit(max_docs).select("doc_id")
-    picked = vectors.join(bounded(wanted, max_docs), "doc_id", "left_semi")
+    """Nearest chunks among the documents in ``doc_ids``."""
+    picked = vectors.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     return nearest_chunks(picked, [query], limit, metric)
 
 
@@ -156,14 +148,7 @@ def variant_search(
     best = F.struct((-F.col("score")).alias("s"), "chunk_id", *extra)
     per_doc = found.groupBy(*by).agg(F.min(best).alias("best")).select(*by, "best.*")
     order = [F.col("s"), F.col("id"), F.col("chunk_id")]
-    if limit <= GROUP_LIMIT_MAX:
-        per_doc = top_per_group(per_doc, "variant", order, limit)
-    else:
-        parts = [
-            per_doc.filter(F.col("variant") == i).orderBy(*order).limit(limit)
-            for i in range(len(queries))
-        ]
-        per_doc = reduce(DataFrame.unionByName, parts)
+    per_doc = top_per_group(per_doc, "variant", order, limit)
     merged = per_doc.groupBy("id").agg(
         F.min(F.struct("s", "variant", "chunk_id", *extra)).alias("best")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawler.config import FILTERED_DOCS_MAX, VECTOR_SEARCH_MIN_SCORE
+from trawler.config import VECTOR_SEARCH_MIN_SCORE
 from trawler.functions import text as tx
 from trawler.functions.globs import included
 from trawler.functions.lexquery import parse, parse_any
@@ -197,11 +197,9 @@ def knn_filtered_docs(spark, sf_dir):
     """Nearest chunks among the documents a lexical search found."""
     ix = table_index(spark, sf_dir)
     (q,) = _query_vectors(spark, sf_dir, 2)
-    hits = lexical.search(ix.terms, ix.documents, "the", "", 100, 0.0, ix.settings.docs_per_shard)
-    ids = hits.orderBy("bm25_rank").select(F.col("id").alias("doc_id"))
-    return _near(
-        vector.nearest_in_documents(table_index(spark, sf_dir).vectors, q, ids, 20, FILTERED_DOCS_MAX)
-    )
+    hits = lexical.search(ix.terms, ix.documents, "the", "", 250, 0.0, ix.settings.docs_per_shard)
+    ids = hits.select(F.col("id").alias("doc_id"))
+    return _near(vector.nearest_in_documents(ix.vectors, q, ids, 20))
 
 
 def knn_best_per_doc(spark, sf_dir):
@@ -508,10 +506,10 @@ def index_counts(spark, sf_dir):
 
 
 def _wiki_pages(spark, sf_dir) -> DataFrame:
-    """Topic pages from labelled documents: low quality lacks the core
-    section, toxic ones lack the explanation, German ones have no title."""
+    """A topic page per document: without good quality it lacks the core section,
+    unless known as not toxic the explanation, and German ones have no title."""
     labels = table(spark, sf_dir, "labels")
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left")
     clean = F.regexp_replace("text", "[<>]", " ")
 
     def section(name, when):

@@ -187,7 +187,7 @@ def on_chunks(rest: str) -> str:
 # --- vectors -----------------------------------------------------------------
 
 VECTORS = """vecs AS (
-  SELECT format('v{:08d}', vec_id) AS chunk_id, vec_id, vec_id // 2 AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  SELECT format('v{:08d}', vec_id) AS chunk_id, vec_id, (vec_id // 2) % (SELECT count(*) FROM documents) AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 dvecs AS (SELECT v.*, c.id AS doc_id, c.collection FROM vecs v JOIN corpus c ON c.rowid = v.doc)"""
 WITH_VECTORS = f"WITH {CORPUS}, {VECTORS}"
 
@@ -328,7 +328,7 @@ ORACLES = {
     ),
     "knn_cosine": f"{WITH_VECTORS} SELECT chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, list_cosine_similarity(e, {target(0)}) AS s FROM vecs) ORDER BY s DESC, chunk_id LIMIT 20",
     "knn_l2_rescored": f"{WITH_VECTORS} SELECT chunk_id, round(list_cosine_similarity(e, {target(1)}), 9) AS score FROM vecs ORDER BY list_distance(e, {target(1)}), chunk_id LIMIT 60",
-    "knn_filtered_docs": f"WITH {_LEX_AND_VEC}, {lex_list('a', ['the*'], limit=100)} SELECT chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, list_cosine_similarity(e, {target(2)}) AS s FROM dvecs WHERE doc_id IN (SELECT id FROM a)) ORDER BY s DESC, chunk_id LIMIT 20",
+    "knn_filtered_docs": f"WITH {_LEX_AND_VEC}, {lex_list('a', ['the*'], limit=250)} SELECT chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, list_cosine_similarity(e, {target(2)}) AS s FROM dvecs WHERE doc_id IN (SELECT id FROM a)) ORDER BY s DESC, chunk_id LIMIT 20",
     "knn_best_per_doc": f"{WITH_VECTORS}, n AS (SELECT doc_id, chunk_id, list_cosine_similarity(e, {target(3)}) AS s FROM dvecs ORDER BY s DESC, chunk_id LIMIT 60) SELECT doc_id, chunk_id, round(s, 9) AS score FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, chunk_id) = 1",
     "knn_variants_max": vector_hits([0, 1, 2], limit=10),
     "search_vector_collection": vector_hits([4], "en", 20),
@@ -404,15 +404,15 @@ ORACLES = {
       CAST(d.doc_id AS VARCHAR) AS slug, 'topic' AS kind, source AS summary,
       'card' || CASE WHEN quality = 1 THEN ',core' ELSE '' END || CASE WHEN toxic = 0 THEN ',explain' ELSE '' END AS section_names,
       CAST(length(rtrim(text, chr(10))) AS INT) AS card_chars
-      FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+      FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "wiki_document_check": """SELECT 'wiki/topics/' || doc_id || '.md' AS rel_path, 'wiki/topics/' || doc_id || '.md: missing required section "' || s || '"' AS issue
-      FROM (SELECT doc_id, 'core' AS s FROM labels WHERE quality <> 1 UNION ALL SELECT doc_id, 'explain' FROM labels WHERE toxic <> 0)
-      WHERE doc_id IN (SELECT doc_id FROM documents)""",
+      FROM (SELECT doc_id, unnest(CASE WHEN quality IS DISTINCT FROM 1 THEN ['core'] ELSE [] END
+        || CASE WHEN toxic IS DISTINCT FROM 0 THEN ['explain'] ELSE [] END) AS s FROM documents LEFT JOIN labels USING (doc_id))""",
     "wiki_table_search": """SELECT 'wiki/' || lower(n_name) || '.md' AS rel_path, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS INT) AS row_no,
       c_name AS slug, c_mktsegment AS type, 'about ' || c_name AS description FROM customer JOIN nation ON n_nationkey = c_nationkey
       QUALIFY contains(lower(c_mktsegment || ' about ' || c_name || ' ' || c_name), 'building') OR contains(lower(c_name), '00001')""",
     "wiki_table_terms": "SELECT n_nationkey, CAST(count(*) AS INT) AS row_count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey",
-    "session_list": f"WITH {SESSIONS} SELECT id, updated_at, events FROM sess ORDER BY updated_at DESC, id LIMIT 50",
+    "session_list": f"WITH {SESSIONS} SELECT id, updated_at, events FROM sess ORDER BY updated_at DESC, id LIMIT 500",
     "session_list_agent": f"WITH {SESSIONS} SELECT id, updated_at, agent_id FROM sess WHERE agent_id = 'click' ORDER BY updated_at DESC, id LIMIT 20",
     "session_update": f"""WITH {SESSIONS}, bought AS (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS at,
         arg_max(CASE WHEN value > 20 THEN CAST(event_id AS VARCHAR) ELSE '' END, (ts, event_id)) AS run FROM events WHERE event_type = 'purchase' GROUP BY user_id)

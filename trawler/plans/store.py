@@ -602,7 +602,8 @@ class CorpusStore:
         """
         names = list(dict.fromkeys(c for c in collections if c)) or self.default_collections()
         if everything:
-            limit = 100_000 if mode == "lexical" else 500
+            # All documents: what the index holds, not a number of ours.
+            limit = max(1, self.documents.filter("active").count())
         limit = limit if limit > 0 else 20
         one = names[0] if len(names) == 1 else ""
         wide = max(50, limit * 2) if mode == "lexical" and len(names) > 1 and not everything else limit
@@ -616,7 +617,7 @@ class CorpusStore:
             return None
         if names:
             hits = hits.filter(F.col("collection").isin(names))
-        return hits.orderBy(F.desc(rank), "rowid").limit(limit)
+        return hits if everything else hits.orderBy(F.desc(rank), "rowid").limit(limit)
 
     def search_entries(self, query: str, tags: list[str] = (), limit: int = 10) -> DataFrame:
         """Documents with any of the words; every tag must be part of the tags."""

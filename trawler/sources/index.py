@@ -25,7 +25,7 @@ from trawler.operators.postings import POSTING_COLUMNS, explode_postings, tokeni
 from trawler.session import spread
 
 INPUT_COLUMNS = ["rowid", "collection", "rel_path", "body"]
-# Chunk rows are numbered inside their document; no document has 2^20 chunks.
+# Chunk rows are numbered inside their document; write_chunks fails on a longer one.
 CHUNKS_PER_ROWID = 1 << 20
 
 
@@ -104,10 +104,12 @@ def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
     cut = chunk_documents(
         rows, ["rowid", "doc_id", "shard"], "body", settings.chunk_tokens, settings.chunk_overlap
     )
+    too_many = F.raise_error(F.lit(f"a document has {CHUNKS_PER_ROWID} chunks or more; use larger ones"))
+    checked = F.when(F.col("chunk_index") < CHUNKS_PER_ROWID, F.col("chunk_index")).otherwise(too_many.cast("int"))
     length = F.size(tokens(F.col("heading"))) + F.size(tokens(F.col("content")))
     stored = (
         indexed_chunks(cut, "doc_id")
-        .withColumn("chunk_rowid", F.col("rowid") * CHUNKS_PER_ROWID + F.col("chunk_index"))
+        .withColumn("chunk_rowid", F.col("rowid") * CHUNKS_PER_ROWID + checked)
         .withColumn("chunk_len", length)
     )
     stored.write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -60,12 +60,14 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` as chunk vectors: two per document, in id order.
+    """``embeddings`` as chunk vectors: two per document, in id order, and again
+    from the first document on where there are more.
 
     ``doc_id`` is the id of the document the pair belongs to; the lookup reads
     three narrow columns of ``documents``.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents")
+    docs = documents.select(
         F.col("doc_id").alias("doc_rowid"),
         document_id(
             F.col("lang"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -73,7 +75,7 @@ def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     vectors = table(spark, sf_dir, "embeddings").select(
         F.format_string("v%08d", "vec_id").alias("chunk_id"),
-        F.floor(F.col("vec_id") / 2).alias("doc_rowid"),
+        (F.floor(F.col("vec_id") / 2) % max(1, documents.count())).alias("doc_rowid"),
         "vec_id",
         "label",
         "embedding",

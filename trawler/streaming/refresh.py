@@ -26,7 +26,7 @@ def stream_collection(store: CorpusStore, name: str, checkpoint: str, **trigger)
         .option("recursiveFileLookup", "true")
         .load(root)
         .withColumn("abs_path", F.regexp_replace("path", r"^file:/+", "/"))
-        .withColumn("rel_path", F.substring("abs_path", len(root) + 2, 1 << 20))
+        .withColumn("rel_path", F.expr(f"substring(abs_path, {len(root) + 2})"))
         .filter(included(F.col("rel_path"), item["include"], item["ignore"]))
         .select(
             "rel_path", "abs_path", F.col("content").cast("string").alias("body"),
