@@ -355,7 +355,14 @@ class CorpusStore:
         return F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
 
     def _next_rev(self, state: State) -> int:
-        return max(state.revisions, default=0) + 1
+        """A revision number that no attempt has used, committed or not.
+
+        What a failed attempt left behind is in no manifest line and is never read.
+        """
+        rev = max(state.revisions, default=0) + 1
+        while any(self._exists(f"{self.root}/{t}/rev={rev}") for t in (*SCHEMAS, "tokens")):
+            rev += 1
+        return rev
 
     def _append(self, name: str, rows: DataFrame, rev: int) -> None:
         columns = T._parse_datatype_string(SCHEMAS[name]).names
