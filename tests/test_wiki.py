@@ -1,11 +1,11 @@
 from trawler.operators import wiki
 
 PAGE = """---
-title: Sample Topic
+title: Mooring Lines
 kind: topic
 summary: "short: text"
 evidence:
-  - title: nested title
+  - title: inner heading
 ---
 intro
 <!-- kb:section id=card -->
@@ -18,14 +18,14 @@ core text
 """
 
 
-def parsed(spark, text, rel="wiki/topics/sample-topic.md"):
+def parsed(spark, text, rel="wiki/topics/mooring-lines.md"):
     return wiki.parse_pages(spark.createDataFrame([(rel, text)], "rel_path string, text string")).first()
 
 
 def test_page(spark):
     for text in (PAGE, "﻿" + PAGE):
         p = parsed(spark, text)
-        assert (p.title, p.slug, p.kind, p.summary, p.status) == ("Sample Topic", "sample-topic", "topic", "short: text", "")
+        assert (p.title, p.slug, p.kind, p.summary, p.status) == ("Mooring Lines", "mooring-lines", "topic", "short: text", "")
         assert p.sections == {"card": "card text", "core": "core text"} and p.error is None
     crlf = parsed(spark, PAGE.replace("card text\n\n", "card text\r\n"))
     assert crlf.sections["card"] == "card text"
@@ -41,7 +41,7 @@ def test_page_errors(spark):
     assert parsed(spark, head + start + "one\n" + end + start + "two\n" + end).sections == {"card": "two"}
     assert parsed(spark, head + start + end).sections == {"card": ""}
     assert parsed(spark, head).sections == {}
-    assert parsed(spark, "---\nkind: topic\n---\nbody").title == "sample-topic"
+    assert parsed(spark, "---\nkind: topic\n---\nbody").title == "mooring-lines"
 
 
 def test_check(spark):
@@ -58,7 +58,7 @@ TABLE = """# Index
 
 | type | description | slug |
 | --- | :---: | --- |
-| topic | sample topic | sample-topic |
+| topic | lines ashore | mooring-lines |
 |  flow | a \\| b | other |
 
 | second | table |
@@ -68,29 +68,29 @@ TABLE = """# Index
 
 def test_tables(spark):
     files = spark.createDataFrame([("wiki/index.md", TABLE)], "rel_path string, text string")
-    rows = wiki.search_table(files, "index", ["SAMPLE", ""]).collect()
-    assert [(r.slug, r.type, r.description) for r in rows] == [("sample-topic", "topic", "sample topic")]
+    rows = wiki.search_table(files, "index", ["ASHORE", ""]).collect()
+    assert [(r.slug, r.type, r.description) for r in rows] == [("mooring-lines", "topic", "lines ashore")]
     every = wiki.search_table(files, "index", []).orderBy("row_no").collect()
-    assert [(r.slug, r.description) for r in every] == [("sample-topic", "sample topic"), ("other", "a \\| b")]
+    assert [(r.slug, r.description) for r in every] == [("mooring-lines", "lines ashore"), ("other", "a \\| b")]
     glossary = spark.createDataFrame(
-        [("wiki/glossary.md", "| 术语 | 类型 | 说明 | slug |\n|---|---|---|---|\n| 样例术语 | topic | sample glossary | sample-topic |\n")],
+        [("wiki/glossary.md", "| 术语 | 类型 | 说明 | slug |\n|---|---|---|---|\n| 缆绳 | topic | a thick rope | mooring-lines |\n")],
         "rel_path string, text string",
     )
-    row = wiki.search_table(glossary, "glossary", ["样例"]).first()
-    assert (row.slug, row.glossary, row.type) == ("sample-topic", "样例术语", "topic")
-    assert [r.term for r in wiki.glossary_terms(glossary).collect()] == ["样例术语"]
+    row = wiki.search_table(glossary, "glossary", ["缆"]).first()
+    assert (row.slug, row.glossary, row.type) == ("mooring-lines", "缆绳", "topic")
+    assert [r.term for r in wiki.glossary_terms(glossary).collect()] == ["缆绳"]
     assert wiki.search_table(spark.createDataFrame([("a", "no table")], "rel_path string, text string"), "index", []).isEmpty()
 
 
 def test_page_search(spark):
-    files = spark.createDataFrame([("wiki/topics/sample-topic.md", PAGE)], "rel_path string, text string")
+    files = spark.createDataFrame([("wiki/topics/mooring-lines.md", PAGE)], "rel_path string, text string")
     pages = wiki.pages(files, "topic")
     assert wiki.search_pages(pages, ["CARD"]).count() == 1 and wiki.search_pages(pages, ["zzz"]).isEmpty()
     assert wiki.pages(files, "workflow").isEmpty()
-    assert wiki.read_section(pages, "sample-topic").first().section == "card text"
+    assert wiki.read_section(pages, "mooring-lines").first().section == "card text"
     hits = spark.createDataFrame(
-        [("topics/sample-topic.md", "Old", 0.876), ("notes/topics/x.md", "", 0.5), ("flows/y.md", "Y", 0.4)],
+        [("topics/mooring-lines.md", "Old", 0.876), ("notes/topics/x.md", "", 0.5), ("flows/y.md", "Y", 0.4)],
         "rel_path string, title string, score double",
     )
     shown = wiki.page_hits(hits, pages, "topic").orderBy("slug").collect()
-    assert [(r.slug, r.title, r.score) for r in shown] == [("sample-topic", "Sample Topic", 0.88), ("x", "x", 0.5)]
+    assert [(r.slug, r.title, r.score) for r in shown] == [("mooring-lines", "Mooring Lines", 0.88), ("x", "x", 0.5)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawler.config import NO_MIN_SCORE, VECTOR_OVERFETCH
-from trawler.operators.lookup import fetch, top_per_group
+from trawler.operators.lookup import bounded, fetch, top_per_group
 from trawler.session import settle
 
 Vector = Sequence[float]
