@@ -193,16 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     learnt = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out())
     positive = told.filter("toxic = 1").select("doc_id")
 
-    def drawn(rows: DataFrame, toxic: int, most: int) -> DataFrame:
-        # Only ids and hashes are sorted; texts are then fetched for the chosen ones.
-        order = F.xxhash64("doc_id", "text")
-        chosen = rows.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(most).distinct()
-        taken = rows.withColumn("order", order).join(F.broadcast(chosen), ["doc_id", "order"], "left_semi")
-        return taken.select(F.lit(toxic).alias("toxic"), "text")
-
-    confirmed = drawn(learnt.join(positive, "doc_id", "left_semi"), 1, SAMPLE_POSITIVE)
-    others = drawn(learnt.join(positive, "doc_id", "left_anti"), 0, SAMPLE_UNLABELLED)
-    sample = settled(confirmed.unionByName(others))
+    # Only ids and hashes are joined and sorted; texts are then read for the chosen ones, at most the two bounds.
+    keyed = learnt.withColumn("order", F.xxhash64("doc_id", "text"))
+    narrow = keyed.select("doc_id", "order")
+
+    def drawn(how: str, toxic: int, most: int) -> DataFrame:
+        rows = narrow.join(positive, "doc_id", how).orderBy("order", "doc_id").limit(most)
+        return rows.withColumn("toxic", F.lit(toxic))
+
+    chosen = drawn("left_semi", 1, SAMPLE_POSITIVE).unionByName(drawn("left_anti", 0, SAMPLE_UNLABELLED))
+    chosen = settled(chosen.distinct(), 1)
+    sample = settled(keyed.join(F.broadcast(chosen), ["doc_id", "order"]).select("toxic", "text"))
     heights = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     none = np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
     if len(heights) < 2:
