@@ -176,6 +176,18 @@ def test_similar_groups(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_similar_groups_of_repeats(spark):
+    """Texts that differ in how often a phrase repeats have nearly equal sets of shingles."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(1000)]
+        phrase = [f"p{rng.randrange(10**9)}" for _ in range(10)]
+        rows += [(2 * k, " ".join(w[:500] + phrase + w[500:])), (2 * k + 1, " ".join(w[:500] + phrase * 24 + w[500:]))]
+    got = {r["node"]: r["label"] for r in sh.similar_groups(spark.createDataFrame(rows, "node long, text string")).collect()}
+    assert got == {n: n - n % 2 for n, _ in rows}
+
+
 @pytest.fixture(scope="module")
 def model():
     return sp.Model.read(sp.MODEL)
