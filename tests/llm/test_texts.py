@@ -176,6 +176,52 @@ def test_similar_groups(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def shingle_set(text, words=5):
+    w = split(lower(text))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_similar_groups_of_a_star(spark):
+    """Copies that are similar to their base and not to each other."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(1000):
+        copy = list(base)
+        for at in rng.sample(range(5, 295), 5):
+            copy[at] = f"c{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    assert sum(len(sets[0] & s) < 0.8 * len(sets[0] | s) for s in sets) > 500
+    centre = shingle_set(" ".join(base))
+    assert all(len(centre & s) >= 0.8 * len(centre | s) for s in sets)
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    assert {(r["node"], r["label"]) for r in sh.similar_groups(rows).collect()} == {(n, 0) for n in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_similar_groups_are_exact(spark, seed):
+    """Chains near the threshold, texts of few words, and lines that many texts share."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{rng.randrange(10**6)}" for _ in range(12)) for _ in range(2)]
+    texts = ["", None, "one", "One", "a b c d e", "a b c d e f", "a b c d f"]
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([6, 20, 60, 200]))]
+        for _ in range(rng.choice([1, 3, 8])):
+            texts.append(" ".join([*words, rng.choice([*lines, ""])]))
+            words = list(words)
+            for _ in range(max(1, len(words) // 50)):
+                words[rng.randrange(len(words))] = f"c{rng.randrange(10**9)}"
+    sets = [shingle_set(t or "") for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {r["node"]: r["label"] for r in sh.similar_groups(rows).collect()}
+    want = grouped(range(len(texts)), close)
+    assert {n: got.get(n, n) for n in want} == want
+    assert set(got) == {n for pair in close for n in pair}
+
+
 def test_similar_groups_of_repeats(spark):
     """Texts that differ in how often a phrase repeats have nearly equal sets of shingles."""
     rng = random.Random(9)
