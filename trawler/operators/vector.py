@@ -6,6 +6,7 @@ Vector tables have ``chunk_id, doc_id, embedding`` and may have
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -73,6 +74,17 @@ def nearest_chunks(
     picks by cosine. The two agree on vectors of equal length.
     """
     limit = limit if limit > 0 else 20
+    scored = scored_chunks(vectors, queries, limit, metric, fingerprint)
+    order = [F.col("distance"), F.col("chunk_id")]
+    if len(queries) == 1:
+        return scored.orderBy(*order).limit(limit)
+    return top_per_group(scored, "variant", order, limit)
+
+
+def scored_chunks(
+    vectors: DataFrame, queries: Sequence[Vector], per_batch: int, metric: str = "l2", fingerprint: str = ""
+) -> DataFrame:
+    """Chunks with distance and score per query vector: the ``per_batch`` nearest of every Arrow batch."""
     width = len(queries[0])
     if any(len(q) != width for q in queries):
         raise ValueError("query vectors differ in width")
@@ -88,14 +100,7 @@ def nearest_chunks(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    order = [F.col("distance"), F.col("chunk_id")]
-
-    def scored(some: Sequence[Vector]) -> DataFrame:
-        return rows.mapInArrow(_score_batches(np.array(some, dtype=np.float64), limit, metric), schema)
-
-    if len(queries) == 1:
-        return scored(queries).orderBy(*order).limit(limit)
-    return top_per_group(scored(queries), "variant", order, limit)
+    return rows.mapInArrow(_score_batches(np.array(queries, dtype=np.float64), per_batch, metric), schema)
 
 
 def nearest_in_documents(
@@ -190,6 +195,32 @@ def vector_search(
     return vector_results(hits, min_score, limit)
 
 
+def vector_matches(
+    vectors: DataFrame,
+    documents: DataFrame,
+    queries: Sequence[Vector],
+    collections: Sequence[str] = (),
+    min_score: float = NO_MIN_SCORE,
+    metric: str = "l2",
+    fingerprint: str = "",
+) -> DataFrame:
+    """Every active document of the collections by its best chunk over all queries, unranked.
+
+    Scores are those of ``vector_search``; no chunk is left out before its document is known.
+    """
+    live = documents.filter(F.col("active"))
+    if collections:
+        live = live.filter(F.col("collection").isin(list(collections)))
+    columns = ["id", "collection", "rel_path", "title"]
+    columns += [c for c in ("shard", "rowid") if c in documents.columns]
+    picked = vectors.join(live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    scored = scored_chunks(picked, queries, sys.maxsize, metric, fingerprint).withColumnRenamed("doc_id", "id")
+    best = best_chunk_per_document(scored, ["id", "variant"])
+    first = F.min(F.struct((-F.col("score")).alias("s"), "variant", "chunk_id")).alias("best")
+    best = best.groupBy("id").agg(first).select("id", "best.variant", "best.chunk_id", (-F.col("best.s")).alias("score"))
+    return best.filter(F.col("score") >= min_score).join(live.select(*columns), "id")
+
+
 def mean_pool(segments: DataFrame, key: str) -> DataFrame:
     """Element-wise mean of the vectors of each key.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, SEARCH_LIMIT, Settings, VECTOR_SEARCH_MIN_SCORE
+from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, NO_MIN_SCORE, SEARCH_LIMIT, Settings, VECTOR_SEARCH_MIN_SCORE
 from trawler.functions.lexquery import parse_any
 from trawler.functions.models import (
     Embedder,
@@ -37,7 +38,7 @@ from trawler.functions.text import content_hash
 from trawler.operators import catalog
 from trawler.operators.lexical import TermIndex, bm25_matches, ranked, search, search_many
 from trawler.operators.lookup import fetch
-from trawler.operators.vector import vector_counts, vector_search, with_snippets
+from trawler.operators.vector import vector_counts, vector_matches, vector_search, with_snippets
 from trawler.plans.query import Corpus, QueryOptions, hybrid_query, query_collections
 from trawler.session import settle, ship_package
 from trawler.sources.files import only_markdown, scan_files
@@ -562,6 +563,7 @@ class CorpusStore:
         return search_many(c.terms, c.documents, queries, collection, limit, min_score, c.docs_per_shard)
 
     def _by_vectors(self, texts, collection, limit, min_score) -> DataFrame | None:
+        """The ``limit`` best documents; all of them, unranked, if it is None."""
         if self.embedder is None:
             raise ValueError("embedding provider is not configured")
         c = self.corpus()
@@ -569,6 +571,11 @@ class CorpusStore:
         if not (counts.get(collection, 0) if collection else sum(counts.values())):
             return None
         queries = self.embedder.embed_batch([query_input(self.embedder.name, t) for t in texts])
+        if limit is None:
+            hits = vector_matches(
+                c.vectors, c.documents, queries, [collection] if collection else [], min_score, c.metric, c.fingerprint
+            )
+            return with_snippets(hits, c.chunks, sys.maxsize)
         hits = vector_search(
             c.vectors, c.documents, queries, collection, limit, min_score, c.metric, c.fingerprint
         )
@@ -606,16 +613,23 @@ class CorpusStore:
 
         ``mode``: ``lexical``, ``semantic`` or ``vector``. One target is
         searched directly; several are searched globally and then filtered.
+        ``everything`` gives all matching documents; by vectors unranked, with
+        the score of their best chunk.
         """
         names = list(dict.fromkeys(c for c in collections if c)) or self.default_collections()
         if everything:
-            # All documents: what the index holds, not a number of ours.
-            limit = max(1, self.documents.filter("active").count())
+            # All rows, also inactive ones: what the index holds, not a number of ours.
+            limit = max(1, self.documents.count())
         limit = limit if limit > 0 else 20
         one = names[0] if len(names) == 1 else ""
         wide = max(50, limit * 2) if mode == "lexical" and len(names) > 1 and not everything else limit
         if mode == "lexical":
             hits, rank = self.search_many(queries, one, wide, min_score), "score"
+        elif everything:
+            text, semantic = " ".join(queries), mode == "semantic"
+            texts = vector_texts(self.expander, text, "") if semantic else [text]
+            floor = min_score or (VECTOR_SEARCH_MIN_SCORE if semantic else NO_MIN_SCORE)
+            hits, rank = self._by_vectors(texts, one, None, floor), "score"
         elif mode == "semantic":
             hits, rank = self.search_semantic(" ".join(queries), one, wide, min_score), "score"
         else:
