@@ -3,8 +3,8 @@
 A text is cut into chunks of bytes. Each chunk is hashed on its own modulo two
 primes, and the hash of a text is the sum of its chunk hashes, each shifted by
 the number of bytes that follow it: ``h(a + b) = h(a) * r^len(b) + h(b)``. The
-sum does not care about order, so Spark adds up the chunks of a huge document
-like any other aggregate. Texts whose fingerprint and length agree are then
+sum does not care about order, but all chunks of a text are hashed and added up in
+the task that holds the text. Texts whose fingerprint and length agree are then
 compared chunk by chunk: per (fingerprint, chunk) the smallest and the largest
 chunk must be the same bytes. Both combine before the shuffle, so a group that
 holds a third of all rows sends one chunk per task and never meets in one place.
