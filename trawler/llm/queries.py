@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trawler.llm.exact_dedup import exact_dedup
 from trawler.llm.frames import table
+from trawler.llm.hard_negatives import hard_negatives
+from trawler.llm.main_text import extract
 from trawler.llm.quality_rules import quality_rules
 from trawler.llm.raking import mix_sources
 from trawler.llm.secret_scan import secret_scan
 from trawler.llm.sentencepiece import encode
 from trawler.llm.simhash import simhash_near_dedup
+from trawler.llm.spelling import spelling_variants
 from trawler.llm.suffix_tree import score
 from trawler.llm.token_counts import token_counts
 from trawler.llm.toxicity import toxicity
@@ -57,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_lm_scoring": op2_lm_scoring,
@@ -68,4 +83,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_main_text": op12_main_text,
+    "op13_spelling_variants": op13_spelling_variants,
 }
