@@ -1,5 +1,6 @@
 """BM25 results against SQLite FTS5, an independent implementation."""
 
+import random
 import sqlite3
 import uuid
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trawler.config import Settings
 from trawler.functions.lexquery import parse, parse_any, word_tokens
+from trawler.functions import stem
 from trawler.functions.stem import porter
 from trawler.operators.lexical import TermIndex, bm25_matches, search
 from trawler.operators.postings import corpus_stats
@@ -119,6 +121,23 @@ def test_porter():
     assert [porter(w) for w in words] == stems
 
 
+def test_stems_against_fts5(spark):
+    """Column steps, Python and the full-text tokenizer give the same stems."""
+    draw = random.Random(3)
+    rules = [r[0] for r in (*stem.STEP_2, *stem.STEP_3)] + list(stem.STEP_4) + ["s", "ed", "ing", "sses", "ies", "eed", "y", "e", "ll"]
+    words = set(rules) | {"yyying", "cyyyed", "sse", "straßes", "naïvely", "日本ing", "123s", "x" * 64 + "s", "as"}
+    for _ in range(1500):
+        words.add("".join(draw.choice("abeioutslyzwxnr") for _ in range(draw.randint(0, 5))) + draw.choice(rules) + draw.choice(rules + [""] * 30))
+    words = sorted(words)
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table fts using fts5(t, tokenize='porter unicode61 remove_diacritics 0')")
+    db.execute("create virtual table vocab using fts5vocab(fts, 'instance')")
+    db.executemany("insert into fts(rowid, t) values (?, ?)", enumerate(words))
+    want = {words[doc]: term for term, doc in db.execute("select term, doc from vocab")}
+    got = {r.term: r.stem for r in stem.stems(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    assert got == want == {w: porter(w) for w in words}
+
+
 def test_hot_term_is_spread_over_files(spark, tmp_path):
     """A term holding most occurrences is cut into several ranges."""
     from trawler.operators.postings import build_postings, write_postings

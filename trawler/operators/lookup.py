@@ -13,6 +13,20 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS else df
 
 
+#: A measured frame is broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a written frame whose measured size allows it.
+
+    Strings count in full, any other value as 16 bytes.
+    """
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    row = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def fetch(table: DataFrame, picked: DataFrame, key: str, rows: int) -> DataFrame:
     """Inner join of ``picked`` (at most ``rows`` rows) with a large table.
 

@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawler.functions.stem import stem_tokens
+from trawler.functions.stem import stems
 from trawler.functions.text import tokens
+from trawler.operators.lookup import small
+from trawler.session import settle
 
 POSTING_COLUMNS = ["term", "rowid", "field", "pos", "doc_len"]
 
@@ -26,11 +28,25 @@ def _occurrences(field: str) -> Column:
     )
 
 
-def tokenized(rows: DataFrame, fields: dict[str, Column], stemmer: str, keep: list[str]) -> DataFrame:
+def stem_terms(occurrences: DataFrame, stemmer: str) -> DataFrame:
+    """Rows with ``term`` replaced by its stem.
+
+    The rewrite table is made from the distinct terms and holds those that change. It is
+    broadcast while it is small and joined by a shuffle (which splits a term that is
+    everywhere) beyond that.
+    """
+    if stemmer != "porter":
+        return occurrences
+    # Written before the filter, which would else be pushed through all steps and copy them.
+    told = settle(stems(occurrences.select("term").distinct()))
+    changed = small(told.filter("stem <> term"))
+    columns = [F.coalesce("stem", "term").alias("term") if c == "term" else F.col(c) for c in occurrences.columns]
+    return occurrences.join(changed, "term", "left").select(*columns)
+
+
+def tokenized(rows: DataFrame, fields: dict[str, Column], keep: list[str]) -> DataFrame:
     """``keep`` columns, one token array per field, and ``doc_len``."""
-    arrays = rows.select(
-        *keep, *[stem_tokens(tokens(col), stemmer).alias(name) for name, col in fields.items()]
-    )
+    arrays = rows.select(*keep, *[tokens(col).alias(name) for name, col in fields.items()])
     length = reduce(lambda a, b: a + b, [F.size(name) for name in fields])
     return arrays.withColumn("doc_len", length)
 
@@ -42,8 +58,8 @@ def explode_postings(token_rows: DataFrame, fields: list[str], keep: list[str])
 
 
 def build_postings(rows: DataFrame, fields: dict[str, Column], stemmer: str) -> DataFrame:
-    token_rows = tokenized(rows, fields, stemmer, ["rowid"])
-    return explode_postings(token_rows, list(fields), ["rowid"]).select(*POSTING_COLUMNS)
+    occurrences = explode_postings(tokenized(rows, fields, ["rowid"]), list(fields), ["rowid"])
+    return stem_terms(occurrences, stemmer).select(*POSTING_COLUMNS)
 
 
 def write_postings(postings: DataFrame, path: str) -> None:

@@ -136,15 +136,23 @@ def chunk_doc_ids(spark, sf_dir):
     return docs.withColumn("position", F.row_number().over(Window.orderBy("best_rank")))
 
 
+def _stemmed(spark, sf_dir, query, limit=20):
+    ix = table_index(spark, sf_dir, "porter")
+    return _hits(lexical.search(ix.terms, ix.documents, query, limit=limit, docs_per_shard=ix.settings.docs_per_shard))
+
+
 def porter_search(spark, sf_dir):
+    """Two searches of the stemmed index."""
+    return _stemmed(spark, sf_dir, "tions estional").unionByName(_stemmed(spark, sf_dir, "ering", 30))
+
+
+def porter_phrase(spark, sf_dir):
+    return _stemmed(spark, sf_dir, '"the ered" -queques')
+
+
+def porter_chunk_search(spark, sf_dir):
     ix = table_index(spark, sf_dir, "porter")
-    return _hits(
-        lexical.search(
-            ix.terms, ix.documents, "running estions", docs_per_shard=ix.settings.docs_per_shard
-        )
-    ).unionByName(
-        _hits(lexical.search(ix.terms, ix.documents, "inging", docs_per_shard=ix.settings.docs_per_shard))
-    )
+    return _chunk_hits(ix, "ering estions", 20).select("rowid", "chunk_index", _score("bm25_score"), "rank")
 
 
 # --- vectors ---------------------------------------------------------------
@@ -256,8 +264,8 @@ def doc_vector_knn(spark, sf_dir):
 # --- hybrid ----------------------------------------------------------------
 
 
-def _corpus(spark, sf_dir, ids, reranker=None):
-    return table_index(spark, sf_dir).corpus(
+def _corpus(spark, sf_dir, ids, reranker=None, stemmer="none"):
+    return table_index(spark, sf_dir, stemmer).corpus(
         embedder=_StoredEmbedder(_query_vectors(spark, sf_dir, *ids)),
         reranker=reranker,
         contexts=settle(_contexts(spark, sf_dir)),
@@ -292,6 +300,20 @@ def hybrid_rrf_explain(spark, sf_dir):
     )
 
 
+def porter_hybrid(spark, sf_dir):
+    """The hybrid query over the stemmed index."""
+    corpus = _corpus(spark, sf_dir, (12,), stemmer="porter")
+    hits = hybrid_query(corpus, "ering estions", QueryOptions(limit=40, explain=True))
+    rrf = "explain.rrf"
+    return hits.select(
+        "id",
+        F.col(f"{rrf}.rank").alias("rank"),
+        F.round(f"{rrf}.base_score", 9).alias("base_score"),
+        F.round(f"{rrf}.total_score", 9).alias("total_score"),
+        F.size(f"{rrf}.contributions").alias("lists"),
+    )
+
+
 def hybrid_structured_weights(spark, sf_dir):
     typed = [
         Expansion("vec", "meaning of it"),
@@ -671,7 +693,7 @@ QUERIES = {
     for f in (
         lex_prefix_bm25, lex_and_not, lex_phrase, lex_fielded_weights, lex_candidate_cut, lex_min_score,
         lex_hyphen_dotted, search_many_rrf, search_fanout, page_folder_search, legacy_or_search, chunk_search,
-        chunk_multi_rrf, chunk_doc_ids, porter_search, knn_cosine, knn_l2_rescored, knn_filtered_docs,
+        chunk_multi_rrf, chunk_doc_ids, porter_search, porter_phrase, porter_chunk_search, porter_hybrid, knn_cosine, knn_l2_rescored, knn_filtered_docs,
         knn_best_per_doc, knn_variants_max, search_vector_collection, vector_min_score, vector_mean_pool,
         vector_l2_normalize, doc_vector_knn, hybrid_rrf, hybrid_rrf_explain, hybrid_structured_weights,
         hybrid_search_queries, rerank_blend, query_merge_collections, rrf_two_lists, best_query_chunk,

@@ -6,6 +6,8 @@ from the raw tables and computes its own tokens, chunks and ranks.
 
 from __future__ import annotations
 
+from trawler.functions.stem import STEP_2, STEP_3, STEP_4
+
 TITLE = """coalesce(nullif(trim(substr(list_filter(list_transform(string_split(text, chr(10)),
   lambda x: trim(x)), lambda x: starts_with(x, '# '))[1], 3)), ''), CAST(doc_id AS VARCHAR))"""
 
@@ -20,8 +22,66 @@ def words(text: str) -> str:
     return rf"regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}]+')"
 
 
-def postings(name: str, rows: str, fields: dict[str, str]) -> str:
+def _shape(x: str) -> str:
+    """Consonants as c and vowels as v; a y takes turns."""
+    x = f"regexp_replace({x}, '[^\\x00-\\x7F]', 'cc', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '^y', 'c'), 'vy', 'vc', 'g')"
+    return f"replace(regexp_replace({x}, 'yy', 'vc', 'g'), 'y', 'v')"
+
+
+def _measure(x: str) -> str:
+    return f"len(regexp_extract_all({_shape(x)}, 'v+c+'))"
+
+
+def _cvc(x: str) -> str:
+    return f"(ends_with({_shape(x)}, 'cvc') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+
+def _but(x: str, chars: int) -> str:
+    return f"substr({x}, 1, greatest(length({x}) - {chars}, 0))"
+
+
+def stems(name: str, terms: str) -> str:
+    """CTEs ending in ``name(term, stem)``: the suffix rules of 1980, one CTE per step."""
+    steps = [f"SELECT DISTINCT term, term AS w FROM {terms}"]
+
+    def step(sql: str) -> None:
+        steps.append(sql.replace("FROM last", f"FROM {name}_{len(steps) - 1}"))
+
+    step(f"""SELECT term, CASE WHEN regexp_matches(w, '(?s).sses$') OR (length(w) > 3 AND ends_with(w, 'ies')) THEN {_but('w', 2)}
+      WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_but('w', 1)} ELSE w END AS w FROM last""")
+    step("""SELECT term, w, length(w) > 3 AND ends_with(w, 'eed') AS eed,
+      CASE WHEN length(w) > 3 AND ends_with(w, 'eed') THEN '' ELSE regexp_extract(w, '(?s)^(.*)(?:ed|ing)$', 1) END AS s FROM last""")
+    step(f"""SELECT term, CASE WHEN eed THEN CASE WHEN {_measure(_but('w', 3))} > 0 THEN {_but('w', 1)} ELSE w END
+      WHEN NOT contains({_shape('s')}, 'v') THEN w
+      WHEN regexp_matches(s, '(?:at|bl|iz)$') THEN s || 'e'
+      WHEN length(s) > 1 AND s[-1] = s[-2] AND NOT contains('aeioulsz', s[-1]) THEN {_but('s', 1)}
+      WHEN {_measure('s')} = 1 AND {_cvc('s')} THEN s || 'e' ELSE s END AS w FROM last""")
+    step(f"SELECT term, CASE WHEN ends_with(w, 'y') AND contains({_shape(_but('w', 1))}, 'v') THEN {_but('w', 1)} || 'i' ELSE w END AS w FROM last")
+    for rules in (STEP_2, STEP_3):
+        pattern = f"(?s)^(.+?)({'|'.join(a for a, _ in rules)})$"
+        swap = " ".join(f"WHEN '{a}' THEN s || '{b}'" for a, b in rules)
+        step(f"SELECT term, w, regexp_extract(w, '{pattern}', 1) AS s, regexp_extract(w, '{pattern}', 2) AS e FROM last")
+        step(f"SELECT term, CASE WHEN e <> '' AND {_measure('s')} >= 1 THEN CASE e {swap} END ELSE w END AS w FROM last")
+    pattern = f"(?s)^(.+?)({'|'.join(STEP_4)})$"
+    step(f"SELECT term, w, regexp_extract(w, '{pattern}', 1) AS s, regexp_extract(w, '{pattern}', 2) AS e FROM last")
+    step(f"SELECT term, CASE WHEN e <> '' AND {_measure('s')} > 1 AND (e <> 'ion' OR s[-1] IN ('s', 't')) THEN s ELSE w END AS w FROM last")
+    step(f"SELECT term, w, {_but('w', 1)} AS s, {_measure(_but('w', 1))} AS m FROM last")
+    step(f"SELECT term, CASE WHEN ends_with(w, 'e') AND (m > 1 OR (m = 1 AND NOT {_cvc('s')})) THEN s ELSE w END AS w FROM last")
+    step(f"""SELECT term, CASE WHEN strlen(term) NOT BETWEEN 3 AND 64 THEN term
+      WHEN ends_with(w, 'll') AND {_measure(_but('w', 1))} > 1 THEN {_but('w', 1)} ELSE w END AS stem FROM last""")
+    ctes = [f"{name}_{k} AS MATERIALIZED ({sql})" for k, sql in enumerate(steps[:-1])]
+    return ", ".join([*ctes, f"{name} AS MATERIALIZED ({steps[-1]})"])
+
+
+def postings(name: str, rows: str, fields: dict[str, str], stemmed: bool = False) -> str:
     """Token occurrences of the fields of a row source with ``rowid``."""
+    if stemmed:
+        raw = postings(f"{name}_raw", rows, fields)
+        rewritten = f"{name} AS (SELECT rowid, field, stem AS term, pos FROM {name}_raw JOIN {name}_stem USING (term))"
+        sizes = f"{name}_lens AS (FROM {name}_raw_lens), {name}_stats AS (FROM {name}_raw_stats)"
+        return f"{raw}, {stems(name + '_stem', name + '_raw')}, {rewritten}, {sizes}"
     parts = " UNION ALL ".join(
         f"SELECT rowid, '{f}' AS field, {words(expr)} AS toks FROM {rows}" for f, expr in fields.items()
     )
@@ -36,6 +96,7 @@ def postings(name: str, rows: str, fields: dict[str, str]) -> str:
 DOC_FIELDS = {"filepath": "collection || '/' || rel_path", "title": "title", "body": "body"}
 WEIGHT = "CASE p0.field WHEN 'filepath' THEN 1.5 WHEN 'title' THEN 4.0 ELSE 1.0 END"
 DOCS = CORPUS + ", " + postings("post", "corpus", DOC_FIELDS)
+STEMMED_DOCS = CORPUS + ", " + postings("post", "corpus", DOC_FIELDS, stemmed=True)
 
 
 def clause(tokens: str, index: str = "post") -> str:
@@ -96,8 +157,8 @@ def lex_list(name: str, clauses: list[str], collection="", limit=20, without=(),
 HIT = "SELECT rowid, collection, rel_path, round(score, 9) AS score, bm25_rank FROM"
 
 
-def lexical(clauses, collection="", limit=20, without=(), min_score=0.0) -> str:
-    return f"WITH {DOCS}, {lex_list('a', clauses, collection, limit, without, min_score)} {HIT} a"
+def lexical(clauses, collection="", limit=20, without=(), min_score=0.0, docs=DOCS) -> str:
+    return f"WITH {docs}, {lex_list('a', clauses, collection, limit, without, min_score)} {HIT} a"
 
 
 def fused(queries: list[list[str]], limit: int) -> str:
@@ -166,10 +227,13 @@ chunks AS (
            lambda x: starts_with(x, '#'))[1], '^#+ *', ''), '') AS heading
   FROM chunk_text)"""
 
-CHUNK_POST = (
-    "chunk_rows AS (SELECT rowid * 1048576 + chunk_index AS rowid, rowid AS doc, chunk_index, heading, content FROM chunks), "
-    + postings("cpost", "chunk_rows", {"heading": "heading", "content": "content"})
-)
+
+
+def _chunk_post(stemmed: bool) -> str:
+    return (
+        "chunk_rows AS (SELECT rowid * 1048576 + chunk_index AS rowid, rowid AS doc, chunk_index, heading, content FROM chunks), "
+        + postings("cpost", "chunk_rows", {"heading": "heading", "content": "content"}, stemmed)
+    )
 
 
 def chunk_list(name: str, clauses: list[str], limit: int) -> str:
@@ -180,8 +244,8 @@ def chunk_list(name: str, clauses: list[str], limit: int) -> str:
     )
 
 
-def on_chunks(rest: str) -> str:
-    return f"WITH RECURSIVE {CHUNKS}, {CHUNK_POST}, {rest}"
+def on_chunks(rest: str, stemmed: bool = False) -> str:
+    return f"WITH RECURSIVE {CHUNKS}, {_chunk_post(stemmed)}, {rest}"
 
 
 # --- vectors -----------------------------------------------------------------
@@ -326,6 +390,17 @@ ORACLES = {
         f"{chunk_list('a', ['tion*'], 50)}, d AS (SELECT doc AS rowid, min(rank) AS best_rank FROM a JOIN chunk_rows USING (rowid) GROUP BY doc)"
         " SELECT *, CAST(row_number() OVER (ORDER BY best_rank) AS INT) AS position FROM d"
     ),
+    "porter_search": f"""WITH {STEMMED_DOCS}, {lex_list('a', ['tion*', 'estion*'])}, {lex_list('b', ['er*'], limit=30)}
+      SELECT rowid, collection, rel_path, round(score, 9) AS score, bm25_rank FROM a UNION ALL {HIT} b""",
+    "porter_phrase": lexical(["the er"], without=[["quequ*"]], docs=STEMMED_DOCS),
+    "porter_chunk_search": on_chunks(
+        f"{chunk_list('a', ['er*', 'estion*'], 20)} SELECT doc AS rowid, chunk_index, round(bm25_score, 9) AS bm25_score, rank"
+        " FROM a JOIN chunk_rows USING (rowid)",
+        stemmed=True,
+    ),
+    "porter_hybrid": f"""WITH {STEMMED_DOCS}, {VECTORS}, {lex_list('a', ['er*', 'estion*'])}, {vec_list('b', [12])},
+      {hybrid([('a', 'fts', 2.0, 0), ('b', 'vec', 2.0, 1)])}
+      SELECT id, rank, round(base, 9) AS base_score, round(base + bonus, 9) AS total_score, lists FROM h""",
     "knn_cosine": f"{WITH_VECTORS} SELECT chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, list_cosine_similarity(e, {target(0)}) AS s FROM vecs) ORDER BY s DESC, chunk_id LIMIT 20",
     "knn_l2_rescored": f"{WITH_VECTORS} SELECT chunk_id, round(list_cosine_similarity(e, {target(1)}), 9) AS score FROM vecs ORDER BY list_distance(e, {target(1)}), chunk_id LIMIT 60",
     "knn_filtered_docs": f"WITH {_LEX_AND_VEC}, {lex_list('a', ['the*'], limit=250)} SELECT chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, list_cosine_similarity(e, {target(2)}) AS s FROM dvecs WHERE doc_id IN (SELECT id FROM a)) ORDER BY s DESC, chunk_id LIMIT 20",

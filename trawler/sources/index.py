@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, FIELD_WEIGHTS, Settings
-from trawler.functions.stem import stem_tokens
 from trawler.functions.text import content_hash, display_snippet, document_id, title, tokens
 from trawler.operators.chunking import chunk_documents, indexed_chunks
 from trawler.operators.lexical import shard_of
-from trawler.operators.postings import POSTING_COLUMNS, explode_postings, tokenized, write_postings
+from trawler.operators.postings import POSTING_COLUMNS, build_postings, explode_postings, stem_terms, write_postings
 from trawler.session import spread
 
 INPUT_COLUMNS = ["rowid", "collection", "rel_path", "body"]
@@ -49,8 +48,8 @@ def write_texts(files: DataFrame, path: str, settings: Settings) -> None:
 def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Settings) -> None:
     """Write ``tokens``, ``documents`` and ``postings``.
 
-    Text is tokenized (and stemmed) once, into a staging table that the
-    metadata, both postings tables and their range sampling read.
+    Text is tokenized once, into a staging table that the metadata, both
+    postings tables and their range sampling read; terms are stemmed there.
     """
     rows = document_rows(spread(files, "rowid"), settings)
     extra = [c for c in files.columns if c not in INPUT_COLUMNS]
@@ -60,9 +59,7 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
         "title": F.col("title"),
         "body": F.col("body"),
     }
-    arrays = [
-        stem_tokens(tokens(col), settings.stemmer).alias(f"{name}_tokens") for name, col in fields.items()
-    ]
+    arrays = [tokens(col).alias(f"{name}_tokens") for name, col in fields.items()]
     rows.select(*meta, *arrays).write.mode("overwrite").parquet(paths["tokens"])
 
     spark = files.sparkSession
@@ -77,23 +74,22 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
     narrow.repartitionByRange("rowid").write.partitionBy("shard").mode("overwrite").parquet(paths["documents"])
     token_rows = staged.select("rowid", "doc_len", *[F.col(f"{n}_tokens").alias(n) for n in fields])
     postings = explode_postings(token_rows, list(FIELD_WEIGHTS), ["rowid"])
-    write_postings(postings.select(*POSTING_COLUMNS), paths["postings"])
+    write_postings(stem_terms(postings, settings.stemmer).select(*POSTING_COLUMNS), paths["postings"])
 
 
 def write_entry_postings(spark, paths: dict[str, str], settings: Settings) -> None:
     """Postings of the any-term search; body tokens come from staging."""
     staged = spark.read.parquet(paths["tokens"])
     arrays = {
-        "id": stem_tokens(tokens(F.col("id")), settings.stemmer),
+        "id": tokens(F.col("id")),
         "content": F.col("body_tokens"),
-        "tags": stem_tokens(tokens(F.col("collection")), settings.stemmer),
-        "article_path": stem_tokens(tokens(F.col("rel_path")), settings.stemmer),
+        "tags": tokens(F.col("collection")),
+        "article_path": tokens(F.col("rel_path")),
     }
     rows = staged.select("rowid", *[col.alias(name) for name, col in arrays.items()])
     rows = rows.withColumn("doc_len", sum((F.size(name) for name in arrays), F.lit(0)))
-    write_postings(
-        explode_postings(rows, list(ENTRY_WEIGHTS), ["rowid"]).select(*POSTING_COLUMNS), paths["entries"]
-    )
+    postings = stem_terms(explode_postings(rows, list(ENTRY_WEIGHTS), ["rowid"]), settings.stemmer)
+    write_postings(postings.select(*POSTING_COLUMNS), paths["entries"])
 
 
 def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
@@ -118,6 +114,4 @@ def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
 def write_chunk_postings(chunks: DataFrame, path: str, settings: Settings) -> None:
     rows = chunks.select(F.col("chunk_rowid").alias("rowid"), "heading", "content")
     fields = {"heading": F.col("heading"), "content": F.col("content")}
-    token_rows = tokenized(rows, fields, settings.stemmer, ["rowid"])
-    postings = explode_postings(token_rows, list(CHUNK_WEIGHTS), ["rowid"])
-    write_postings(postings.select(*POSTING_COLUMNS), path)
+    write_postings(build_postings(rows, fields, settings.stemmer), path)
