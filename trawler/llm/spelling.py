@@ -121,11 +121,14 @@ def _trie_pairs(words: DataFrame) -> DataFrame | None:
         return None
     start = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
     waiting, found = [start], []
+    files = 2 * words.sparkSession.sparkContext.defaultParallelism
     for level in range(deepest + 1):
         here = waiting[0].filter(F.char_length("node") == level)
         for frame in waiting[1:]:
             here = here.unionByName(frame.filter(F.char_length("node") == level))
-        made = settled(step(here.filter(~F.endswith("node", F.lit(END))), words, level))
+        made = step(here.filter(~F.endswith("node", F.lit(END))), words, level)
+        # A level is read by the next ones and again at the end: few files, whatever the number of shuffle partitions.
+        made = settled(made.coalesce(files))
         found.append(made.filter(F.endswith("node", F.lit(END)) & (F.col("edits") == 1)))
         waiting = [*waiting, made][-(AHEAD + 1) :]
     pairs = found[0]
