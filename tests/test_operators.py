@@ -137,9 +137,22 @@ def test_number_rows_with_a_hot_key(spark):
         F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("at"),
         F.floor(F.col("id") / 100).alias("bucket"),
     )
-    got = sessions.number_rows(rows, "key", "bucket", ["at"])
-    hot = [r.ordinal for r in got.filter("key = 0").orderBy("at").collect()]
-    assert hot == list(range(1, len(hot) + 1)) and got.count() == 6000
+    for bucket in ("bucket", None):
+        got = sessions.number_rows(rows, "key", bucket, ["at"])
+        hot = [r.ordinal for r in got.filter("key = 0").orderBy("at").collect()]
+        assert hot == list(range(1, len(hot) + 1)) and got.count() == 6000
+
+
+def test_ranges_split_a_hot_key(spark):
+    rows = spark.range(8000).select(F.lit("hot").alias("key"), F.col("id").alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = sessions.in_ranges(rows, "key", ["at"]).groupBy(sessions.RANGE).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+        parts = parts.orderBy(sessions.RANGE).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 2 and max(p.n for p in parts) < 4000
+    assert all(a.hi < b.lo for a, b in zip(parts, parts[1:]))
 
 
 def test_sessions(spark):

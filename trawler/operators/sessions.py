@@ -3,7 +3,8 @@
 A key (a session or a run) may own any share of the rows. Ordered work is
 therefore done per (key, bucket), where ``bucket`` is a coarse, order-preserving
 function of the order columns; a window over one small row per bucket carries
-the state from bucket to bucket.
+the state from bucket to bucket. Where no bucket column is named, rows are cut into
+ranges of (key, order), so that a bucket is as large as a task whatever the key.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawler.functions.text import shorten, trim_space
+from trawler.session import settle
 
 # Fixed values.
 DEFAULT_AGENT = "codex"
@@ -22,8 +24,23 @@ TITLE_CHARS, AUTO_TITLE_CHARS = 80, 30
 EVENT_FIELDS = "struct<seq:int,type:string,message_no:bigint,call_id:string,body:string>"
 
 
-def number_rows(rows: DataFrame, key: str, bucket: str, order: list[str], name: str = "ordinal") -> DataFrame:
+RANGE = "_range"
+
+
+def in_ranges(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with ``RANGE``, the number of their range of (key, order).
+
+    Ranges are cut from a sample, so they are written once and read from there.
+    """
+    return settle(rows.repartitionByRange(key, *order).withColumn(RANGE, F.spark_partition_id()))
+
+
+def number_rows(
+    rows: DataFrame, key: str, bucket: str | None, order: list[str], name: str = "ordinal"
+) -> DataFrame:
     """1-based position of each row within its key."""
+    if bucket is None:
+        return number_rows(in_ranges(rows, key, order), key, RANGE, order, name).drop(RANGE)
     within = Window.partitionBy(key, bucket).orderBy(*order)
     sizes = rows.groupBy(key, bucket).agg(F.count("*").alias("_size"))
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -162,13 +179,39 @@ def run_status(events: DataFrame, key: str, order: Column) -> DataFrame:
     )
 
 
+#: Kinds that end a run; ``error_end`` reports its failure before and after.
+ENDS = ("end", "error_end")
+
+
+def end_turns(messages: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """Messages up to the end of their run's turn, which is then of kind ``end`` or ``error_end``.
+
+    The first end of a run counts and what follows it is left out. An ``idle`` row
+    ends a turn only if one was opened before it (by a row with a ``turn_id``).
+    Both facts are one small row per run, aggregated before the shuffle.
+    """
+    at = F.struct(*order)
+    opened = messages.filter(F.coalesce("turn_id", F.lit("")) != "").groupBy(run).agg(F.min(at).alias("_opened"))
+    idle = messages.filter("kind = 'idle'").select(run, at.alias("_at")).join(opened, run).filter("_at > _opened")
+    ends = messages.filter(F.col("kind").isin(*ENDS)).select(run, at.alias("_at"))
+    ended = ends.unionByName(idle.select(run, "_at")).groupBy(run).agg(F.min("_at").alias("_ended"))
+    rows = messages.withColumn("_at", at).join(ended, run, "left")
+    idles = F.col("kind") == "idle"
+    rows = rows.filter(F.col("_ended").isNull() | (F.col("_at") <= F.col("_ended")))
+    rows = rows.filter(~idles | F.coalesce(F.col("_at") == F.col("_ended"), F.lit(False)))
+    return rows.withColumn("kind", F.when(idles, "end").otherwise(F.col("kind"))).drop("_at", "_ended")
+
+
 def _linked(messages: DataFrame, run: str, bucket: str, order: list[str]) -> DataFrame:
-    """Text and tool rows with ``after_text`` and the number of the message."""
+    """Text, tool and end rows with ``after_text``, the number of the message, and
+    ``_last`` on the last one of a run."""
     rows = messages.filter(
-        ((F.col("kind") == "text") & (F.col("content") != "")) | F.col("kind").isin("tool_use", "tool_result")
+        ((F.col("kind") == "text") & (F.col("content") != "")) | F.col("kind").isin("tool_use", "tool_result", *ENDS)
     ).withColumn("_text", F.col("kind") == "text")
     within = Window.partitionBy(run, bucket).orderBy(*order)
-    local = rows.withColumn("_prev", F.lag("_text").over(within))
+    local = rows.withColumn("_prev", F.lag("_text").over(within)).withColumn(
+        "_tail", F.lead("_text").over(within).isNull()
+    )
     at = F.struct(*order)
     starts_inside = F.sum((F.col("_text") & ~F.coalesce("_prev", F.lit(True))).cast("long"))
     per_bucket = local.groupBy(run, bucket).agg(
@@ -176,95 +219,118 @@ def _linked(messages: DataFrame, run: str, bucket: str, order: list[str]) -> Dat
     )
     along = Window.partitionBy(run).orderBy(bucket)
     per_bucket = per_bucket.withColumn("_carried", F.coalesce(F.lag("_last").over(along), F.lit(False)))
+    per_bucket = per_bucket.withColumn("_final", F.lead("_last").over(along).isNull())
     starts = F.col("_inside") + (F.col("_first") & ~F.col("_carried")).cast("long")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_starts", starts).withColumn(
         "_offset", F.coalesce(F.sum("_starts").over(before), F.lit(0))
     )
-    joined = local.join(per_bucket.select(run, bucket, "_carried", "_offset"), [run, bucket])
+    joined = local.join(per_bucket.select(run, bucket, "_carried", "_offset", "_final"), [run, bucket])
     joined = joined.withColumn("after_text", F.coalesce("_prev", "_carried"))
     opened = (F.col("_text") & ~F.col("after_text")).cast("long")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumn("message_no", F.col("_offset") + F.sum(opened).over(running)).drop(
-        "_prev", "_carried", "_offset"
+    return (
+        joined.withColumn("message_no", F.col("_offset") + F.sum(opened).over(running))
+        .withColumn("_last", F.col("_tail") & F.col("_final"))
+        .drop("_prev", "_carried", "_offset", "_tail", "_final")
     )
 
 
-def fold_events(messages: DataFrame, run: str, bucket: str, order: list[str]) -> DataFrame:
+def fold_events(messages: DataFrame, run: str, bucket: str | None, order: list[str]) -> DataFrame:
     """Turn a message stream into client events.
 
-    A text message is START, CONTENT*, END; a tool event closes open text
-    first. Rows: run, order columns, ``seq`` within the source row, ``type``,
-    ``message_no`` (the text message, or the one a tool call belongs to),
-    ``call_id``, ``body``. The END of text still open when the run ends has
-    null order columns and comes last.
+    A text message is START, CONTENT*, END; a tool event or the end of the run
+    closes open text first. A run that ends gives RUN_FINISHED, or RUN_ERROR
+    if its end has content. Rows: run, order columns, ``seq`` within the source
+    row, ``type``, ``message_no`` (the text message, or the one a tool call
+    belongs to), ``call_id``, ``body``. The END of text still open when the log
+    stops has null order columns and comes last.
     """
+    if bucket is None:
+        return fold_events(in_ranges(messages, run, order), run, RANGE, order)
     rows = _linked(messages, run, bucket, order)
-    none = F.lit(None).cast("string")
+    none, no_number = F.lit(None).cast("string"), F.lit(None).cast("long")
 
-    def event(seq, kind, call=none, body=none, when=None):
+    def event(seq, kind, call=none, body=none, when=None, number=None, last=False):
         made = F.struct(
-            F.lit(seq).alias("seq"), F.lit(kind).alias("type"), "message_no", call.alias("call_id"), body.alias("body")
-        ).cast(EVENT_FIELDS)
+            F.struct(
+                F.lit(seq).alias("seq"), F.lit(kind).alias("type"),
+                (F.col("message_no") if number is None else number).alias("message_no"),
+                call.alias("call_id"), body.alias("body"),
+            ).cast(EVENT_FIELDS).alias("e"),
+            F.lit(last).alias("last"),
+        )
         return made if when is None else F.when(when, made)
 
     call = F.col("call_id")
     given = lambda name: F.coalesce(name, F.lit("")) != ""
-    closing = event(0, "TEXT_MESSAGE_END", when=F.col("after_text"))
+    kind, body = F.col("kind"), F.col("content")
+
+    def closing(seq):
+        return event(seq, "TEXT_MESSAGE_END", when=F.col("after_text"))
+
     made = (
         F.when(
-            F.col("kind") == "text",
+            kind == "text",
             F.array(
                 event(0, "TEXT_MESSAGE_START", when=~F.col("after_text")),
-                event(1, "TEXT_MESSAGE_CONTENT", body=F.col("content")),
+                event(1, "TEXT_MESSAGE_CONTENT", body=body),
+                event(0, "TEXT_MESSAGE_END", when=F.col("_last"), last=True),
             ),
         )
         .when(
-            F.col("kind") == "tool_use",
+            kind == "tool_use",
             F.array(
-                closing,
+                closing(0),
                 event(1, "TOOL_CALL_START", call, F.col("tool")),
                 event(2, "TOOL_CALL_ARGS", call, F.col("input"), given("input")),
             ),
         )
-        .otherwise(
+        .when(
+            kind == "tool_result",
             F.array(
-                closing,
+                closing(0),
                 event(1, "TOOL_CALL_END", call),
                 event(2, "TOOL_CALL_RESULT", call, F.col("output"), given("output")),
+            ),
+        )
+        .when(
+            kind == "end",
+            F.array(
+                closing(0),
+                event(1, "RUN_ERROR", body=body, when=given("content"), number=no_number),
+                event(1, "RUN_FINISHED", when=~given("content"), number=no_number),
+            ),
+        )
+        .otherwise(
+            F.array(
+                event(0, "RUN_ERROR", body=body, number=no_number),
+                closing(1),
+                event(2, "RUN_ERROR", body=body, number=no_number),
             )
         )
     )
-    events = rows.select(run, *order, F.inline(F.array_compact(made)))
-    failed = messages.filter(F.col("kind") == "error").select(
+    dealt = rows.select(run, *order, F.explode(F.array_compact(made)).alias("m"))
+    events = dealt.select(run, *[F.when(~F.col("m.last"), F.col(c)).alias(c) for c in order], "m.e.*")
+    failed = messages.filter(kind == "error").select(
         run,
         *order,
         F.lit(0).alias("seq"),
         F.lit("RUN_ERROR").alias("type"),
-        F.lit(None).cast("long").alias("message_no"),
-        none.alias("call_id"),
-        F.col("content").alias("body"),
-    )
-    at = F.struct(*order)
-    ends = rows.groupBy(run).agg(F.max_by("_text", at).alias("open"), F.max("message_no").alias("message_no"))
-    schema = rows.schema
-    still_open = ends.filter("open").select(
-        run,
-        *[F.lit(None).cast(schema[c].dataType).alias(c) for c in order],
-        F.lit(0).alias("seq"),
-        F.lit("TEXT_MESSAGE_END").alias("type"),
-        "message_no",
+        no_number.alias("message_no"),
         none.alias("call_id"),
-        none.alias("body"),
+        body.alias("body"),
     )
-    return events.unionByName(failed).unionByName(still_open)
+    return events.unionByName(failed)
 
 
-def saved_messages(messages: DataFrame, run: str, bucket: str, order: list[str]) -> DataFrame:
+def saved_messages(messages: DataFrame, run: str, bucket: str | None, order: list[str]) -> DataFrame:
     """Messages to store: each text message joined up, and each tool output.
 
     The text of one message is one string value, so its pieces meet in one row.
     """
+    if bucket is None:
+        return saved_messages(in_ranges(messages, run, order), run, RANGE, order)
     rows = _linked(messages, run, bucket, order)
     piece = F.struct(*order, "content")
     texts = (

@@ -17,6 +17,7 @@ from trawler.operators import catalog, fusion, lexical, sessions, vector, wiki
 from trawler.operators.chunking import chunk_documents
 from trawler.plans.query import QueryOptions, hybrid_query, query_collections
 from trawler.session import settle, ship_package, spread
+from trawler.streaming.events import normalize
 from trawler.sources.tables import corpus_files, table, table_index
 
 COLLECTIONS = ["de", "en", "es", "fr"]
@@ -617,11 +618,9 @@ def session_update(spark, sf_dir):
 
 
 def message_ordinals(spark, sf_dir):
-    """Position of every event in its user's log, split by day."""
-    events = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", F.to_date("ts").alias("day")
-    )
-    numbered = sessions.number_rows(events, "user_id", "day", ["ts", "event_id"])
+    """Position of every event in its user's log, in ranges of any user's rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    numbered = sessions.number_rows(events, "user_id", None, ["ts", "event_id"])
     return numbered.select("event_id", "user_id", "ordinal")
 
 
@@ -660,7 +659,7 @@ def _run_messages(spark, sf_dir) -> DataFrame:
     )
     number = F.col("event_id").cast("string")
     return table(spark, sf_dir, "events").select(
-        "user_id", "ts", "event_id", F.to_date("ts").alias("day"), kind.alias("kind"),
+        "user_id", "ts", "event_id", kind.alias("kind"),
         F.concat(F.lit("["), number, F.lit("]")).alias("content"),
         F.concat(F.lit("call"), number).alias("call_id"),
         F.lit("exec_command").alias("tool"),
@@ -670,7 +669,7 @@ def _run_messages(spark, sf_dir) -> DataFrame:
 
 
 def event_text_runs(spark, sf_dir):
-    events = sessions.fold_events(_run_messages(spark, sf_dir), "user_id", "day", ["ts", "event_id"])
+    events = sessions.fold_events(_run_messages(spark, sf_dir), "user_id", None, ["ts", "event_id"])
     return events.select(
         "user_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "seq", "type",
         F.coalesce("message_no", F.lit(-1)).alias("message_no"),
@@ -679,10 +678,47 @@ def event_text_runs(spark, sf_dir):
 
 
 def event_saved_messages(spark, sf_dir):
-    saved = sessions.saved_messages(_run_messages(spark, sf_dir), "user_id", "day", ["ts", "event_id"])
+    saved = sessions.saved_messages(_run_messages(spark, sf_dir), "user_id", None, ["ts", "event_id"])
     return saved.withColumn("tool_call_id", F.coalesce("tool_call_id", F.lit("")))
 
 
+def _notifications(spark, sf_dir) -> DataFrame:
+    """The event log as raw agent notifications, one run per user and day."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    mark = F.concat(F.lit("["), number, F.lit("]"))
+    turn = F.element_at(F.array(*map(F.lit, ("completed", "failed", "interrupted", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    reason = F.when(F.col("event_id") % 8 < 4, mark)
+
+    def note(method: str, params) -> F.Column:
+        return F.to_json(F.struct(F.lit(method).alias("method"), F.struct(params).alias("params")))
+
+    command = F.struct(F.lit("commandExecution").alias("type"), number.alias("id"), mark.alias("command"), F.col("props").alias("aggregatedOutput"))
+    raw = (
+        F.when((kind == "view") & (F.col("event_id") % 3 == 0), F.to_json(F.struct(F.lit("agent_message").alias("type"), mark.alias("message"))))
+        .when(kind == "view", note("item/agentMessage/delta", F.struct(mark.alias("delta")).alias("item")))
+        .when(kind == "click", F.when(F.col("event_id") % 2 == 0, note("item/started", command.alias("item"))).otherwise(note("item/completed", command.alias("item"))))
+        .when(kind == "signup", note("turn/started", F.struct(number.alias("id")).alias("turn")))
+        .when((kind == "purchase") & (F.col("value") > 50), note("turn/completed", F.struct(turn.alias("status"), F.struct(reason.alias("message")).alias("error")).alias("turn")))
+        .when(kind == "purchase", note("thread/status/changed", F.struct(F.lit("idle").alias("type")).alias("status")))
+        .when(F.col("value") > 10, note("error", F.struct(mark.alias("message")).alias("error")))
+        .otherwise(note("account/updated", F.lit(1).alias("n")))
+    )
+    run = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+    return table(spark, sf_dir, "events").select(run.alias("run_id"), "ts", "event_id", raw.alias("raw"))
+
+
+def event_notifications(spark, sf_dir):
+    """Raw notifications to client events: mapping, turn state and fold."""
+    order = ["ts", "event_id"]
+    messages = sessions.end_turns(normalize(_notifications(spark, sf_dir)), "run_id", order)
+    events = sessions.fold_events(messages, "run_id", None, order)
+    return events.select(
+        "run_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "seq", "type",
+        F.coalesce("message_no", F.lit(-1)).alias("message_no"),
+        F.coalesce("call_id", F.lit("")).alias("call_id"), F.coalesce("body", F.lit("")).alias("body"),
+    )
+
+
 def json_props(spark, sf_dir):
     props = sessions.json_map(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(props, F.lit("k")).cast("int").alias("k"))
@@ -701,7 +737,7 @@ QUERIES = {
         glob_filter, slugify, haystack_search, rerank_parse, collection_stats, index_status, embed_pending,
         incremental_diff, index_counts, wiki_page_parse, wiki_document_check, wiki_table_search,
         wiki_table_terms, session_list, session_list_agent, session_update, message_ordinals,
-        message_upsert, latest_user_message, run_status_fold, event_text_runs, event_saved_messages,
+        message_upsert, latest_user_message, run_status_fold, event_text_runs, event_saved_messages, event_notifications,
         json_props,
     )
 }

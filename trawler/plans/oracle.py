@@ -515,5 +515,40 @@ ORACLES = {
     "event_saved_messages": f"""WITH {RUN_ROWS} SELECT user_id, message_no, 'assistant' AS role, '' AS tool_call_id, string_agg(content, '' ORDER BY ts, event_id) AS content
       FROM numbered WHERE is_text GROUP BY user_id, message_no
       UNION ALL SELECT user_id, message_no, 'tool', call_id, props FROM numbered WHERE kind = 'tool_result' AND value > 10""",
+    "event_notifications": """WITH noted AS (
+      SELECT user_id || '/' || CAST(ts AS DATE) AS run_id, (ts, event_id) AS pos, event_id, props, '[' || event_id || ']' AS mark, CASE
+        WHEN event_type = 'view' THEN 'text' WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'tool_use' WHEN event_type = 'click' THEN 'tool_result'
+        WHEN event_type = 'signup' THEN 'turn' WHEN event_type = 'purchase' AND value > 50 THEN 'end' WHEN event_type = 'purchase' THEN 'idle'
+        WHEN value > 10 THEN 'error_end' END AS kind FROM events),
+    marked AS (
+      SELECT *, coalesce(bool_or(kind = 'turn') OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS opened FROM noted),
+    stops AS (SELECT *, kind IN ('end', 'error_end') OR (kind = 'idle' AND opened) AS stop FROM marked WHERE kind IS NOT NULL),
+    kept AS (
+      SELECT * EXCLUDE (kind), CASE WHEN kind = 'idle' THEN 'end' ELSE kind END AS kind, CASE WHEN kind = 'error_end' THEN mark
+        WHEN kind = 'end' AND event_id % 4 = 2 THEN 'turn was aborted'
+        WHEN kind = 'end' AND event_id % 4 IN (1, 3) THEN CASE WHEN event_id % 8 < 4 THEN mark ELSE 'codex turn failed' END ELSE '' END AS failure
+      FROM (SELECT *, count(*) FILTER (stop) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM stops)
+      WHERE before = 0 AND kind <> 'turn' AND (kind <> 'idle' OR stop)),
+    linked AS (SELECT *, kind = 'text' AS is_text, coalesce(lag(kind = 'text') OVER w, false) AS after_text,
+      lead(kind) OVER w IS NULL AS is_last FROM kept WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
+    numbered AS (SELECT *, CAST(sum(CASE WHEN is_text AND NOT after_text THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY pos) AS BIGINT) AS message_no FROM linked)
+    """
+    + " UNION ALL ".join(
+        f"SELECT run_id, {event} AS event_id, CAST({seq} AS INT) AS seq, '{kind}' AS type, {no} AS message_no, {call} AS call_id, {body} AS body FROM numbered WHERE {when}"
+        for event, seq, kind, no, call, body, when in (
+            ("event_id", 0, "TEXT_MESSAGE_START", "message_no", "''", "''", "is_text AND NOT after_text"),
+            ("event_id", 1, "TEXT_MESSAGE_CONTENT", "message_no", "''", "mark", "is_text"),
+            ("-1", 0, "TEXT_MESSAGE_END", "message_no", "''", "''", "is_text AND is_last"),
+            ("event_id", "CASE WHEN kind = 'error_end' THEN 1 ELSE 0 END", "TEXT_MESSAGE_END", "message_no", "''", "''", "NOT is_text AND after_text"),
+            ("event_id", 1, "TOOL_CALL_START", "message_no", "CAST(event_id AS VARCHAR)", "'exec_command'", "kind = 'tool_use'"),
+            ("event_id", 2, "TOOL_CALL_ARGS", "message_no", "CAST(event_id AS VARCHAR)", "'{\"command\":\"' || mark || '\"}'", "kind = 'tool_use'"),
+            ("event_id", 1, "TOOL_CALL_END", "message_no", "CAST(event_id AS VARCHAR)", "''", "kind = 'tool_result'"),
+            ("event_id", 2, "TOOL_CALL_RESULT", "message_no", "CAST(event_id AS VARCHAR)", "props", "kind = 'tool_result' AND props <> ''"),
+            ("event_id", 1, "RUN_FINISHED", "-1", "''", "''", "kind = 'end' AND failure = ''"),
+            ("event_id", 1, "RUN_ERROR", "-1", "''", "failure", "kind = 'end' AND failure <> ''"),
+            ("event_id", 0, "RUN_ERROR", "-1", "''", "failure", "kind = 'error_end'"),
+            ("event_id", 2, "RUN_ERROR", "-1", "''", "failure", "kind = 'error_end'"),
+        )
+    ),
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
 }
