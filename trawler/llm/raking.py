@@ -39,19 +39,19 @@ BUDGET = 0.5
 SWEEPS = 12
 SCALE_STEPS = 8
 
-#: Topic name and what a text must match, in this order.
+#: Topic name, what a text must match, in this order, and what any match holds (looked for first).
 TOPICS = (
-    ("licensing", r"(?i)licensed under|all rights reserved|copyright"),
-    ("credentials", r"AKIA[0-9A-Z]{16}|(?i:password=|token = )"),
-    ("contacts", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2}"),
-    ("tables", r"\|[^|\n]*\|"),
+    ("licensing", r"(?i)licensed under|all rights reserved|copyright", ""),
+    ("credentials", r"AKIA[0-9A-Z]{16}|(?i:password=|token = )", ""),
+    ("contacts", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2}", "@"),
+    ("tables", r"\|[^|\n]*\|", "|"),
 )
 
 
 def topic(text: Column, topics=TOPICS) -> Column:
     found = None
-    for name, pattern in topics:
-        hit = text.rlike(pattern)
+    for name, pattern, holds in topics:
+        hit = text.contains(holds) & text.rlike(pattern) if holds else text.rlike(pattern)
         found = F.when(hit, name) if found is None else found.when(hit, name)
     return F.coalesce(found, F.lit("prose")) if found is not None else F.lit("prose")
 
@@ -106,7 +106,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
             there = there.agg(F.sum(F.col("n") * F.col("weight")).alias("there"))
             factor = F.when(F.col("there") > 0, F.col("target") / F.col("there")).otherwise(F.lit(1.0))
             step = there.join(wanted[margin], "value").select("value", factor.alias("factor"))
-            factors[margin] = small(settled(step, 1))
+            factors[margin] = small(settled(step))
     return factors
 
 
@@ -134,16 +134,16 @@ def sampling_scale(cells: DataFrame, budget: float, steps: int = SCALE_STEPS) ->
 
 def calibrated(rows: DataFrame, targets=None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """Weight and probability of every cell of ``rows`` (the margins, n_tokens)."""
-    cells = settled(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), 1)
-    weighted = settled(_weighted(cells, rake(cells, targets, sweeps)), 1)
+    cells = settled(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")))
+    weighted = settled(_weighted(cells, rake(cells, targets, sweeps)))
     probability = F.least(F.lit(1.0), F.col("weight") * F.lit(sampling_scale(weighted, budget)))
-    return small(weighted.select(*MARGINS, "weight", probability.alias("probability")))
+    return weighted.select(*MARGINS, "weight", probability.alias("probability"))
 
 
 def mix_sources(docs: DataFrame, targets=None, budget: float = BUDGET, topics=TOPICS, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, the margins, n_tokens, weight, probability and sampled of every row."""
     rows = settled(with_cells(docs, topics))
-    drawn = rows.join(calibrated(rows, targets, budget, sweeps), list(MARGINS))
+    drawn = rows.join(small(calibrated(rows, targets, budget, sweeps)), list(MARGINS))
     return drawn.select(
         "doc_id",
         *MARGINS,
