@@ -69,49 +69,58 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
     return words.groupBy(F.col("run").alias("word")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def _part(start: Column | int, length: int) -> Column:
-    """Symbols of the word with its end, from a position counted from 0."""
-    start = start if isinstance(start, Column) else F.lit(start)
-    return F.substring(F.concat("word", F.lit(END)), start + 1, F.lit(length))
+def edges(words: DataFrame) -> DataFrame:
+    """(level, node, wide, other, ahead, child) of the trie of all words.
 
+    A plain edge has one symbol in ``ahead``. A wide one first has any symbol, ``other``,
+    and ``ahead`` holds the ones after it.
+    """
+    level = F.col("level")
+    cut = words.select(F.concat("word", F.lit(END)).alias("w"), F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("level"))
+    cut = cut.select("level", F.substring("w", F.lit(1), level).alias("node"), F.substring("w", level + 1, F.lit(1 + AHEAD)).alias("tail"))
+    # One row per wide edge; plain ones are told apart below.
+    wide = cut.distinct().select(
+        "level", "node", F.lit(True).alias("wide"), F.substring("tail", 1, 1).alias("other"),
+        F.substring("tail", 2, AHEAD).alias("ahead"), F.concat("node", "tail").alias("child"),
+    )
+    plain = wide.select("level", "node", F.col("other").alias("ahead")).distinct().select(
+        "level", "node", F.lit(False).alias("wide"), F.lit("").alias("other"), "ahead", F.concat("node", "ahead").alias("child")
+    )
+    return wide.filter("ahead <> ''").unionByName(plain)
 
-def edges(words: DataFrame, level: int) -> DataFrame:
-    """(node, other, ahead, child) below the nodes of one level.
 
-    ``other`` is empty for a plain edge of one symbol; else it is any symbol, and
-    ``ahead`` the ones after it.
-    """
-    inside = words.filter(F.char_length("word") >= level)
-    node, far = _part(0, level), _part(0, level + 1 + AHEAD)
-    near = F.struct(F.lit("").alias("other"), _part(level, 1).alias("ahead"), _part(0, level + 1).alias("child"))
-    wide = F.struct(_part(level, 1).alias("other"), _part(level + 1, AHEAD).alias("ahead"), far.alias("child"))
-    both = inside.select(node.alias("node"), F.explode(F.array(near, wide)).alias("e")).select("node", "e.*")
-    return both.filter("ahead <> ''").distinct().withColumn("wide", F.col("other") != "")
-
-
-def step(states: DataFrame, words: DataFrame, level: int) -> DataFrame:
-    """States one level on, or more behind a replaced symbol: (word, pos, node, edits)."""
-
-    def look(ahead: Column, wide: bool, forward: Column | int, edits: Column | int) -> Column:
-        pos = F.col("pos") + forward
-        return F.struct(
-            ahead.alias("ahead"), F.lit(wide).alias("wide"), pos.cast("int").alias("next"),
-            (edits if isinstance(edits, Column) else F.lit(edits)).cast("int").alias("made"),
-        )
+def step(states: DataFrame, below: DataFrame) -> DataFrame:
+    """States one level on, or more behind a replaced symbol: (word, pos, node, edits, depth).
 
-    own, pos = _part(F.col("pos"), 1), F.col("pos")
-    fresh = (F.col("edits") == 0) & (own != END)
-    first_of_run = (pos == 0) | (own != _part(pos - 1, 1))
+    No level stands in the expressions, so all levels run the same compiled code.
+    """
+    pos = F.col("pos")
+    seen = states.select(
+        "word", "node", "pos", "edits",
+        F.substring(F.concat("word", F.lit(END)), pos + 1, F.lit(1 + AHEAD)).alias("tail"),
+        F.when(pos > 0, F.substring("word", pos, F.lit(1))).otherwise(F.lit("")).alias("before"),
+    )
+    seen = seen.withColumn("own", F.substring("tail", 1, 1)).withColumn("rest", F.substring("tail", 2, AHEAD))
+    fresh = (F.col("edits") == 0) & (F.col("rest") != "")
+
+    def look(ahead: Column, wide: bool, forward: Column, edits: Column) -> Column:
+        return F.struct(ahead.alias("ahead"), F.lit(wide).alias("wide"), (pos + forward).alias("next"), edits.alias("made"))
+
+    one = F.lit(1)
     looked = F.array(
-        look(own, False, 1, F.col("edits")),
-        F.when(fresh & first_of_run, look(_part(pos + 1, 1), False, 2, 1)),
-        F.when(fresh, look(_part(pos + 1, AHEAD), True, F.lit(1) + F.char_length(_part(pos + 1, AHEAD)), 1)),
+        look(F.col("own"), False, one, F.col("edits")),
+        # Leaving a symbol out: the first of a run of equal ones only.
+        F.when(fresh & (F.col("own") != F.col("before")), look(F.substring("rest", 1, 1), False, F.lit(2), one)),
+        F.when(fresh, look(F.col("rest"), True, one + F.char_length("rest"), one)),
     )
-    asked = states.select("word", "node", own.alias("own"), F.explode(looked).alias("q")).filter("q IS NOT NULL")
-    asked = asked.select("word", "node", "own", "q.*")
-    met = asked.join(edges(words, level), ["node", "wide", "ahead"])
+    asked = seen.select("word", "node", "own", F.explode(looked).alias("q")).filter("q IS NOT NULL")
+    met = asked.select("word", "node", "own", "q.*").join(below, ["node", "wide", "ahead"])
     met = met.filter(~F.col("wide") | (F.col("other") < F.col("own")))
-    return met.select("word", F.col("next").alias("pos"), F.col("child").alias("node"), F.col("made").alias("edits"))
+    ended = F.endswith("child", F.lit(END))
+    depth = F.when(ended, F.lit(-1)).otherwise(F.char_length("child"))
+    return met.filter(~ended | (F.col("made") == 1)).select(
+        "word", F.col("next").alias("pos"), F.col("child").alias("node"), F.col("made").alias("edits"), depth.alias("depth")
+    )
 
 
 def _trie_pairs(words: DataFrame) -> DataFrame | None:
@@ -119,17 +128,15 @@ def _trie_pairs(words: DataFrame) -> DataFrame | None:
     deepest = words.agg(F.max(F.char_length("word"))).first()[0]
     if deepest is None:
         return None
-    start = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
+    trie = settled(edges(words).repartition("level", "node"), by=["level"])
+    start = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(0).alias("depth"))
     waiting, found = [start], []
-    files = 2 * words.sparkSession.sparkContext.defaultParallelism
     for level in range(deepest + 1):
-        here = waiting[0].filter(F.char_length("node") == level)
+        here = waiting[0].filter(F.col("depth") == level)
         for frame in waiting[1:]:
-            here = here.unionByName(frame.filter(F.char_length("node") == level))
-        made = step(here.filter(~F.endswith("node", F.lit(END))), words, level)
-        # A level is read by the next ones and again at the end: few files, whatever the number of shuffle partitions.
-        made = settled(made.coalesce(files))
-        found.append(made.filter(F.endswith("node", F.lit(END)) & (F.col("edits") == 1)))
+            here = here.unionByName(frame.filter(F.col("depth") == level))
+        made = settled(step(here, trie.filter(F.col("level") == level).drop("level")), by=["depth"])
+        found.append(made.filter("depth = -1"))
         waiting = [*waiting, made][-(AHEAD + 1) :]
     pairs = found[0]
     for frame in found[1:]:
