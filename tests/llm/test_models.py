@@ -8,14 +8,17 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import ODD_TEXTS
 from trawler.llm import oracles, queries
+from trawler.llm import quality_rules as qr
 from trawler.llm import raking as rk
 from trawler.llm import secret_scan as ss
 from trawler.llm import suffix_tree as pst
+from trawler.llm import textbytes as tb
 from trawler.llm import toxicity as tx
 from trawler.llm import url_filter as uf
 
@@ -61,24 +64,106 @@ def brute_levels(texts, depth):
     return levels
 
 
-def test_tree_sums_to_one_and_uses_longest_suffix():
+def brute_tree(texts, depth, least, divergence, pseudo):
+    """States (by context) of the tree: {symbol: probability} and the weight of the shorter context."""
+    levels = brute_levels(texts, depth)
+    nexts = [{} for _ in levels]
+    for k, level in enumerate(levels):
+        for gram, n in level.items():
+            nexts[k].setdefault(gram[:-1], {})[gram[-1]] = n
+    kept = [set(nexts[0])]
+    for k in range(1, depth + 1):
+        kept.append(set())
+        for context, told in nexts[k].items():
+            m, above = sum(told.values()), nexts[k - 1][context[1:]]
+            whole = sum(above.values())
+            if m >= least and sum(n / m * math.log(n / m / (above[s] / whole)) for s, n in told.items()) >= divergence:
+                kept[k].add(context)
+    for k in range(depth, 0, -1):
+        kept[k - 1] |= {c[1:] for c in kept[k]}
+    states = {}
+    for k in range(depth + 1):
+        for c in kept[k]:
+            told = nexts[k][c]
+            m, weight = sum(told.values()), pseudo * len(told) + 1
+            below = states[c[1:]][0] if k else {s: 1 / 256 for s in told}
+            states[c] = {s: (n + weight * below[s]) / (m + weight) for s, n in told.items()}, weight / (m + weight)
+    return states
+
+
+def brute_log10(states, context, symbol):
+    while context and context not in states:
+        context = context[1:]
+    total = 0.0
+    while context in states:
+        told, back = states[context]
+        if symbol in told:
+            return total + math.log10(told[symbol])
+        total += math.log10(back)
+        if not context:
+            break
+        context = context[1:]
+    return total - math.log10(256)
+
+
+def model_texts():
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["abc", "abd", "bca", "x"]) for _ in range(40)) for _ in range(30)]
-    depth = 3
-    levels = []
-    for counted in brute_levels(texts, depth):
-        keys = np.array([int.from_bytes(k, "big") for k in counted], dtype=np.uint64)
-        order = np.argsort(keys)
-        levels.append((keys[order], np.array(list(counted.values()))[order]))
-    tree = pst.Tree(levels)
-    contexts = np.array([int.from_bytes(c, "big") for c in (b"abc", b"\xff\xff\xff", b"zzz", b" ab")], dtype=np.uint64)
-    for c in contexts:
-        keys = (c << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** tree.score(keys)).sum() - 1) < 1e-4
-    # A word's third letter is known from the two before it.
-    seen = tree.score(np.array([int.from_bytes(b" bca", "big")], dtype=np.uint64))[0]
-    assert seen > math.log10(0.5)
-    assert sum(map(len, tree.states)) < sum(len({int(k) >> 8 for k in keys}) for keys, _ in levels)
+    texts = [" ".join(rng.choice(["abc", "abd", "bca", "x", "Zé", "abcabd"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    return [*texts, "", None, "y" * 300, "abc " * 200]
+
+
+@pytest.mark.parametrize("shard", [pst.SHARD, 40])
+def test_tree_against_brute_force(spark, shard, monkeypatch):
+    texts, depth = model_texts(), 3
+    monkeypatch.setattr(pst, "GROUP_BYTES", 900)
+    monkeypatch.setattr(pst, "SLICE", 300)
+    monkeypatch.setattr(pst.shards, "__defaults__", (pst.DEPTH, shard))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    states = brute_tree(train, depth, pst.MIN_COUNT, pst.MIN_DIVERGENCE, pst.PSEUDO)
+    counted = pst.settled(pst.counts(rows.filter(~pst.held_out()), depth))
+    tree = pst.tree_tables(counted, depth)
+    got = {(r["level"], r["key"]) for r in tree.filter("state").collect()}
+    assert got == {(len(c), int.from_bytes(c, "big")) for c in states}
+    of, parts = pst.shards(tree, depth, shard)
+    assert (len(parts) > 1) == (shard == 40)
+    for context in (b"abc", b"\xff\xff\xff", b"zzz", b" ab", b"x a"):
+        keys = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        values = pst._scored([keys], of, parts)[0]
+        assert abs((10**values).sum() - 1) < 1e-4
+        assert np.allclose(values, [brute_log10(states, context, s) for s in range(256)], atol=1e-5)
+    told = {r["doc_id"]: r["score"] for r in pst.score(rows, depth).collect()}
+    for k, text in enumerate(texts):
+        stream = b"".join(w.encode() + b" " for w in tokens(text)[:-1]) + b"\xff"
+        padded = b"\xff" * depth + stream
+        want = sum(brute_log10(states, padded[i : i + depth], padded[i + depth]) for i in range(len(stream)))
+        assert abs(told[k] - want) < 1e-4 * max(1, len(stream)), k
+
+
+def test_tree_grows_with_the_text(spark):
+    """Contexts are kept by their own counts: a rare word's do not fall when other text is added."""
+    rare = [(k, "quixotry jambeaux " * 4) for k in range(10)]
+    other = [(100 + k, "plain words again and again " * 200) for k in range(60)]
+
+    def sizes(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        tree = pst.tree_tables(pst.settled(pst.counts(frame)))
+        return {(r["level"], r["key"]) for r in tree.filter("state").collect()}
+
+    alone, both = sizes(rare), sizes(rare + other)
+    deep = {s for s in alone if s[0] == pst.DEPTH and s[1].to_bytes(6, "big") in b"quixotry jambeaux quixotry jambeaux "}
+    assert deep and deep <= both and len(both) > len(alone)
+
+
+def test_hashes_tell_structured_texts_apart():
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate({97: 98, 98: 97})
+    data, offsets = tb.flat(pa.array([f"{word}\n{other}\nx y", f"{word} {other}"]))
+    starts, ends, first = tb.words(data, offsets)
+    hashes = tb.SpanHash(data).of(starts, ends)
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[4] and hashes[1] == hashes[5]
+    assert qr.measure_slice(data, offsets)[qr.COUNTS.index("n_dup_lines")].tolist() == [0, 0]
 
 
 def test_scores_beat_base_on_held_out_text(spark):

@@ -4,16 +4,24 @@ Symbols are bytes: the words of a text (A-Z lower-cased), a space after each, an
 an end symbol, so that a text's probability is that of its word sequence and no
 word is out of vocabulary. The tree grows from the counts of all training text:
 
-* a context of up to ``DEPTH`` symbols is looked at if it makes up at least
-  ``MIN_SHARE`` of the corpus, so at most 1 / ``MIN_SHARE`` contexts of a length are;
+* a context of up to ``DEPTH`` symbols is looked at if it occurs ``MIN_COUNT`` times,
+  whatever the corpus, so more text gives more contexts;
 * it is retained if the divergence of its next-symbol distribution from that of the
   context one symbol shorter is ``MIN_DIVERGENCE`` or more, together with its suffixes;
 * next-symbol distributions are smoothed towards the shorter context's, with
-  ``PSEUDO`` counts per distinct next symbol, down to a uniform one. A symbol that follows a context in less
-  than ``MIN_SHARE`` / 64 of the corpus counts as unseen there.
+  ``PSEUDO`` counts per distinct next symbol, down to a uniform one.
 
-A symbol is scored by the longest suffix of what precedes it that is a state. The
-sizes above bound the tree whatever the corpus, so it is broadcast.
+A symbol is scored by the longest suffix of what precedes it that is a state. Counts,
+divergence, the closure over suffixes and smoothing are joins and sums of tables, one
+per length of context, keyed by context and symbol.
+
+States that end in the same two symbols back off among themselves until shorter than
+two. So the tree is a table partitioned by these: groups are packed into shards of about
+``SHARD`` entries (a larger group is one alone), each with the states of fewer symbols (65,792
+at most). Scoring a symbol needs one shard. A task reads ``GROUP_BYTES`` of text at a
+time, takes its distinct grams, and goes through the shards they need one by one, so it
+holds one shard whatever the size of the tree. Shards pass through the driver one by
+one on their way to the executors' disks.
 
 Beside the model's score, ``score`` gives a unigram base score over words with exact
 counts. Words of at least ``FREQUENT`` of all tokens (so 1 / ``FREQUENT`` words at most)
@@ -21,7 +29,8 @@ are broadcast with their counts; all others are looked up by a shuffle join.
 
 Texts whose crc32(doc_id) mod ``FOLDS`` is ``FOLD`` are held out of all counts; a null
 id counts as empty text. Null and empty texts have one token, their end. Repeated
-rows count each and get equal scores. A text is held whole in one task.
+rows count each and get equal scores. No rows give no rows; without training text every
+symbol has the probability of the uniform distribution. A text is held whole in one task. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +47,17 @@ from trawler.llm import textbytes as tb
 from trawler.llm.frames import settled
 
 DEPTH = 6
-MIN_SHARE = 2e-6
+MIN_COUNT = 8
 MIN_DIVERGENCE = 0.02
 PSEUDO = 5.0
+SHARD = 1_500_000
 FREQUENT = 2.0**-22
 FOLDS, FOLD = 7, 2
 
 END = 0xFF
-SLICE = 2 << 20
+SLICE = 512 << 10
+#: Text whose grams go through the shards together.
+GROUP_BYTES = 8 << 20
 #: Distinct counts a task holds before it sends them on.
 HELD = 1_500_000
 
@@ -154,88 +167,49 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Tree:
-    """States and smoothed distributions.
+    """States and smoothed distributions, or a shard of them, by length of context.
 
-    ``levels[k]`` has sorted keys (context of k symbols, then the next one) and
-    their counts, of the contexts frequent enough.
+    ``entries[k]`` has sorted keys (context of k symbols, then the next one) with log10
+    probabilities ``values[k]``, ``states[k]`` sorted contexts with ``backoff[k]``.
     """
 
-    def __init__(self, levels, pseudo: float = PSEUDO, min_divergence: float = MIN_DIVERGENCE):
-        kept = self._retained(levels, min_divergence)
+    def __init__(self, level: np.ndarray, state: np.ndarray, key: np.ndarray, value: np.ndarray, depth: int):
         self.states, self.entries, self.values, self.backoff = [], [], [], []
-        for k, (keys, n) in enumerate(levels):
-            keep = _find(kept[k], keys >> _BYTE) >= 0
-            keys, n = keys[keep], n[keep]
-            states, state = _groups(keys >> _BYTE)
-            total = np.bincount(state, n, len(states))
-            weight = pseudo * np.bincount(state, minlength=len(states)) + 1
-            if k:
-                below = 10 ** self._log10(_suffix(keys >> _BYTE, k - 1), keys & _LAST, k - 1)
-            else:
-                below = np.full(len(keys), 1 / 256)
-            value = (n + weight[state] * below) / (total + weight)[state]
-            self.states.append(states)
-            self.entries.append(keys)
-            self.values.append(np.log10(value).astype(np.float32))
-            self.backoff.append(np.log10(weight / (total + weight)))
-
-    @staticmethod
-    def _retained(levels, min_divergence: float) -> list[np.ndarray]:
-        kept = []
-        for k, (keys, n) in enumerate(levels):
-            states, state = _groups(keys >> _BYTE)
-            share = n / np.bincount(state, n, len(states))[state]
-            if k:
-                # What follows a context follows its suffix at least as often, so it is told there.
-                at = np.searchsorted(above_keys, _suffix(keys >> _BYTE, k - 1) << _BYTE | (keys & _LAST))
-                divergence = np.bincount(state, share * np.log(share / above_share[at]), len(states))
-                kept.append(states[divergence >= min_divergence])
-            else:
-                kept.append(states)
-            above_keys, above_share = keys, share
-        for k in range(len(levels) - 1, 0, -1):
-            kept[k - 1] = np.union1d(kept[k - 1], _suffix(kept[k], k - 1))
-        return kept
-
-    def _log10(self, context: np.ndarray, symbol: np.ndarray, deepest: int) -> np.ndarray:
-        """log10 P(symbol | context): from the longest state down until one told the symbol."""
-        n = len(context)
-        value = np.zeros(n)
-        open_, entered = np.arange(n), np.zeros(n, dtype=bool)
-        for k in range(deepest, -1, -1):
-            if not len(open_):
+        for k in range(depth + 1):
+            for is_state, keys, values in ((True, self.states, self.backoff), (False, self.entries, self.values)):
+                own = np.flatnonzero((level == k) & (state == is_state))
+                own = own[np.argsort(key[own], kind="stable")]
+                keys.append(key[own])
+                values.append(value[own])
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's last symbol after the others: from the
+        longest state down until one told the symbol."""
+        context, symbol = keys >> _BYTE, keys & _LAST
+        value = np.zeros(len(keys))
+        left = np.arange(len(keys))
+        for k in range(len(self.states) - 1, -1, -1):
+            if not len(left):
                 break
-            code = _suffix(context[open_], k)
+            code = _suffix(context[left], k)
             state = _find(self.states[k], code)
             is_state = state >= 0
-            entry = np.full(len(open_), -1)
-            entry[is_state] = _find(self.entries[k], code[is_state] << _BYTE | symbol[open_[is_state]])
+            entry = np.full(len(left), -1)
+            entry[is_state] = _find(self.entries[k], code[is_state] << _BYTE | symbol[left[is_state]])
             told = entry >= 0
-            value[open_[told]] += self.values[k][entry[told]]
+            value[left[told]] += self.values[k][entry[told]]
             further = is_state & ~told
-            value[open_[further]] += self.backoff[k][state[further]]
-            open_ = open_[~told]
-        value[open_] -= math.log10(256)
+            value[left[further]] += self.backoff[k][state[further]]
+            left = left[~told]
+        value[left] -= math.log10(256)
         return value
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last symbol after the others."""
-        deepest = len(self.states) - 1
-        return self._log10(keys >> _BYTE, keys & _LAST, deepest)
-
 
 def _suffix(context: np.ndarray, k: int) -> np.ndarray:
     """The last ``k`` symbols of packed contexts."""
     return context & np.uint64((1 << (8 * k)) - 1)
 
 
-def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of a sorted array, and which of them each element is."""
-    new = np.ones(len(ordered), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    return ordered[new], np.cumsum(new) - 1
-
-
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of ``keys`` in a sorted table, -1 where absent."""
     if not len(table):
@@ -252,27 +226,114 @@ def _collected(df: DataFrame, key: str, count: str) -> tuple[np.ndarray, np.ndar
     return keys[order], told.column(1).to_numpy()[order]
 
 
-def train(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
-    """The tree of gram counts (kind, key, n)."""
+def _mask(symbols: int) -> Column:
+    return F.lit((1 << (8 * symbols)) - 1).cast("long")
+
+
+def _levels(counted: DataFrame, depth: int) -> list[DataFrame]:
+    """(context, above, key, n) by length of context: counts of grams, and the gram one symbol shorter."""
+    out = []
+    key = F.col("key")
     level = settled(counted.filter(F.col("kind") == _GRAM).select("key", "n"))
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least, least_entry = max(total * min_share, 1), max(total * min_share / 64, 1)
-    levels = []
     for k in range(depth, -1, -1):
-        context = F.shiftrightunsigned("key", 8)
-        frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= least).select("context")
-        # At most 1 / min_share contexts, and 64 / min_share entries, whatever the corpus.
-        told = level.filter(F.col("n") >= least_entry).withColumn("context", context)
-        told = told.join(F.broadcast(frequent), "context", "left_semi").select("key", "n")
-        levels.append(_collected(told, "key", "n"))
+        out.append(level.select(F.shiftrightunsigned("key", 8).alias("context"), key.bitwiseAND(_mask(k)).alias("above"), "key", "n"))
         if k:
-            mask = (1 << (8 * k)) - 1
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("key")).agg(F.sum("n").alias("n"))
-            level = settled(level)
-    return Tree(levels[::-1])
-
-
-def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> DataFrame:
+            level = settled(level.groupBy(key.bitwiseAND(_mask(k)).alias("key")).agg(F.sum("n").alias("n")))
+    return out[::-1]
+
+
+def tree_tables(
+    counted: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, pseudo: float = PSEUDO
+) -> DataFrame:
+    """(level, state, key, value): the tree's log10 probabilities of entries, and of backing off from states."""
+    shares, kept = [], []
+    for k, level in enumerate(_levels(counted, depth)):
+        sizes = level.groupBy("context").agg(F.sum("n").alias("m"), F.count("*").alias("d")).filter(F.col("m") >= (min_count if k else 1))
+        told = level.join(sizes, "context")
+        if k:
+            # What follows a context follows its suffix at least as often, so it is told there.
+            above = shares[-1].select(F.col("key").alias("above"), (F.col("n") / F.col("m")).alias("above_share"))
+            told = told.join(above, "above")
+        shares.append(settled(told))
+        if k:
+            share = F.col("n") / F.col("m")
+            divergence = shares[-1].groupBy("context").agg(F.sum(share * F.ln(share / F.col("above_share"))).alias("x"))
+            kept.append(settled(divergence.filter(F.col("x") >= min_divergence).select("context")))
+    for k in range(depth - 1, 0, -1):
+        suffixes = kept[k].select(F.col("context").bitwiseAND(_mask(k)).alias("context"))
+        kept[k - 1] = settled(kept[k - 1].unionByName(suffixes).distinct())
+    parts, below = [], None
+    for k, told in enumerate(shares):
+        if k:
+            told = told.join(kept[k - 1], "context", "left_semi").join(below, "above")
+        else:
+            told = told.withColumn("p", F.lit(1.0 / 256))
+        weight = F.col("d") * F.lit(pseudo) + 1
+        value = (F.col("n") + weight * F.col("p")) / (F.col("m") + weight)
+        told = settled(told.select("context", "key", value.alias("p"), (weight / (F.col("m") + weight)).alias("back")))
+        below = told.select(F.col("key").alias("above"), "p")
+        entries = told.select(F.lit(k).alias("level"), F.lit(False).alias("state"), "key", F.log10("p").cast("float").alias("value"))
+        states = told.groupBy("context").agg(F.first("back").alias("back"))
+        states = states.select(F.lit(k).alias("level"), F.lit(True).alias("state"), F.col("context").alias("key"), F.log10("back").cast("float").alias("value"))
+        parts += [entries, states]
+    tree = parts[0]
+    for part in parts[1:]:
+        tree = tree.unionByName(part)
+    return settled(tree)
+
+
+def _tree(rows: DataFrame, depth: int) -> Tree:
+    told = rows.select("level", "state", "key", "value").toArrow()
+    level, state, key, value = (told.column(c).to_numpy() for c in ("level", "state", "key", "value"))
+    return Tree(level, state, key.view(np.uint64), value, depth)
+
+
+def shards(tree: DataFrame, depth: int = DEPTH, shard: int = SHARD) -> tuple[np.ndarray, list]:
+    """The shard of every pair of last context symbols, and the shards, broadcast."""
+    context = F.when(F.col("state"), F.col("key")).otherwise(F.shiftrightunsigned("key", 8))
+    tail = context.bitwiseAND(_mask(2)).cast("int")
+    deep = tree.filter("level >= 2").withColumn("tail", tail)
+    # At most 65,536 groups.
+    sizes = deep.groupBy("tail").agg(F.count("*").alias("n")).orderBy("tail").collect()
+    of, number, held = np.zeros(1 << 16, dtype=np.int32), 0, 0
+    for row in sizes:
+        if held and held + row["n"] > shard:
+            number, held = number + 1, 0
+        of[row["tail"]], held = number, held + row["n"]
+    if number:
+        spark = tree.sparkSession
+        told = spark.createDataFrame([(r["tail"], int(of[r["tail"]])) for r in sizes], "tail int, shard int")
+        deep = settled(deep.join(F.broadcast(told), "tail").drop("tail").repartition(number + 1, "shard"), by=["shard"])
+    shallow = settled(tree.filter("level < 2"))
+    context = tree.sparkSession.sparkContext
+    out = []
+    for k in range(number + 1):
+        own = deep.filter(F.col("shard") == k).drop("shard") if number else deep.drop("tail")
+        out.append(context.broadcast(_tree(own.unionByName(shallow), depth)))
+    return of, out
+
+
+def _opened(shared) -> Tree:
+    """A shard, held by nothing but the caller."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value
+
+
+def _scored(groups: list[np.ndarray], of: np.ndarray, parts: list) -> list[np.ndarray]:
+    """log10 probabilities of sorted distinct grams, one array per slice; one shard is open at a time."""
+    places = [of[((keys >> _BYTE) & np.uint64(0xFFFF)).astype(np.int64)] for keys in groups]
+    values = [np.zeros(len(keys)) for keys in groups]
+    for k in sorted({int(x) for place in places for x in np.unique(place)}):
+        tree = _opened(parts[k])
+        for keys, place, value in zip(groups, places, values, strict=True):
+            own = np.flatnonzero(place == k)
+            value[own] = tree.score(keys[own])
+        del tree
+    return values
+
+
+def score(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score and score (both log10 probabilities)."""
     spark = docs.sparkSession
@@ -286,39 +347,56 @@ def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) ->
 
     frequent = vocabulary.filter(F.col("c") >= max(train_tokens * FREQUENT, 1))
     words, c = _collected(frequent, "word", "c")
-    shared = spark.sparkContext.broadcast((train(counted, depth, min_share), words, np.log10(c + 1.0)))
+    shared = spark.sparkContext.broadcast((words, np.log10(c + 1.0)))
+    of, parts = shards(tree_tables(counted, depth, min_count), depth)
     end_score, end_known = math.log10(texts + 1) - whole, int(texts > 0)
 
+    def row_part(batch, lo, hi, data, offsets, common, common_log):
+        """Columns of a slice but for the model's score, and its grams."""
+        hashes, first, stream, begin = read_slice(data, offsets)
+        keys, back = np.unique(grams(stream, begin, depth), return_inverse=True)
+        at = _find(common, hashes)
+        hit = at >= 0
+        value = np.zeros(len(hashes))
+        value[hit] = common_log[at[hit]] - whole
+        row = np.repeat(np.arange(hi - lo), np.diff(first))[~hit]
+        rare = hashes[~hit]
+        order = np.lexsort((rare, row))
+        rare, row = rare[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])[: len(rare)])
+        times = np.diff(np.append(new, len(rare)))
+        rare_first = pa.array(np.searchsorted(row[new], np.arange(hi - lo + 1)), pa.int32())
+        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        raw = memoryview(data)
+        content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in ends], dtype=np.uint64)
+        columns = [
+            batch.column("doc_id").slice(lo, hi - lo),
+            pa.array(content.view(np.int64)),
+            pa.array(np.diff(first) + 1),
+            pa.array(tb.sum_rows(hit, first) + end_known),
+            pa.array(tb.sum_rows(value, first) + end_score),
+            pa.ListArray.from_arrays(rare_first, pa.array(rare[new].view(np.int64))),
+            pa.ListArray.from_arrays(rare_first, pa.array(times.astype(np.int32))),
+        ]
+        return columns, keys, back.astype(np.int32), begin
+
+    def scored_group(group):
+        values = _scored([keys for _, keys, _, _ in group], of, parts)
+        for (columns, _, back, begin), value in zip(group, values, strict=True):
+            columns.insert(5, pa.array(tb.sum_rows(value[back], begin)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches):
-        tree, common, common_log = shared.value
+        common, common_log = shared.value
+        group, held = [], 0
         for batch in batches:
             for lo, hi, data, offsets in tb.texts(batch.column("text"), SLICE):
-                hashes, first, stream, begin = read_slice(data, offsets)
-                keys, back = np.unique(grams(stream, begin, depth), return_inverse=True)
-                model = tb.sum_rows(tree.score(keys)[back], begin)
-                at = _find(common, hashes)
-                hit = at >= 0
-                value = np.zeros(len(hashes))
-                value[hit] = common_log[at[hit]] - whole
-                row = np.repeat(np.arange(hi - lo), np.diff(first))[~hit]
-                rare = hashes[~hit]
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])[: len(rare)])
-                times = np.diff(np.append(new, len(rare)))
-                rare_first = pa.array(np.searchsorted(row[new], np.arange(hi - lo + 1)), pa.int32())
-                content = tb.SpanHash(data).of(offsets[:-1], offsets[1:])
-                columns = [
-                    batch.column("doc_id").slice(lo, hi - lo),
-                    pa.array(content.view(np.int64)),
-                    pa.array(np.diff(first) + 1),
-                    pa.array(tb.sum_rows(hit, first) + end_known),
-                    pa.array(tb.sum_rows(value, first) + end_score),
-                    pa.array(model),
-                    pa.ListArray.from_arrays(rare_first, pa.array(rare[new].view(np.int64))),
-                    pa.ListArray.from_arrays(rare_first, pa.array(times.astype(np.int32))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                group.append(row_part(batch, lo, hi, data, offsets, common, common_log))
+                held += len(data)
+                if held >= GROUP_BYTES:
+                    yield from scored_group(group)
+                    group, held = [], 0
+        yield from scored_group(group)
 
     schema = (
         "doc_id long, content long, n_tokens long, n_known long, base double, score double, "
