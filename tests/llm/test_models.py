@@ -232,6 +232,58 @@ def test_candidates_and_features(spark, odd_docs, no_docs):
     assert ss.secret_scan(no_docs).count() == 0
 
 
+def brute_candidates(text):
+    """(word, run number, run, prefix) of every candidate of a text."""
+    out = []
+    words = re.split(ss.SPACE, text)
+    for i, word in enumerate(words):
+        runs = list(re.finditer(ss.RUN, word))
+        out += [(i, k, m[0], word[: m.start()]) for k, m in enumerate(runs)]
+        inside = re.match("(?i)" + ss.ASSIGNED.replace("(?i)", ""), word)
+        previous = " ".join(words[max(0, i - 2) : i])
+        if inside:
+            value, head = word[inside.end(1) :], inside[1]
+        elif previous.endswith(("=", ":")) and re.search("(?i)" + ss.NAMED.replace("(?i)", ""), previous):
+            value, head = word, ""
+        else:
+            continue
+        value = re.sub(ss.AROUND, "", value)
+        if value and not re.search(ss.RUN, value):
+            out.append((i, -1, value, head))
+    return sorted(out)
+
+
+SECRET_TEXTS = [
+    "a=ABCDEFGHIJKLMNOP;password=ABCDEFGHIJKLMNOP", "x0123456789abcdefghij+0123456789abcdefghij", "password=hunter2!",
+    "the token = ab.c, and pwd: 'q@x' or api_key=\"Z9\"; Secret:none", "password= 0123456789abcdef", "password:", "= x : y", "", "url=http://a.b/c",
+    "k=v " * 50 + "passwd=p#1", "0123456789abcdef." * 40,
+]
+
+
+def test_candidates_against_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string").selectExpr("*", "'src' AS source")
+    rows = ss.candidates(docs).collect()
+    for k, text in enumerate(SECRET_TEXTS):
+        got = sorted((r["word_no"], r["run_no"], r["run"], r["prefix"]) for r in rows if r["doc_id"] == k)
+        assert got == brute_candidates(text), text
+    labelled = ss.seed_findings(ss.features(ss.candidates(docs), ss.triple_dictionary(docs))).collect()
+    told = {(r["doc_id"], r["run_no"], r["run"]): r["label"] for r in labelled}
+    assert told[0, 0, "ABCDEFGHIJKLMNOP"] == 0.0 and told[0, 1, "ABCDEFGHIJKLMNOP"] == 1.0
+    assert told[2, -1, "hunter2!"] == told[3, -1, "q@x"] == 1.0 and told[3, -1, "none"] == 0.0
+
+
+def test_forest_on_labelled_findings(spark):
+    """Findings of the caller's own: planted secrets beside look-alikes."""
+    rng = random.Random(9)
+    secret = lambda: "".join(rng.choice("abcdefgh0123456789ABCDEF") for _ in range(24))
+    plain = lambda: "-".join(rng.choice(["install", "package", "version", "release"]) for _ in range(4))
+    rows = [(k, f"see {secret() if k % 2 else plain()} here") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'src' AS source")
+    findings = spark.createDataFrame([(k, 1, 0, k % 2) for k in range(300)], "doc_id long, word_no int, run_no int, label int")
+    got = ss.secret_scan(docs, findings).filter("held_out").collect()
+    assert len(got) > 30 and all(r["is_secret"] == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_forest_held_out(spark):
     got = queries.op4_secret_scan(spark, "/root/testdata/sf0.1").filter("held_out").toPandas()
     assert (got.label == 1).sum() > 10 and ((got.label == 1) == got.is_secret).mean() > 0.99

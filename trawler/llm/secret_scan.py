@@ -1,18 +1,20 @@
 """Secret scan: candidates, and a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more characters that keys are written with. A random
+A candidate is a run of 16 or more characters that keys are written with, or whatever is
+assigned to a name for secrets, however short and of whatever characters (run_no -1, unless
+it holds such a run). What stands before a run is told by its position. A random
 forest on its length, character transitions, dictionary coverage, the path it was
 found under and its neighbouring words tells secrets from other long strings.
 
 The forest is trained from labelled findings (doc_id, word_no, run_no, label). The
 tables hold none, so ``seed_findings`` labels a candidate 1 if it has an issuer's
-fixed format or is assigned to a name for secrets, else 0. Up to ``TRAIN_ROWS``
+fixed format or is assigned to a name for secrets (and is more than small letters), else 0. Up to ``TRAIN_ROWS``
 findings of each label are used, the smallest by a hash; findings whose
 crc32(doc_id) mod ``FOLDS`` is 0 are never learnt from. The dictionary is the set of
 letter triples that make up at least ``MIN_TRIPLE_SHARE`` of the triples of all
 words in all texts: 26^3 at most, whatever the corpus.
 
-Null and empty texts have no candidates. Repeated rows give repeated candidates. A
+Null and empty texts, and empty tables, have no candidates. Very long words are searched whole. Other columns are not looked at. Repeated rows give repeated candidates. A
 null path is empty. With findings of one label only, or none, every probability
 is that label's (0.5 for none).
 """
@@ -30,7 +32,11 @@ from trawler.llm.frames import fold, settled
 RUN = r"[A-Za-z0-9+/_-]{16,}"
 SPACE = r"[\x20\x09-\x0D]+"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,})$"
-NAMED = r"(?i)(password|passwd|pwd|secret|token|api_?key|credential)[\"' ]*[=:]+[\"' ]*$"
+NAME = r"(?i)(?:password|passwd|pwd|secret|token|api_?key|credential)"
+NAMED = NAME + r"[\"' ]*[=:]+[\"' ]*$"
+#: A word up to the value it assigns, and what may stand around a value.
+ASSIGNED = "^(.*?" + NAME + r"[\"']*[=:]+[\"']*)[^\"'=:]"
+AROUND = r"^[\"']+|[\"',;.)]+$"
 SECRET_WORD = r"(?i)(pass|pwd|secret|token|key|auth|cred|bearer)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|docs?/)"
 
@@ -67,11 +73,16 @@ def triple_dictionary(docs: DataFrame, min_share: float = MIN_TRIPLE_SHARE) -> l
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, word_no, run_no, run, what stands before it and after it."""
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(path).alias("path"), F.split("text", SPACE).alias("w"))
+
+    def assigns(x: Column, before: Column) -> Column:
+        inside = (x.contains("=") | x.contains(":")) & x.rlike(ASSIGNED)
+        return inside | (before.endswith("=") | before.endswith(":"))
+
     near = F.filter(
         F.transform(
             "w",
             lambda x, i: F.when(
-                x.rlike(RUN),
+                x.rlike(RUN) | assigns(x, F.coalesce(F.get("w", i - 1), F.lit(""))),
                 F.struct(
                     i.alias("word_no"),
                     x.alias("word"),
@@ -83,9 +94,23 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         lambda s: s.isNotNull(),
     )
     found = told.select("doc_id", "path", F.explode(near).alias("s")).select("doc_id", "path", "s.*")
-    runs = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))).alias("run_no", "run"))
-    head = F.substring("word", F.lit(1), F.instr(F.col("word"), F.col("run")) - 1)
-    return runs.select(*KEY, "path", "run", head.alias("prefix"), "previous", "next")
+    runs = found.filter(F.col("word").rlike(RUN)).select(
+        "*", F.split("word", RUN, -1).alias("between"), F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)).alias("runs")
+    )
+    runs = runs.select("*", F.posexplode("runs").alias("run_no", "run"))
+
+    def chars(parts: str, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda total, x: total + F.char_length(x))
+
+    start = chars("between", F.col("run_no") + 1) + chars("runs", F.col("run_no"))
+    runs = runs.select(*KEY, "path", "run", F.substring("word", F.lit(1), start).alias("prefix"), "previous", "next")
+
+    head = F.regexp_extract("word", ASSIGNED, 1)
+    value = F.when(head != "", F.expr("substring(word, char_length(head) + 1)")).when(F.col("previous").rlike(NAMED), F.col("word"))
+    named = found.withColumn("head", head).withColumn("run", F.regexp_replace(value, AROUND, ""))
+    named = named.filter((F.col("run") != "") & ~F.col("run").rlike(RUN))
+    named = named.withColumn("run_no", F.lit(-1)).select(*KEY, "path", "run", F.col("head").alias("prefix"), "previous", "next")
+    return runs.unionByName(named)
 
 
 def _coverage(run: Column, dictionary: list[int]) -> Column:
@@ -102,7 +127,7 @@ def _coverage(run: Column, dictionary: list[int]) -> Column:
         bit = F.getbit(F.element_at(bits, F.floor(at / 64).cast("int") + 1), at % 64)
         return count + F.when(letters, bit.cast("int")).otherwise(0)
 
-    return F.aggregate(triples, F.lit(0), told) / (F.length(run) - 2)
+    return F.aggregate(triples, F.lit(0), told) / F.greatest(F.length(run) - 2, F.lit(1))
 
 
 def features(found: DataFrame, dictionary: list[int]) -> DataFrame:
@@ -146,7 +171,7 @@ def held_out() -> Column:
 
 def seed_findings(featured: DataFrame) -> DataFrame:
     """Labelled findings by issuers' formats and by names for secrets."""
-    secret = F.col("run").rlike(ISSUED) | F.col("before").rlike(NAMED)
+    secret = F.col("run").rlike(ISSUED) | (F.col("before").rlike(NAMED) & F.col("run").rlike("[^a-z]"))
     return featured.withColumn("label", secret.cast("double"))
 
 
@@ -167,7 +192,7 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, path: str =
         labelled.filter(~held_out() & (F.col("label") == value)).select("label", *FEATURES, order.alias("o")).orderBy("o").limit(TRAIN_ROWS)
         for value in (0.0, 1.0)
     ]
-    sample = settled(sample[0].unionByName(sample[1]).drop("o"), 1)
+    sample = settled(sample[0].unionByName(sample[1]).drop("o").coalesce(1))
     labels = [r["label"] for r in sample.select("label").distinct().collect()]
     if len(labels) < 2:
         scored = labelled.withColumn("probability", F.lit(labels[0] if labels else 0.5))

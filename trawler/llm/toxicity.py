@@ -202,8 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
         return rows.withColumn("toxic", F.lit(toxic))
 
     chosen = drawn("left_semi", 1, SAMPLE_POSITIVE).unionByName(drawn("left_anti", 0, SAMPLE_UNLABELLED))
-    chosen = settled(chosen.distinct(), 1)
-    sample = settled(keyed.join(F.broadcast(chosen), ["doc_id", "order"]).select("toxic", "text"))
+    chosen = settled(chosen.distinct().coalesce(1))
+    # Rows that repeat id and text come back together; one of them is learnt from, so the bounds hold.
+    sample = keyed.join(F.broadcast(chosen), ["doc_id", "order"]).dropDuplicates(["doc_id", "order"])
+    sample = settled(sample.select("toxic", "text"))
     heights = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     none = np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
     if len(heights) < 2:
