@@ -94,3 +94,17 @@ def test_page_search(spark):
     )
     shown = wiki.page_hits(hits, pages, "topic").orderBy("slug").collect()
     assert [(r.slug, r.title, r.score) for r in shown] == [("mooring-lines", "Mooring Lines", 0.88), ("x", "x", 0.5)]
+
+
+def test_find_pages_falls_back(spark):
+    """Search results of the kind's folder, or without any a substring search, in one plan."""
+    text = "---\ntitle: Tide\nslug: tide\nkind: topic\n---\n\n<!-- x:section card -->\nThe moon pulls.\n<!-- /x:section -->\n"
+    files = spark.createDataFrame([("wiki/topics/tide.md", text)], "rel_path string, text string")
+    parsed = wiki.pages(files, "topic")
+    results = spark.createDataFrame([("wiki/topics/tide.md", "T", 0.5), ("notes/x.md", "X", 0.4)], "rel_path string, title string, score double")
+    hit = wiki.find_pages(results, parsed, "topic", ["moon"]).collect()
+    assert [(r.title, r.score) for r in hit] == [(parsed.first().title or "T", 0.5)]
+    other = results.filter("rel_path LIKE 'notes%'")
+    found = wiki.find_pages(other, parsed, "topic", ["OON PUL"]).collect()
+    assert len(found) == parsed.filter("error IS NULL").count() and all(r.score is None for r in found)
+    assert wiki.find_pages(other, parsed, "topic", ["nothing"]).count() == 0

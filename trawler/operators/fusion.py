@@ -220,3 +220,28 @@ def blend_rerank(candidates: DataFrame, scores: DataFrame, rows: int) -> DataFra
         .withColumn("score", weight * F.col("position_score") + (1 - weight) * F.col("rerank_score"))
         .drop(*found)
     )
+
+
+def rank_fusion(lists: list[DataFrame], keys: list[str], limit: int, rank: str = "rank") -> DataFrame:
+    """Plain reciprocal-rank fusion: ``keys``, ``rrf`` and ``rank`` of the ``limit`` best rows.
+
+    Sums that differ by rounding alone count as ties, broken by the keys.
+    """
+    rows = reduce(DataFrame.unionByName, [df.select(*keys, F.col(rank).alias("rank")) for df in lists])
+    fused = rows.groupBy(*keys).agg(F.sum(1.0 / (F.lit(float(RRF_K)) + F.col("rank"))).alias("rrf"))
+    order = [F.desc(F.round("rrf", 12)), *keys]
+    # At most ``limit`` rows are left for the window.
+    return fused.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def document_order(hits: DataFrame, doc: str, rank: str = "rank") -> DataFrame:
+    """Distinct documents of ranked passages, by their best one: ``doc``, ``best_rank``, ``position``."""
+    docs = hits.groupBy(doc).agg(F.min(rank).alias("best_rank"))
+    return docs.withColumn("position", F.row_number().over(Window.orderBy("best_rank")))
+
+
+def first_or_else(hits: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``hits``, or ``fallback`` if there are none; decided inside the plan."""
+    some = hits.select(F.lit(1).alias("_any")).limit(1)
+    other = fallback.withColumn("_any", F.lit(1)).join(F.broadcast(some), "_any", "left_anti").drop("_any")
+    return hits.unionByName(other, allowMissingColumns=True)

@@ -243,6 +243,16 @@ def search_many(
     return lists[0] if len(lists) == 1 else fuse_equal(lists, limit, min_score)
 
 
+def all_matches(index: TermIndex, documents: DataFrame, queries: list[str], min_score: float = 0.0) -> DataFrame | None:
+    """Every active document that any of the queries matches, with its best score; unranked."""
+    queries = [q.strip() for q in queries if q.strip()]
+    if not queries:
+        return None
+    found = reduce(DataFrame.unionByName, [bm25_matches(index, parse(q)) for q in queries])
+    best = found.groupBy("rowid").agg(F.max(positive_score(F.col("bm25"))).alias("score"))
+    return documents.filter("active").join(best.filter(F.col("score") >= min_score), "rowid")
+
+
 def ranked(matches: DataFrame, limit: int) -> DataFrame:
     """Cut to the best rows and number them; ``bm25_score`` is positive."""
     top = matches.orderBy("bm25", "rowid").limit(limit)

@@ -89,6 +89,23 @@ def update_sessions(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*sessions.columns)
 
 
+def get_session(sessions: DataFrame, session: str) -> DataFrame:
+    return sessions.filter(F.col("id") == session)
+
+
+def rename_sessions(sessions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Apply ``id, title, updated_at`` rows, at most one per session; titles are cut."""
+    given = titles.select("id", session_title(F.col("title")).alias("_title"), F.col("updated_at").alias("_at"))
+    joined = sessions.join(given, "id", "left")
+    joined = joined.withColumn("title", F.coalesce("_title", "title")).withColumn("updated_at", F.coalesce("_at", "updated_at"))
+    return joined.select(*sessions.columns)
+
+
+def delete_sessions(sessions: DataFrame, gone: DataFrame) -> DataFrame:
+    """Sessions without those in ``gone`` (id). Runs, messages and events stay."""
+    return sessions.join(gone.select("id").distinct(), "id", "left_anti")
+
+
 def list_sessions(sessions: DataFrame, agent: str = "", limit: int = SESSION_LIMIT) -> DataFrame:
     """The ``limit`` sessions updated last; the default number if it is not positive."""
     limit = limit if limit > 0 else SESSION_LIMIT

@@ -18,6 +18,7 @@ from trawler.functions.wiki import (
     sections,
     table_rows,
 )
+from trawler.operators.fusion import first_or_else
 
 # Output columns of the table searches and the source column of each.
 TABLE_COLUMNS = {
@@ -99,6 +100,14 @@ def page_hits(results: DataFrame, parsed: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def find_pages(results: DataFrame, parsed: DataFrame, kind: str, queries: list[str]) -> DataFrame:
+    """Pages of a kind: search results, or without any the pages that hold a query as a
+    substring (no score)."""
+    found = search_pages(parsed.filter(F.col("error").isNull() & in_kind_folder(F.col("rel_path"), kind)), queries)
+    found = found.select(pipe_cell(F.col("slug")).alias("slug"), pipe_cell(F.col("title")).alias("title"))
+    return first_or_else(page_hits(results, parsed, kind), found)
+
+
 def check_documents(files: DataFrame, namespace: str = ANY_NAMESPACE) -> DataFrame:
     """One row per problem of the topic and workflow pages: unreadable, or a
     required section that is missing or blank."""

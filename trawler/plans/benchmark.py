@@ -12,7 +12,7 @@ from trawler.functions.lexquery import parse_any
 from trawler.functions.models import Expansion, TableReranker
 from trawler.functions.terms import rerank_score
 from trawler.functions.vectors import cosine, l2_normalize, norm
-from trawler.functions.wiki import table_rows
+from trawler.functions.wiki import matches_any, table_rows
 from trawler.operators import catalog, fusion, lexical, sessions, vector, wiki
 from trawler.operators.chunking import chunk_documents
 from trawler.plans.query import QueryOptions, hybrid_query, query_collections
@@ -86,13 +86,30 @@ def search_fanout(spark, sf_dir):
     return _hits(kept)
 
 
+def _folder_search(spark, sf_dir, queries):
+    """Fused search over all collections, cut to 50, then one folder kept; without hits, a substring search there."""
+    ix = table_index(spark, sf_dir)
+    fused = lexical.search_many(ix.terms, ix.documents, queries, limit=50, docs_per_shard=ix.settings.docs_per_shard)
+    hits = fused.filter(F.col("rel_path").startswith("src1/")).select("rowid", "rel_path", _score())
+    inside = corpus_files(spark, sf_dir).filter(F.col("rel_path").startswith("src1/"))
+    found = inside.filter(matches_any(queries, F.col("body"))).select("rowid", "rel_path")
+    return fusion.first_or_else(hits, found).withColumn("score", F.coalesce("score", F.lit(-1.0)))
+
+
 def page_folder_search(spark, sf_dir):
-    """Fused search over all collections, cut to 50, then one folder kept."""
+    return _folder_search(spark, sf_dir, ["tion", "src1"])
+
+
+def page_folder_fallback(spark, sf_dir):
+    """No word begins like this, but texts hold it."""
+    return _folder_search(spark, sf_dir, ["ngth", "itung"])
+
+
+def lex_all_matches(spark, sf_dir):
+    """All documents that either search matches, unranked."""
     ix = table_index(spark, sf_dir)
-    fused = lexical.search_many(
-        ix.terms, ix.documents, ["tion", "src1"], limit=50, docs_per_shard=ix.settings.docs_per_shard
-    )
-    return fused.filter(F.col("rel_path").startswith("src1/")).select("rowid", "rel_path", _score())
+    found = lexical.all_matches(ix.terms, ix.documents, ["enheit", '"of the"'], 0.1)
+    return found.select("rowid", "collection", _score())
 
 
 def legacy_or_search(spark, sf_dir):
@@ -121,20 +138,13 @@ def chunk_multi_rrf(spark, sf_dir):
     lists = [
         _chunk_hits(ix, q, 20).withColumnRenamed("bm25_score", "score") for q in ("tion", "ndtion", "of")
     ]
-    rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    rrf = F.sum(1.0 / (F.lit(60.0) + F.col("rank"))).alias("rrf")
-    fused = rows.groupBy("chunk_rowid", "rowid", "chunk_index").agg(rrf)
-    top = fused.orderBy(F.desc(F.round("rrf", 12)), "chunk_rowid").limit(20)
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("rrf", 12)), "chunk_rowid"))
-    return top.select("rowid", "chunk_index", F.round("rrf", 9).alias("rrf"), rank.alias("rank"))
+    top = fusion.rank_fusion(lists, ["chunk_rowid", "rowid", "chunk_index"], 20)
+    return top.select("rowid", "chunk_index", F.round("rrf", 9).alias("rrf"), "rank")
 
 
 def chunk_doc_ids(spark, sf_dir):
     """Documents of the chunk hits, in order of their best chunk."""
-    ix = table_index(spark, sf_dir)
-    hits = _chunk_hits(ix, "tion the", 50)
-    docs = hits.groupBy("rowid").agg(F.min("rank").alias("best_rank"))
-    return docs.withColumn("position", F.row_number().over(Window.orderBy("best_rank")))
+    return fusion.document_order(_chunk_hits(table_index(spark, sf_dir), "tion the", 50), "rowid")
 
 
 def _stemmed(spark, sf_dir, query, limit=20):
@@ -361,11 +371,8 @@ def rrf_two_lists(spark, sf_dir):
     vec = vector.vector_search(
         table_index(spark, sf_dir).vectors, ix.documents, _query_vectors(spark, sf_dir, 11), "", 20
     )
-    part = lambda df, rank: df.select("id", F.col(rank).alias("rank"))
-    both = part(lex, "bm25_rank").unionByName(part(vec, "vector_rank"))
-    fused = both.groupBy("id").agg(F.sum(1.0 / (F.lit(60.0) + F.col("rank"))).alias("rrf"))
-    top = fused.orderBy(F.desc(F.round("rrf", 12)), "id").limit(20)
-    return top.select("id", F.round("rrf", 9).alias("rrf"))
+    lists = [lex.withColumnRenamed("bm25_rank", "rank"), vec.withColumnRenamed("vector_rank", "rank")]
+    return fusion.rank_fusion(lists, ["id"], 20).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 def best_query_chunk(spark, sf_dir):
@@ -617,6 +624,16 @@ def session_update(spark, sf_dir):
     return sessions.update_sessions(base, last)
 
 
+def session_edit(spark, sf_dir):
+    """Rename the sessions that bought something, then delete every seventh."""
+    base = _sessions(spark, sf_dir).select("id", F.concat(F.lit("user "), "id").alias("title"), "updated_at")
+    bought = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    titles = bought.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.max("ts").alias("updated_at"), F.count("*").alias("n"))
+    named = titles.select("id", "updated_at", F.concat(F.lit("  "), F.repeat(F.concat("id", F.lit(" buys ")), F.col("n").cast("int"))).alias("title"))
+    gone = base.filter(F.col("id").cast("long") % 7 == 0)
+    return sessions.delete_sessions(sessions.rename_sessions(base, named), gone)
+
+
 def message_ordinals(spark, sf_dir):
     """Position of every event in its user's log, in ranges of any user's rows."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -728,7 +745,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lex_prefix_bm25, lex_and_not, lex_phrase, lex_fielded_weights, lex_candidate_cut, lex_min_score,
-        lex_hyphen_dotted, search_many_rrf, search_fanout, page_folder_search, legacy_or_search, chunk_search,
+        lex_hyphen_dotted, search_many_rrf, search_fanout, page_folder_search, page_folder_fallback, lex_all_matches, legacy_or_search, chunk_search,
         chunk_multi_rrf, chunk_doc_ids, porter_search, porter_phrase, porter_chunk_search, porter_hybrid, knn_cosine, knn_l2_rescored, knn_filtered_docs,
         knn_best_per_doc, knn_variants_max, search_vector_collection, vector_min_score, vector_mean_pool,
         vector_l2_normalize, doc_vector_knn, hybrid_rrf, hybrid_rrf_explain, hybrid_structured_weights,
@@ -736,7 +753,7 @@ QUERIES = {
         doc_title_snippet, doc_ids_hashes, context_longest_prefix, chunk_markdown, token_estimate,
         glob_filter, slugify, haystack_search, rerank_parse, collection_stats, index_status, embed_pending,
         incremental_diff, index_counts, wiki_page_parse, wiki_document_check, wiki_table_search,
-        wiki_table_terms, session_list, session_list_agent, session_update, message_ordinals,
+        wiki_table_terms, session_list, session_list_agent, session_update, session_edit, message_ordinals,
         message_upsert, latest_user_message, run_status_fold, event_text_runs, event_saved_messages, event_notifications,
         json_props,
     )

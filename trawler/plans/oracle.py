@@ -371,6 +371,9 @@ ORACLES = {
     "search_many_rrf": f"WITH {fused([['tion*'], ['of*', 'the*'], ['ndtion*']], 20)} {HIT} fused",
     "search_fanout": f"WITH {DOCS}, {lex_list('a', ['tion*'], limit=50)} {HIT} a WHERE collection IN ('de', 'en') ORDER BY bm25_rank LIMIT 10",
     "page_folder_search": f"WITH {fused([['tion*'], ['src1*']], 50)} SELECT rowid, rel_path, round(score, 9) AS score FROM fused WHERE starts_with(rel_path, 'src1/')",
+    "page_folder_fallback": f"WITH {CORPUS} SELECT rowid, rel_path, -1.0::DOUBLE AS score FROM corpus WHERE starts_with(rel_path, 'src1/') AND (contains(lower(body), 'ngth') OR contains(lower(body), 'itung'))",
+    "lex_all_matches": f"""WITH {DOCS}, {bm25('a', ['enheit*'])}, {bm25('b', ['of the'])}, u AS (SELECT rowid, max(abs(bm25) / (1 + abs(bm25))) AS score
+      FROM (FROM a UNION ALL FROM b) GROUP BY rowid) SELECT rowid, collection, round(score, 9) AS score FROM u JOIN corpus USING (rowid) WHERE score >= 0.1""",
     "legacy_or_search": f"""WITH {CORPUS}, {postings('post', 'corpus', {'id': 'id', 'content': 'body', 'tags': 'collection', 'article_path': 'rel_path'})},
       {bm25('m', ['queque*', 'enlich es*'], any_clause=True)},
       tagged AS (SELECT m.rowid, bm25, collection, rel_path FROM m JOIN corpus USING (rowid) WHERE collection LIKE '%e%')
@@ -493,6 +496,9 @@ ORACLES = {
         arg_max(CASE WHEN value > 20 THEN CAST(event_id AS VARCHAR) ELSE '' END, (ts, event_id)) AS run FROM events WHERE event_type = 'purchase' GROUP BY user_id)
       SELECT s.id, coalesce(b.at, s.updated_at) AS updated_at, CASE WHEN b.run <> '' THEN 'running' ELSE 'idle' END AS status,
         coalesce(b.run, '') AS last_run_id, 'thr_' || s.id AS backend_thread_id FROM sess s LEFT JOIN bought b USING (id)""",
+    "session_edit": f"""WITH {SESSIONS}, bought AS (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS at, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+      SELECT s.id, coalesce(substr(trim(repeat(s.id || ' buys ', n)), 1, 80), 'user ' || s.id) AS title, coalesce(b.at, s.updated_at) AS updated_at
+      FROM sess s LEFT JOIN bought b USING (id) WHERE CAST(s.id AS BIGINT) % 7 <> 0""",
     "message_ordinals": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events",
     "message_upsert": "SELECT conv_id || '/' || role AS id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) = 1",
     "latest_user_message": "SELECT conv_id, turn, substr(trim(text), 1, 30) AS title FROM conversations WHERE role = 'user' AND text <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",

@@ -36,12 +36,12 @@ from trawler.functions.models import (
 )
 from trawler.functions.text import content_hash
 from trawler.operators import catalog
-from trawler.operators.lexical import TermIndex, bm25_matches, ranked, search, search_many
+from trawler.operators.lexical import TermIndex, all_matches, bm25_matches, ranked, search, search_many
 from trawler.operators.lookup import fetch
 from trawler.operators.vector import vector_counts, vector_matches, vector_search, with_snippets
 from trawler.plans.query import Corpus, QueryOptions, hybrid_query, query_collections
 from trawler.session import settle, ship_package
-from trawler.sources.files import only_markdown, scan_files
+from trawler.sources.files import extracted, scan_files
 from trawler.sources.index import (
     write_chunk_postings,
     write_chunks,
@@ -460,7 +460,7 @@ class CorpusStore:
         for column, kind in (("abs_path", "string"), ("mtime", "timestamp"), ("size_bytes", "long")):
             if column not in files.columns:
                 files = files.withColumn(column, F.lit(None).cast(kind))
-        files = only_markdown(files).withColumn("collection", F.lit(name))
+        files = extracted(files).withColumn("collection", F.lit(name))
 
         current = self.documents.filter(F.col("collection") == name)
         hashed = files.select("collection", "rel_path", content_hash(F.col("body")).alias("hash"))
@@ -613,17 +613,16 @@ class CorpusStore:
 
         ``mode``: ``lexical``, ``semantic`` or ``vector``. One target is
         searched directly; several are searched globally and then filtered.
-        ``everything`` gives all matching documents; by vectors unranked, with
-        the score of their best chunk.
+        ``everything`` gives all matching documents, unranked, with the score of
+        their best query or chunk.
         """
         names = list(dict.fromkeys(c for c in collections if c)) or self.default_collections()
-        if everything:
-            # All rows, also inactive ones: what the index holds, not a number of ours.
-            limit = max(1, self.documents.count())
         limit = limit if limit > 0 else 20
         one = names[0] if len(names) == 1 else ""
-        wide = max(50, limit * 2) if mode == "lexical" and len(names) > 1 and not everything else limit
-        if mode == "lexical":
+        wide = max(50, limit * 2) if mode == "lexical" and len(names) > 1 else limit
+        if mode == "lexical" and everything:
+            hits, rank = all_matches(self.corpus().terms, self.documents, queries, min_score), "score"
+        elif mode == "lexical":
             hits, rank = self.search_many(queries, one, wide, min_score), "score"
         elif everything:
             text, semantic = " ".join(queries), mode == "semantic"
