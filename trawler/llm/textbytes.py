@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of a batch whose bytes are copied out at a time.
+ROWS = 256
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,9 +51,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def texts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each slice of a column."""
-    data, offsets = flat(column)
-    for lo, hi in slices(offsets, limit):
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    for at in range(0, len(column), ROWS):
+        data, offsets = flat(column.slice(at, ROWS))
+        for lo, hi in slices(offsets, limit):
+            yield at + lo, at + hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
