@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,16 +221,71 @@ def vector_matches(
     return best.filter(F.col("score") >= min_score).join(live.select(*columns), "id")
 
 
-def mean_pool(segments: DataFrame, key: str) -> DataFrame:
-    """Element-wise mean of the vectors of each key.
+def _sums_of(key: str):
+    """Per Arrow batch and key: how many vectors, and their element-wise sum."""
 
-    Sums per (key, position) combine before the shuffle, so one key may hold
-    most of the segments; the regrouping then sees one row per position.
+    def run(batches):
+        for batch in batches:
+            keys, vectors = batch.column(0), batch.column(1)
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            width = int(sizes.max(initial=0))
+            groups = int(codes.max(initial=-1)) + 1
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cell = codes[row] * width + place
+            sums = np.bincount(cell, values, groups * width).reshape(groups, width) if width else np.zeros((groups, 0))
+            first = np.zeros(groups, dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            counts = pa.array(np.bincount(codes, minlength=groups))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(groups + 1) * width, pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first)), counts, lists], names=[key, "n", "total"])
+
+    return run
+
+
+def pool_parts(segments: DataFrame, key: str) -> DataFrame:
+    """(key, n, total): vectors counted and summed; each key once.
+
+    Batches are summed where they are read, so a key that holds most segments sends one
+    row per batch. Parts of different tables can be merged again.
     """
-    parts = segments.select(key, F.posexplode("embedding").alias("at", "x"))
-    means = parts.groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    cells = F.array_sort(F.collect_list(F.struct("at", "x")))
-    return means.groupBy(key).agg(F.transform(cells, lambda c: c["x"]).alias("embedding"))
+    kind = dict(segments.dtypes)[key]
+    parts = segments.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    return merge_parts(parts.mapInArrow(_sums_of(key), f"{key} {kind}, n long, total array<double>"), key)
+
+
+def merge_parts(parts: DataFrame, key: str) -> DataFrame:
+    """Element-wise sums of (key, n, total) parts per key, two by two as they meet."""
+
+    def add(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+
+    # A key has one part per batch at most, sums of what were thousands of rows.
+    gathered = parts.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list("total").alias("all"))
+    start = F.array().cast("array<double>")
+    return gathered.select(key, "n", F.aggregate("all", start, add).alias("total"))
+
+
+def mean_pool(segments: DataFrame, key: str) -> DataFrame:
+    """Element-wise mean of the vectors of each key."""
+    return pooled(pool_parts(segments, key), key)
+
+
+def pooled(parts: DataFrame, key: str) -> DataFrame:
+    """The means of merged parts (or of a stored document-vector table)."""
+    return parts.select(key, F.transform("total", lambda x: x / F.col("n")).alias("embedding"))
+
+
+def upsert_document_vectors(stored: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The table (key, n, total) with the documents of ``vectors`` replaced or added."""
+    fresh = pool_parts(vectors, key)
+    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def delete_document_vectors(stored: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    return stored.join(gone.select(key).distinct(), key, "left_anti")
 
 
 def has_vectors(vectors: DataFrame, documents: DataFrame, collection: str = "", fingerprint: str = "") -> bool:

@@ -266,12 +266,32 @@ def vector_l2_normalize(spark, sf_dir):
 def doc_vector_knn(spark, sf_dir):
     """One vector per document (the mean of its chunks), nearest to a query."""
     (q,) = _query_vectors(spark, sf_dir, 7)
-    pooled = vector.mean_pool(table_index(spark, sf_dir).vectors, "doc_id")
+    pooled = vector.pooled(table_index(spark, sf_dir).document_vectors, "doc_id")
     like = F.array(*[F.lit(float(x)) for x in q])
     scored = pooled.select("doc_id", cosine(F.col("embedding"), like).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", _score())
 
 
+def doc_vector_upsert(spark, sf_dir):
+    """Document vectors after every third document was embedded anew and every seventh deleted."""
+    ix = table_index(spark, sf_dir)
+    again = ix.vectors.filter(F.col("doc_rowid") % 3 == 0).select(
+        "doc_id", "doc_rowid", F.transform(F.slice("embedding", 1, 32), lambda x: x * 2).alias("embedding")
+    )
+    stored = vector.upsert_document_vectors(ix.document_vectors, again)
+    stored = vector.delete_document_vectors(stored, ix.vectors.filter(F.col("doc_rowid") % 7 == 0))
+    mean = vector.pooled(stored, "doc_id")
+    return mean.select("doc_id", F.size("embedding").alias("width"), F.round(F.col("embedding")[0], 9).alias("head"))
+
+
+def vector_upsert(spark, sf_dir):
+    """The newest vector of every chunk, some of another width than before."""
+    old = table_index(spark, sf_dir).vectors.select("chunk_id", "vec_id", "embedding", F.lit(1).alias("rev"))
+    new = old.filter(F.col("vec_id") % 3 == 0).withColumn("embedding", F.slice("embedding", 1, 16)).withColumn("rev", F.lit(2))
+    newest = catalog.newest_vectors(old.unionByName(new), "rev")
+    return newest.select("chunk_id", "rev", F.size("embedding").alias("width"))
+
+
 # --- hybrid ----------------------------------------------------------------
 
 
@@ -748,7 +768,7 @@ QUERIES = {
         lex_hyphen_dotted, search_many_rrf, search_fanout, page_folder_search, page_folder_fallback, lex_all_matches, legacy_or_search, chunk_search,
         chunk_multi_rrf, chunk_doc_ids, porter_search, porter_phrase, porter_chunk_search, porter_hybrid, knn_cosine, knn_l2_rescored, knn_filtered_docs,
         knn_best_per_doc, knn_variants_max, search_vector_collection, vector_min_score, vector_mean_pool,
-        vector_l2_normalize, doc_vector_knn, hybrid_rrf, hybrid_rrf_explain, hybrid_structured_weights,
+        vector_l2_normalize, doc_vector_knn, doc_vector_upsert, vector_upsert, hybrid_rrf, hybrid_rrf_explain, hybrid_structured_weights,
         hybrid_search_queries, rerank_blend, query_merge_collections, rrf_two_lists, best_query_chunk,
         doc_title_snippet, doc_ids_hashes, context_longest_prefix, chunk_markdown, token_estimate,
         glob_filter, slugify, haystack_search, rerank_parse, collection_stats, index_status, embed_pending,

@@ -414,6 +414,9 @@ ORACLES = {
     "vector_mean_pool": "SELECT label, CAST(i - 1 AS INT) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 9) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i".replace(" AS at,", ' AS "at",'),
     "vector_l2_normalize": "SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS length, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(e, lambda x: x / n) AS u FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS e FROM embeddings)))".replace(" AS first ", ' AS "first" '),
     "doc_vector_knn": f"{WITH_VECTORS}, cells AS (SELECT doc_id, i, avg(e[i]) AS x FROM dvecs, range(1, 65) r(i) GROUP BY doc_id, i), pooled AS (SELECT doc_id, list(x ORDER BY i) AS e FROM cells GROUP BY doc_id) SELECT doc_id, round(s, 9) AS score FROM (SELECT doc_id, list_cosine_similarity(e, {target(7)}) AS s FROM pooled) ORDER BY s DESC, doc_id LIMIT 10",
+    "doc_vector_upsert": f"""{WITH_VECTORS}, parts AS (SELECT doc_id, CASE WHEN doc % 3 = 0 THEN 32 ELSE 64 END AS width, CASE WHEN doc % 3 = 0 THEN 2 ELSE 1 END * e[1] AS x
+      FROM dvecs WHERE doc % 7 <> 0) SELECT doc_id, CAST(any_value(width) AS INT) AS width, round(avg(x), 9) AS head FROM parts GROUP BY doc_id""",
+    "vector_upsert": f"{WITH_VECTORS} SELECT chunk_id, CAST(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS INT) AS rev, CAST(CASE WHEN vec_id % 3 = 0 THEN 16 ELSE 64 END AS INT) AS width FROM dvecs",
     "hybrid_rrf": f"""WITH RECURSIVE {CHUNKS}, {_LEX_AND_VEC}, {CONTEXTS}, {best_chunk(['enheit', 'the'], [])},
       {lex_list('a', ['enheit*', 'the*'])}, {vec_list('b', [0])}, {hybrid([('a', 'fts', 2.0, 0), ('b', 'vec', 2.0, 1)])}
       SELECT h.id, h.collection, h.rel_path AS path, round(1.0 / h.rank, 9) AS score, CAST(h.bm25_rank AS INT) AS bm25_rank,

@@ -18,7 +18,7 @@ from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, Settings
 from trawler.functions.text import document_id
 from trawler.operators.lexical import TermIndex, shard_of
 from trawler.operators.postings import corpus_stats
-from trawler.operators.vector import vector_counts
+from trawler.operators.vector import pool_parts, vector_counts
 from trawler.plans.query import Corpus
 from trawler.session import shared_folder, ship_package
 from trawler.sources.index import (
@@ -174,6 +174,17 @@ class TableIndex:
         self._once("vectors", build)
         return read(self.spark, self._path("vectors"))
 
+    @property
+    def document_vectors(self) -> DataFrame:
+        """The summed vectors of every document, written once."""
+
+        def build():
+            pool_parts(self.vectors, "doc_id").write.mode("overwrite").parquet(self._path("document_vectors"))
+            return True
+
+        self._once("document_vectors", build)
+        return read(self.spark, self._path("document_vectors"))
+
     def corpus(self, **models) -> Corpus:
         vectors = self.vectors
         counts = self._once("vector_counts", lambda: vector_counts(vectors, self.documents))
