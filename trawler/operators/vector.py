@@ -228,7 +228,7 @@ def _sums_of(key: str):
         for batch in batches:
             keys, vectors = batch.column(0), batch.column(1)
             codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
-            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             width = int(sizes.max(initial=0))
             groups = int(codes.max(initial=-1)) + 1
