@@ -82,6 +82,16 @@ def test_tables(spark):
     assert wiki.search_table(spark.createDataFrame([("a", "no table")], "rel_path string, text string"), "index", []).isEmpty()
 
 
+def test_long_table(spark):
+    """A table of more lines than a pattern can recurse over; the second table is left alone."""
+    lines = "".join(f"| t{i} | d \\| {i} | s{i} |\r\n" for i in range(20000))
+    text = f"# Long\n\n| type | description | slug |\n|---|---|---|\n{lines}\n| other | x | y |\n"
+    files = spark.createDataFrame([("wiki/index.md", text), ("none.md", None)], "rel_path string, text string")
+    rows = wiki.search_table(files, "index", []).orderBy("row_no").collect()
+    assert [(r.row_no, r.slug, r.description) for r in rows] == [(i, f"s{i}", f"d \\| {i}") for i in range(20000)]
+
+
+
 def test_page_search(spark):
     files = spark.createDataFrame([("wiki/topics/mooring-lines.md", PAGE)], "rel_path string, text string")
     pages = wiki.pages(files, "topic")

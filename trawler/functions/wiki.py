@@ -84,11 +84,16 @@ def sections(lines: Column, marks: Column) -> Column:
 def table_rows(text: Column) -> Column:
     """Data rows of the first pipe table, each an array of cells.
 
-    Header and separator rows are dropped; an escaped pipe stays in its cell.
+    Header and separator rows are dropped; an escaped pipe stays in its cell. Lines are
+    tested one by one: a pattern over a whole table recurses once per line.
     """
-    line = rf"^{BLANK}\|(?:[^\n]*\|)?{BLANK}$"
-    block = F.regexp_extract(text, rf"(?md)(?:{line}\n?)+", 0)
-    lines = F.filter(F.transform(F.split(block, "\n"), trim_space), lambda x: x != "")
+    line = rf"(?d)^{BLANK}\|(?:[^\n]*\|)?{BLANK}$"
+    every = F.split(text, "\n")
+    start = F.array_position(F.transform(every, lambda x: x.rlike(line)), True)
+    rest = F.when(start > 0, F.slice(every, F.greatest(start.cast("int"), F.lit(1)), F.size(every)))
+    end = F.array_position(F.transform(rest, lambda x: x.rlike(line)), False).cast("int")
+    block = F.slice(rest, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(rest)))
+    lines = F.transform(F.when(text.isNotNull(), F.coalesce(block, F.array().cast("array<string>"))), trim_space)
 
     def cells(row: Column) -> Column:
         inner = F.regexp_replace(row, r"^\|+|(?<!\\)\|+$", "")
