@@ -323,6 +323,15 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
         assert stage(spark, no_docs.select(*corpus_pipeline.COLUMNS), "").count() == 0
 
 
+def test_pipeline_links_fingerprints(spark):
+    """Equal fingerprints are one group, also where distinct shingles are not similar."""
+    body = "alpha beta gamma delta epsilon " * 200
+    rows = [(k, body + " ".join(f"t{k}x{i}" for i in range(40)), "en", "s", 1) for k in range(3)]
+    rows.append((9, " ".join(f"other{i}" for i in range(300)), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*corpus_pipeline.COLUMNS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == [0, 9]
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.filter("NOT round_trip").isEmpty() and 0 < rows.count() < 200
