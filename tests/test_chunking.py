@@ -1,7 +1,8 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trawler.operators.chunking import chunk_documents, chunk_spans, first_heading, indexed_chunks
+from trawler.operators.chunking import HELD_BYTES, _cut_batches, chunk_documents, chunk_spans, first_heading, indexed_chunks
 
 
 def pieces(text, tokens, overlap=0.0):
@@ -64,3 +65,14 @@ def test_documents(spark):
     assert [(r.chunk_id, r.heading, r.start_offset, r.end_offset, r.snippet) for r in rows] == [
         ("d:1:c0", "T", 0, 9, "# T body")
     ]
+
+
+def test_batches_hold_little(spark):
+    """A batch of many texts leaves in small parts, and a null key takes no digits from the others."""
+    texts = ["word " * 20000 + str(i) for i in range(100)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(102)), pa.array(texts, pa.string())], names=["rowid", "_body"])
+    parts = list(_cut_batches(["rowid"], 900, 0.15)(iter([batch])))
+    assert max(p.nbytes for p in parts) < 2 * HELD_BYTES
+    assert {k for p in parts for k in p.column("rowid").to_pylist()} == set(range(102))
+    rows = spark.createDataFrame([(None, "a"), (2**60 + 1, None)], "rowid long, body string").coalesce(1)
+    assert {r["rowid"] for r in chunk_documents(rows, ["rowid"]).collect()} == {None, 2**60 + 1}

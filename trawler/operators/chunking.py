@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,8 @@ from trawler.functions.text import chunk_id, snippet
 # A heading scores 100 at level one and 10 less per level.
 NEWLINE, LIST_ITEM, BLANK_LINE, RULE, FENCE = 1, 5, 20, 60, 80
 FAR_PENALTY = 0.7
+# Chunks of this many bytes leave a task at a time, whatever its batches hold.
+HELD_BYTES = 1 << 20
 
 # One match per run of line ends; a run of several is a blank line and its
 # later line ends are no break points.
@@ -103,6 +105,34 @@ def chunk_spans(data: bytes, max_tokens: int, overlap: float) -> list[tuple[int,
     return spans or [(0, len(data))]
 
 
+def _cut_batches(keep: list[str], max_tokens: int, overlap: float):
+    """Arrow batches of ``keep`` and ``_body`` in, batches of chunks out."""
+    names = [*keep, *CHUNK_SCHEMA.names]
+    types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def packed(batch: pa.RecordBatch, rows: list, parts: list) -> pa.RecordBatch:
+        kept = batch.select(keep).take(pa.array(rows, pa.int64())).columns
+        made = zip(*parts, strict=True) if parts else [()] * len(types)
+        return pa.RecordBatch.from_arrays([*kept, *map(pa.array, made, types)], names=names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, held = [], [], 0
+            for i, text in enumerate(batch.column("_body")):
+                data = (text.as_py() or "").encode("utf-8")
+                for n, (a, b) in enumerate(chunk_spans(data, max_tokens, overlap)):
+                    content = data[a:b].decode("utf-8")
+                    rows.append(i)
+                    parts.append((n, first_heading(content), content, a, b))
+                    held += b - a
+                    if held >= HELD_BYTES:
+                        yield packed(batch, rows, parts)
+                        rows, parts, held = [], [], 0
+            yield packed(batch, rows, parts)
+
+    return cut
+
+
 def chunk_documents(
     docs: DataFrame,
     keep: list[str],
@@ -113,25 +143,12 @@ def chunk_documents(
     """One row per chunk: the ``keep`` columns and ``CHUNK_SCHEMA``.
 
     The cut depends on where the previous one fell, so a document is walked in
-    order inside one task; documents are independent and nothing is shuffled.
+    order inside one task; documents are independent and nothing is shuffled. Texts are
+    read one by one, so a task holds one Arrow batch and ``HELD_BYTES`` of chunks.
     """
     source = docs.select(*keep, F.col(body).alias("_body"))
     schema = T.StructType([source.schema[c] for c in keep] + CHUNK_SCHEMA.fields)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, parts = [], []
-            for i, text in enumerate(batch["_body"].fillna("")):
-                data = text.encode("utf-8")
-                for n, (a, b) in enumerate(chunk_spans(data, max_tokens, overlap)):
-                    content = data[a:b].decode("utf-8")
-                    rows.append(i)
-                    parts.append((n, first_heading(content), content, a, b))
-            out = batch[keep].iloc[rows].reset_index(drop=True)
-            columns = pd.DataFrame(parts, columns=CHUNK_SCHEMA.names)
-            yield pd.concat([out, columns], axis=1)
-
-    return source.mapInPandas(cut, schema)
+    return source.mapInArrow(_cut_batches(keep, max_tokens, overlap), schema)
 
 
 def indexed_chunks(chunks: DataFrame, doc_id: str = "id") -> DataFrame:
