@@ -12,6 +12,7 @@ from trawler.functions.lexquery import parse, parse_any, word_tokens
 from trawler.functions import stem
 from trawler.functions.stem import porter
 from trawler.operators.lexical import TermIndex, bm25_matches, search
+from trawler.operators import postings as postings_module
 from trawler.operators.postings import corpus_stats
 from trawler.sources.index import write_search_tables
 from tests.test_store import LEXICAL
@@ -152,3 +153,14 @@ def test_hot_term_is_spread_over_files(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "p")).filter("term = 'hot'").select(F.input_file_name().alias("f"))
     assert files.distinct().count() > 1
     assert files.count() == 80000
+
+
+def test_postings_are_cut_by_their_number(spark, tmp_path, monkeypatch):
+    """More occurrences than the session's partitions should sort make more ranges, not longer ones."""
+    monkeypatch.setattr(postings_module, "ROWS_PER_RANGE", 50)
+    files = spark.createDataFrame([(i, "c", f"f{i}.md", f"w{i} the end") for i in range(400)], "rowid long, collection string, rel_path string, body string")
+    paths = {p: str(tmp_path / p) for p in ("tokens", "documents", "postings")}
+    write_search_tables(files, paths, Settings())
+    stored = spark.read.parquet(paths["postings"])
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 400 * 7 and max(sizes) <= 200

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawler.functions.stem import stems
@@ -62,14 +62,28 @@ def build_postings(rows: DataFrame, fields: dict[str, Column], stemmer: str) ->
     return stem_terms(occurrences, stemmer).select(*POSTING_COLUMNS)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Write sorted by term, so a query reads only the pages of its terms.
+#: Occurrences that one task sorts, about 100 MB of rows.
+ROWS_PER_RANGE = 1_000_000
+
+
+def ranges(session: SparkSession, rows: int) -> int:
+    """Term ranges that ``rows`` occurrences are cut into, or 0 to leave it to the session.
+
+    The session's number does not grow with the input, and the rows of a range are sorted in one task.
+    """
+    wanted = -(-rows // ROWS_PER_RANGE)
+    return wanted if wanted > int(session.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def write_postings(postings: DataFrame, path: str, rows: int = 0) -> None:
+    """Write ``rows`` occurrences sorted by term, so a query reads only the pages of its terms.
 
     Ranges are cut on (term, rowid): a term that holds a third of all
     occurrences is spread over many files instead of filling one task.
     """
+    count = ranges(postings.sparkSession, rows)
     (
-        postings.repartitionByRange("term", "rowid")
+        postings.repartitionByRange(*[count] * bool(count), "term", "rowid")
         .sortWithinPartitions("term", "rowid")
         .write.mode("overwrite")
         .parquet(path)

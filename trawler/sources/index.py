@@ -20,7 +20,14 @@ from trawler.config import CHUNK_WEIGHTS, ENTRY_WEIGHTS, FIELD_WEIGHTS, Settings
 from trawler.functions.text import content_hash, display_snippet, document_id, title, tokens
 from trawler.operators.chunking import chunk_documents, indexed_chunks
 from trawler.operators.lexical import shard_of
-from trawler.operators.postings import POSTING_COLUMNS, build_postings, explode_postings, stem_terms, write_postings
+from trawler.operators.postings import (
+    POSTING_COLUMNS,
+    build_postings,
+    corpus_stats,
+    explode_postings,
+    stem_terms,
+    write_postings,
+)
 from trawler.session import spread
 
 INPUT_COLUMNS = ["rowid", "collection", "rel_path", "body"]
@@ -74,7 +81,8 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
     narrow.repartitionByRange("rowid").write.partitionBy("shard").mode("overwrite").parquet(paths["documents"])
     token_rows = staged.select("rowid", "doc_len", *[F.col(f"{n}_tokens").alias(n) for n in fields])
     postings = explode_postings(token_rows, list(FIELD_WEIGHTS), ["rowid"])
-    write_postings(stem_terms(postings, settings.stemmer).select(*POSTING_COLUMNS), paths["postings"])
+    _, count = corpus_stats(spark.read.parquet(paths["documents"]))
+    write_postings(stem_terms(postings, settings.stemmer).select(*POSTING_COLUMNS), paths["postings"], count)
 
 
 def write_entry_postings(spark, paths: dict[str, str], settings: Settings) -> None:
@@ -89,7 +97,8 @@ def write_entry_postings(spark, paths: dict[str, str], settings: Settings) -> No
     rows = staged.select("rowid", *[col.alias(name) for name, col in arrays.items()])
     rows = rows.withColumn("doc_len", sum((F.size(name) for name in arrays), F.lit(0)))
     postings = stem_terms(explode_postings(rows, list(ENTRY_WEIGHTS), ["rowid"]), settings.stemmer)
-    write_postings(postings.select(*POSTING_COLUMNS), paths["entries"])
+    _, count = corpus_stats(rows)
+    write_postings(postings.select(*POSTING_COLUMNS), paths["entries"], count)
 
 
 def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
@@ -114,4 +123,5 @@ def write_chunks(files: DataFrame, path: str, settings: Settings) -> None:
 def write_chunk_postings(chunks: DataFrame, path: str, settings: Settings) -> None:
     rows = chunks.select(F.col("chunk_rowid").alias("rowid"), "heading", "content")
     fields = {"heading": F.col("heading"), "content": F.col("content")}
-    write_postings(build_postings(rows, fields, settings.stemmer), path)
+    _, count = corpus_stats(chunks.select(F.col("chunk_len").alias("doc_len")))
+    write_postings(build_postings(rows, fields, settings.stemmer), path, count)
