@@ -15,6 +15,7 @@ from trawler.operators.lexical import TermIndex, bm25_matches, search
 from trawler.operators import postings as postings_module
 from trawler.operators.postings import corpus_stats
 from trawler.sources.index import write_search_tables
+from trawler.sources.tables import TableIndex
 from tests.test_store import LEXICAL
 
 EXTRA = {
@@ -164,3 +165,14 @@ def test_postings_are_cut_by_their_number(spark, tmp_path, monkeypatch):
     stored = spark.read.parquet(paths["postings"])
     sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 400 * 7 and max(sizes) <= 200
+
+
+def test_document_tables_need_no_postings(spark, tmp_path):
+    """Searches that only look up documents do not build the postings."""
+    rows = [(i, f"the word{i} end", "en", "src0", 12) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "t/documents.parquet"))
+    ix = TableIndex(spark, str(tmp_path / "t"), Settings(stemmer="none"), str(tmp_path / "ix"))
+    assert ix.documents.count() == 20 and not (tmp_path / "ix/postings").exists()
+    assert ix.entries.rows == 20 and not (tmp_path / "ix/postings").exists()
+    assert ix.terms.rows == 20 and ix.terms.postings.filter("term = 'the'").count() == 20

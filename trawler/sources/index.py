@@ -52,11 +52,21 @@ def write_texts(files: DataFrame, path: str, settings: Settings) -> None:
     rows.write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
+def _length():
+    return sum((F.size(f"{name}_tokens") for name in FIELD_WEIGHTS), F.lit(0))
+
+
 def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Settings) -> None:
-    """Write ``tokens``, ``documents`` and ``postings``.
+    """Write ``tokens``, ``documents`` and ``postings``."""
+    write_documents(files, paths, settings)
+    write_document_postings(files.sparkSession, paths, settings)
+
+
+def write_documents(files: DataFrame, paths: dict[str, str], settings: Settings) -> None:
+    """Write ``tokens`` and ``documents``.
 
     Text is tokenized once, into a staging table that the metadata, both
-    postings tables and their range sampling read; terms are stemmed there.
+    postings tables and their range sampling read.
     """
     rows = document_rows(spread(files, "rowid"), settings)
     extra = [c for c in files.columns if c not in INPUT_COLUMNS]
@@ -69,17 +79,19 @@ def write_search_tables(files: DataFrame, paths: dict[str, str], settings: Setti
     arrays = [tokens(col).alias(f"{name}_tokens") for name, col in fields.items()]
     rows.select(*meta, *arrays).write.mode("overwrite").parquet(paths["tokens"])
 
-    spark = files.sparkSession
-    staged = spark.read.parquet(paths["tokens"])
-    length = sum((F.size(f"{name}_tokens") for name in fields), F.lit(0))
-    staged = staged.withColumn("doc_len", length)
+    staged = files.sparkSession.read.parquet(paths["tokens"]).withColumn("doc_len", _length())
     # Lengths live in narrow tables, so corpus numbers never need a posting scan.
     entry_len = F.size("body_tokens") + sum(
         (F.size(tokens(F.col(c))) for c in ("id", "collection", "rel_path")), F.lit(0)
     )
     narrow = staged.select(*meta, "doc_len", entry_len.alias("entry_len"))
     narrow.repartitionByRange("rowid").write.partitionBy("shard").mode("overwrite").parquet(paths["documents"])
-    token_rows = staged.select("rowid", "doc_len", *[F.col(f"{n}_tokens").alias(n) for n in fields])
+
+
+def write_document_postings(spark, paths: dict[str, str], settings: Settings) -> None:
+    """Postings of path, title and body from staging; terms are stemmed here."""
+    staged = spark.read.parquet(paths["tokens"]).withColumn("doc_len", _length())
+    token_rows = staged.select("rowid", "doc_len", *[F.col(f"{n}_tokens").alias(n) for n in FIELD_WEIGHTS])
     postings = explode_postings(token_rows, list(FIELD_WEIGHTS), ["rowid"])
     _, count = corpus_stats(spark.read.parquet(paths["documents"]))
     write_postings(stem_terms(postings, settings.stemmer).select(*POSTING_COLUMNS), paths["postings"], count)

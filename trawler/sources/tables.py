@@ -24,8 +24,9 @@ from trawler.session import shared_folder, ship_package
 from trawler.sources.index import (
     write_chunk_postings,
     write_chunks,
+    write_document_postings,
+    write_documents,
     write_entry_postings,
-    write_search_tables,
 )
 
 TABLES = (
@@ -102,27 +103,34 @@ class TableIndex:
             self._built[part] = build()
         return self._built[part]
 
-    def _search_tables(self):
+    def _documents(self):
         def build():
-            paths = {p: self._path(p) for p in ("tokens", "documents", "postings")}
-            write_search_tables(corpus_files(self.spark, self.sf_dir), paths, self.settings)
+            paths = {p: self._path(p) for p in ("tokens", "documents")}
+            write_documents(corpus_files(self.spark, self.sf_dir), paths, self.settings)
             return corpus_stats(read(self.spark, paths["documents"]))
 
         return self._once("documents", build)
 
     @property
     def documents(self) -> DataFrame:
-        self._search_tables()
+        self._documents()
         return read(self.spark, self._path("documents"))
 
     @property
     def terms(self) -> TermIndex:
-        rows, total = self._search_tables()
+        rows, total = self._documents()
+
+        def build():
+            paths = {p: self._path(p) for p in ("tokens", "documents", "postings")}
+            write_document_postings(self.spark, paths, self.settings)
+            return True
+
+        self._once("postings", build)
         return TermIndex(read(self.spark, self._path("postings")), rows, total, self.settings.stemmer)
 
     @property
     def entries(self) -> TermIndex:
-        self._search_tables()
+        self._documents()
 
         def build():
             paths = {"tokens": self._path("tokens"), "entries": self._path("entries")}
