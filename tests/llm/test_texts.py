@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD_TEXTS
 from trawler.llm import exact_dedup as ed
@@ -19,6 +20,7 @@ from trawler.llm import sentencepiece as sp
 from trawler.llm import simhash as sh
 from trawler.llm import textbytes as tb
 from trawler.llm import token_counts as tc
+from trawler.session import ship_package
 
 TEXTS = st.lists(st.text(alphabet="aAbß \n\t日|#"), max_size=6)
 
@@ -320,3 +322,16 @@ def test_token_counts_odd(odd_docs, no_docs):
         assert rows[k]["n_words"] == len(words)
         assert rows[k]["n_tokens"] == sum(greedy(pieces, w) for w in words)
     assert tc.token_counts(no_docs).count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    """A batch of texts is cut by its bytes: executors hold several copies of one, outside the heap."""
+    ship_package(spark)
+    rows = spark.range(64, numPartitions=1).select(F.repeat(F.lit("word "), 13000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 64 * 65000 and max(got) < 2 << 20
