@@ -176,3 +176,17 @@ def test_document_tables_need_no_postings(spark, tmp_path):
     assert ix.documents.count() == 20 and not (tmp_path / "ix/postings").exists()
     assert ix.entries.rows == 20 and not (tmp_path / "ix/postings").exists()
     assert ix.terms.rows == 20 and ix.terms.postings.filter("term = 'the'").count() == 20
+
+
+def test_stemmed_index_shares_plain_tables(spark, tmp_path):
+    """Only postings are written again for another stemmer."""
+    rows = [(i, f"the words{i} running", "en", "src0", 12) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "t/documents.parquet"))
+    plain = TableIndex(spark, str(tmp_path / "t"), Settings(stemmer="none"), str(tmp_path / "plain"))
+    stemmed = TableIndex(spark, str(tmp_path / "t"), Settings(stemmer="porter"), str(tmp_path / "stemmed"), plain)
+    assert stemmed.terms.postings.filter("term = 'run'").count() == 20
+    assert stemmed.chunk_terms.postings.filter("term = 'run'").count() == 20
+    assert (stemmed.entries.rows, stemmed.documents.count(), stemmed.chunks.count()) == (20, 20, 20)
+    assert {p.name for p in (tmp_path / "stemmed").iterdir()} == {"postings", "chunk_postings", "entries"}
+    assert not (tmp_path / "plain/postings").exists() and plain.documents.count() == 20

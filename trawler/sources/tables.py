@@ -87,17 +87,26 @@ def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class TableIndex:
-    """Index tables of one table folder; parts are built when first used."""
+    """Index tables of one table folder; parts are built when first used.
+
+    Only postings depend on the stemmer. An index with a ``plain`` one beside it takes all
+    other tables from there, so that these are written once.
+    """
 
     spark: SparkSession
     sf_dir: str
     settings: Settings
     root: str
+    plain: TableIndex | None = None
     _built: dict = field(default_factory=dict)
 
     def _path(self, part: str) -> str:
         return f"{self.root}/{part}"
 
+    @property
+    def _shared(self) -> TableIndex:
+        return self.plain or self
+
     def _once(self, part: str, build):
         if part not in self._built:
             self._built[part] = build()
@@ -109,19 +118,19 @@ class TableIndex:
             write_documents(corpus_files(self.spark, self.sf_dir), paths, self.settings)
             return corpus_stats(read(self.spark, paths["documents"]))
 
-        return self._once("documents", build)
+        return self._once("documents", build) if self.plain is None else self.plain._documents()
 
     @property
     def documents(self) -> DataFrame:
         self._documents()
-        return read(self.spark, self._path("documents"))
+        return read(self.spark, self._shared._path("documents"))
 
     @property
     def terms(self) -> TermIndex:
         rows, total = self._documents()
 
         def build():
-            paths = {p: self._path(p) for p in ("tokens", "documents", "postings")}
+            paths = {p: self._shared._path(p) for p in ("tokens", "documents")} | {"postings": self._path("postings")}
             write_document_postings(self.spark, paths, self.settings)
             return True
 
@@ -133,10 +142,10 @@ class TableIndex:
         self._documents()
 
         def build():
-            paths = {"tokens": self._path("tokens"), "entries": self._path("entries")}
+            paths = {"tokens": self._shared._path("tokens"), "entries": self._path("entries")}
             write_entry_postings(self.spark, paths, self.settings)
             # One posting per token, so the row count is the token count.
-            return self._count("documents"), self._count("entries")
+            return self.documents.count(), self._count("entries")
 
         rows, total = self._once("entries", build)
         return TermIndex(
@@ -148,6 +157,9 @@ class TableIndex:
 
     @property
     def chunks(self) -> DataFrame:
+        if self.plain is not None:
+            return self.plain.chunks
+
         def build():
             write_chunks(corpus_files(self.spark, self.sf_dir), self._path("chunks"), self.settings)
             return True
@@ -159,7 +171,7 @@ class TableIndex:
     def chunk_terms(self) -> TermIndex:
         def build():
             write_chunk_postings(self.chunks, self._path("chunk_postings"), self.settings)
-            return self._count("chunks"), self._count("chunk_postings")
+            return self.chunks.count(), self._count("chunk_postings")
 
         rows, total = self._once("chunk_postings", build)
         return TermIndex(
@@ -174,6 +186,8 @@ class TableIndex:
     def vectors(self) -> DataFrame:
         """Chunk vectors with their document ids, so that a search scans one
         table and joins only its top rows."""
+        if self.plain is not None:
+            return self.plain.vectors
 
         def build():
             corpus_vectors(self.spark, self.sf_dir).write.mode("overwrite").parquet(self._path("vectors"))
@@ -185,6 +199,8 @@ class TableIndex:
     @property
     def document_vectors(self) -> DataFrame:
         """The summed vectors of every document, written once."""
+        if self.plain is not None:
+            return self.plain.document_vectors
 
         def build():
             pool_parts(self.vectors, "doc_id").write.mode("overwrite").parquet(self._path("document_vectors"))
@@ -195,7 +211,7 @@ class TableIndex:
 
     def corpus(self, **models) -> Corpus:
         vectors = self.vectors
-        counts = self._once("vector_counts", lambda: vector_counts(vectors, self.documents))
+        counts = self._shared._once("vector_counts", lambda: vector_counts(vectors, self.documents))
         return Corpus(
             documents=self.documents,
             chunks=self.chunks,
@@ -216,5 +232,6 @@ def table_index(spark: SparkSession, sf_dir: str, stemmer: str = "none") -> Tabl
     if key not in _indexes:
         ship_package(spark)
         root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
-        _indexes[key] = TableIndex(spark, sf_dir.rstrip("/"), Settings(stemmer=stemmer), root)
+        plain = table_index(spark, sf_dir) if stemmer != "none" else None
+        _indexes[key] = TableIndex(spark, sf_dir.rstrip("/"), Settings(stemmer=stemmer), root, plain)
     return _indexes[key]
